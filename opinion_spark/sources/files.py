@@ -32,6 +32,16 @@ TOPIC_CODES = {
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
+def _typed(field: S.StructField) -> Column:
+    """Text from a file as the wanted type; NULL where it does not fit."""
+    text = F.col(f"`{field.name}`")
+    value = text.try_cast(field.dataType)
+    if isinstance(field.dataType, S.IntegralType):
+        # Counts in columns with gaps are written as 12.0.
+        value = F.coalesce(value, text.try_cast("double").try_cast(field.dataType))
+    return value.alias(field.name)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -40,15 +50,14 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row; quoted fields may hold line breaks and doubled quotes.
 
-    ``multiLine`` files are read whole by one task each. Pass many files rather than one
-    large one, or ``land`` them once and work on the Parquet copy. Columns are matched by
-    header name, so ``columns`` may name any of them.
+    Columns are found by header name, in any order; columns outside the schema (such as
+    written row indexes) are not read. ``multiLine`` files are read whole by one task
+    each: pass many files rather than one large one, or ``land`` them once as Parquet.
     """
-    reader = spark.read.schema(schema).options(
-        **_CSV, multiLine=True, enforceSchema=False, lineSep="\n"
-    )
-    table = reader.csv(path)
-    return table.select(*columns) if columns else table
+    raw = spark.read.options(**_CSV, multiLine=True, lineSep="\n").csv(path)
+    fields = S.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wanted = [f for f in fields if columns is None or f.name in columns]
+    return raw.select(*[_typed(f) for f in wanted])
 
 
 def land(df: DataFrame, path: str) -> DataFrame:
@@ -80,12 +89,10 @@ def read_tagged_csv(
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """``(word, weight)`` from CSV; of a repeated word the last row counts."""
-    raw = read_csv(spark, path, LEXICON_SCHEMA).select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.monotonically_increasing_id().alias("_row"),
+    raw = read_csv(spark, path, LEXICON_SCHEMA).withColumn(
+        "_row", F.struct(F.input_file_name(), F.monotonically_increasing_id())
     )
-    return last_weight_per_word(raw, F.struct("_file", "_row"))
+    return last_weight_per_word(raw, F.col("_row"))
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
