@@ -8,21 +8,28 @@ while the results to match follow Unicode rules.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinion_spark.functions.vector import let
+
 # Unicode whitespace, word characters, the 32 ASCII punctuation marks.
 SPACE = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"\p{L}\p{N}_"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _ASCII_SPACE = r"\t-\r\x1c-\x20"
-_ASCII_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
-_DIGITS = "0123456789"
+# Digits, punctuation and everything outside ASCII, as ranges (a negated class is slow).
+_DROPPED = r"!-@\[-`{-~\x{80}-\x{10FFFF}"
 
 # Above this many distinct fragments a stop-word set is no longer inlined in the plan.
 MAX_INLINE_FRAGMENTS = 50_000
@@ -44,7 +51,7 @@ def clean_escapes(text: Column) -> Column:
 
 def ascii_replace(text: Column) -> Column:
     """Every non-ASCII code point becomes one question mark."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
+    return F.regexp_replace(text, r"[\x{80}-\x{10FFFF}]", "?")
 
 
 def strip_mentions_urls(text: Column) -> Column:
@@ -70,25 +77,39 @@ def remove_punctuation(text: Column) -> Column:
 
 
 def trim_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def collapse_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, rf"[{SPACE}]+", " ")
 
 
+def _has_any(text: Column, *parts: str) -> Column:
+    found = [F.contains(text, F.lit(p)) for p in parts]
+    return reduce(lambda a, b: a | b, found)
+
+
 def clean_text(text: Column) -> Column:
-    """The whole cleaning chain.
+    """The whole cleaning chain, in as few passes over the text as give the same result.
 
-    After ``ascii_replace`` only ASCII is left, so digits, punctuation and blank
-    characters are handled by a single ``translate`` pass, and whitespace is collapsed
-    once, at the end; no step in between depends on the length of a blank run.
+    * Non-ASCII characters are dropped together with punctuation and digits. Replacing
+      them by ``?`` first makes no difference: in the mention and link patterns they act
+      like ``?`` already, and ``?`` is punctuation.
+    * Whitespace is collapsed once, at the end; no earlier step depends on its amount.
+    * The costly steps run only on texts that contain one of their marks.
     """
-    text = ascii_replace(clean_escapes(text))
-    text = F.regexp_replace(text, _mention_or_link("A-Za-z0-9_", _ASCII_SPACE), " ")
-    text = strip_url_schemes(text)
-    text = F.translate(text, _ASCII_BLANKS + PUNCTUATION + _DIGITS, " " * len(_ASCII_BLANKS))
-    return F.trim(F.regexp_replace(text, " {2,}", " "))
+    text = F.when(_has_any(text, "\\"), clean_escapes(text)).otherwise(text)
+    text = let(text, _without_links)
+    text = F.regexp_replace(text, f"[{_DROPPED}]+", "")
+    # Blank runs other than a single space.
+    blanks = rf"[\t-\r\x1c-\x1f][{_ASCII_SPACE}]*|\x20[{_ASCII_SPACE}]+"
+    return F.trim(F.regexp_replace(text, blanks, " "))
+
+
+def _without_links(text: Column) -> Column:
+    pattern = _mention_or_link("A-Za-z0-9_", _ASCII_SPACE)
+    stripped = strip_url_schemes(F.regexp_replace(text, pattern, " "))
+    return F.when(_has_any(text, "@", "#", "://"), stripped).otherwise(text)
 
 
 def _breaks_to_spaces(text: Column) -> Column:
@@ -97,14 +118,17 @@ def _breaks_to_spaces(text: Column) -> Column:
 
 def _runs(text: Column) -> Column:
     """Word runs and separator runs in order; an outer '' where a separator is at an end."""
-    inner = F.regexp_extract_all(text, F.lit(f"[{WORD}]+|[^{WORD}]+"), F.lit(0))
-    empty = F.array().cast("array<string>")
+    empty = _no_tokens()
     edge = F.array(F.lit(""))
-    return F.concat(
-        F.when(text.rlike(rf"^[^{WORD}]|^\z"), edge).otherwise(empty),
-        inner,
-        F.when(text.rlike(rf"[^{WORD}]\z"), edge).otherwise(empty),
-    )
+
+    def parts(c: Column) -> Column:
+        return F.concat(
+            F.when(c.rlike(rf"^[^{WORD}]|^\z"), edge).otherwise(empty),
+            F.regexp_extract_all(c, F.lit(f"[{WORD}]+|[^{WORD}]+"), F.lit(0)),
+            F.when(c.rlike(rf"[^{WORD}]\z"), edge).otherwise(empty),
+        )
+
+    return let(text, parts)
 
 
 def tokenize_words(text: Column) -> Column:
@@ -124,9 +148,23 @@ def split_words(text: Column) -> Column:
 
 
 def clean_words(cleaned: Column) -> Column:
-    """``split_words`` for text that went through ``clean_text`` (ASCII letters only)."""
-    runs = F.regexp_extract_all(cleaned, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
-    return F.filter(runs, lambda t: ~F.contains(t, F.lit(" ")))
+    """``split_words`` for text that went through ``clean_text``.
+
+    Such text consists of ASCII letters and single spaces, control characters being the
+    only other separators; without these, splitting at the space is all there is to do.
+    """
+
+    def words(c: Column) -> Column:
+        runs = F.regexp_extract_all(c, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+        exact = F.filter(runs, lambda t: ~F.contains(t, F.lit(" ")))
+        simple = F.when(c != "", F.split(c, " ")).otherwise(_no_tokens())
+        return F.when(c.rlike(r"[\x00-\x1f\x7f]"), exact).otherwise(simple)
+
+    return let(cleaned, words)
+
+
+def _no_tokens() -> Column:
+    return F.array().cast("array<string>")
 
 
 def drop_short(tokens: Column, at_least: int = 2) -> Column:
@@ -183,11 +221,12 @@ def clean_tokens(
     text: Column, stopwords: Iterable[str] = (), mode: str = "substring", cleaned: bool = False
 ) -> Column:
     """Clean, split, drop short tokens and stop words, fold case."""
-    tokens = drop_short(clean_words(text if cleaned else clean_text(text)))
+    text = text if cleaned else clean_text(text)
     words = list(stopwords)
-    if words:
-        tokens = drop_stopwords(tokens, words, mode)
-    return F.transform(tokens, lambda t: F.lower(trim_whitespace(t)))
+    if not words:
+        return drop_short(clean_words(F.lower(text)))
+    kept = drop_stopwords(drop_short(clean_words(text)), words, mode)
+    return F.transform(kept, lambda t: F.lower(t))
 
 
 def clean_sentences(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions import text as T
 from opinion_spark.operators import vocabulary as V
+from opinion_spark.sources.files import spread
 
 # Fixed values shared with the equivalent SQL.
 STOPWORDS = ["the", "and", "of", "to", "der", "die", "und", "de", "la", "le", "el", "en"]
@@ -30,6 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Key columns of the text tables.
+TEXT_KEYS = {
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+    "benchmark": ["item_id"],
+}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a text table, spread over all cores."""
+    keys = TEXT_KEYS[name]
+    return spread(table(spark, sf_dir, name).select(*dict.fromkeys([*keys, *columns])), *keys)
+
+
 def lexicon_small(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "word string, weight int")
 
@@ -50,7 +66,7 @@ def tokenised(
 ) -> DataFrame:
     """``(*keep, tokens)`` of a text table; ``stop`` drops the stop words."""
     tokens = T.clean_tokens(F.col("text"), STOPWORDS if stop else ())
-    return table(spark, sf_dir, name).select(*keep, tokens.alias("tokens"))
+    return texts(spark, sf_dir, name, *keep, "text").select(*keep, tokens.alias("tokens"))
 
 
 def six(value) -> F.Column:

@@ -17,6 +17,7 @@ from opinion_spark.plans.relations import (
     lexicon_small,
     stopword_table,
     table,
+    texts,
     tokenised,
 )
 from opinion_spark.runtime import materialized
@@ -26,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _per_document(expression: Callable[[Column], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents")
+        docs = texts(spark, sf_dir, "documents", "text")
         return docs.select("doc_id", expression(F.col("text")).alias("out"))
 
     return run
@@ -37,7 +38,7 @@ def _joined(expression: Callable[[Column], Column]) -> Query:
 
 
 def strip_mentions_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "url", "html")
     text = F.concat_ws(" ", "url", "html")
     return pages.select("page_id", T.strip_mentions_urls(text).alias("out"))
 
@@ -48,13 +49,13 @@ def strip_url_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages", "url", "html")
     text = F.concat_ws(" ", "url", "html")
     return pages.select("page_id", T.clean_text(text).alias("out"))
 
 
 def stopword_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(
+    words = texts(spark, sf_dir, "documents", "text").select(
         T.drop_stopwords(T.drop_short(T.clean_words(T.clean_text(F.col("text")))), STOPWORDS).alias(
             "tokens"
         )
@@ -91,7 +92,7 @@ def stem_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "text")
     stages = V.stage_detail(docs, "text", STOPWORDS)
     return stages.select(
         "doc_id",
@@ -104,7 +105,7 @@ def stage_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = texts(spark, sf_dir, "documents", "lang", "text")
     return V.preprocess_documents(docs, "text", STOPWORDS).drop("text")
 
 
@@ -120,7 +121,7 @@ def sentence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_score_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = texts(spark, sf_dir, "conversations", "text")
     words = turns.select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), T.split_words(F.col("text")).alias("tokens")
     )

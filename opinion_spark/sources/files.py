@@ -66,6 +66,20 @@ def land(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan of few splits one partition per core; leave any other scan alone.
+
+    Work on text is heavy compared with its size, so a small table in one row group, or
+    a handful of unsplittable files, is worth a shuffle of the raw rows. A large table
+    has more splits than cores and is not touched. Hashing on the id keeps the placement
+    stable and serves later grouping by the id.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def tag_sources(sources: Mapping[str, DataFrame], codes: Mapping[str, int]) -> DataFrame:
     """Stack named frames; ``source_name`` and the topic code ``keyword`` tell them apart."""
     parts = [
