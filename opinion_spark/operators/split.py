@@ -120,8 +120,10 @@ def stratified_shuffle_split(
     return marked.select(id_col, label, "split", is_test.alias("is_test"))
 
 
-def member_splits(df: DataFrame, cuts: DataFrame, id_col: str, label: str) -> Column:
-    """Per row, the array of splits in which it is a test row.
+def with_test_splits(
+    df: DataFrame, cuts: DataFrame, id_col: str, label: str, name: str = "test_splits"
+) -> DataFrame:
+    """Add, per row, the array of splits in which it is a test row.
 
     The cuts (one per split and class) reach the rows as a scalar sub-query, so rows are
     not multiplied by the number of splits.
@@ -130,10 +132,11 @@ def member_splits(df: DataFrame, cuts: DataFrame, id_col: str, label: str) -> Co
         F.sort_array(F.collect_list(F.struct("split", F.col(label).alias("label"), "cut")))
     ).scalar()
     mine = F.filter(
-        listed,
+        "_cuts",
         lambda c: (c["label"] == F.col(label)) & (split_hash(id_col, c["split"]) <= c["cut"]),
     )
-    return F.transform(mine, lambda c: c["split"])
+    listed_rows = df.withColumn("_cuts", listed)
+    return listed_rows.withColumn(name, F.transform(mine, lambda c: c["split"])).drop("_cuts")
 
 
 def kfold_contiguous(df: DataFrame, *order_by: str, folds: int = 10) -> DataFrame:

@@ -220,7 +220,7 @@ def repeated_evaluation(
     """
     label = machine.getLabelCol()
     cuts = split.stratified_cuts(df, id_col, label, n_splits, test_size)
-    marked = df.withColumn("_tests", split.member_splits(df, cuts, id_col, label)).persist()
+    marked = split.with_test_splits(df, cuts, id_col, label, "_tests").persist()
     parts = []
     for number in range(1, n_splits + 1):
         is_test = F.array_contains("_tests", number)
