@@ -9,12 +9,14 @@ number of features, 500 or more are advised.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -73,6 +75,17 @@ def fourier_map(features: Column, directions: np.ndarray, phases: np.ndarray) ->
     return project(doubles(features))
 
 
+def _in_threads(work: Callable, items: list, parallelism: int = 4) -> list:
+    """Submit independent fits side by side; each is a chain of small jobs."""
+    if not items:
+        return []
+    pool = ThreadPool(min(parallelism, len(items)))
+    try:
+        return pool.map(work, items)
+    finally:
+        pool.close()
+
+
 class _PairwiseParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter):
     kernel = Param(Params._dummy(), "kernel", "linear or rbf", TypeConverters.toString)
     C = Param(Params._dummy(), "C", "penalty of margin violations", TypeConverters.toFloat)
@@ -138,8 +151,10 @@ class PairwiseSVC(Estimator, _PairwiseParams):
         rows = rows.select("_x", "_y").persist()
         sizes = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
         labels = sorted(sizes)
-        machines = []
-        for low, high in combinations(labels, 2):
+
+        @inheritable_thread_target(df.sparkSession)
+        def fit_pair(sides: tuple[float, float]) -> LinearSVCModel:
+            low, high = sides
             pair = rows.where(F.col("_y").isin(low, high)).select(
                 "_x", (F.col("_y") == high).cast("double").alias("_side")
             )
@@ -152,7 +167,9 @@ class PairwiseSVC(Estimator, _PairwiseParams):
                 standardization=False,
                 maxIter=self.getMaxIter(),
             )
-            machines.append(machine.fit(pair))
+            return machine.fit(pair)
+
+        machines = _in_threads(fit_pair, list(combinations(labels, 2)))
         rows.unpersist()
         return self._copyValues(PairwiseSVCModel(labels, machines, dims))
 
@@ -212,7 +229,8 @@ def _accuracy() -> MulticlassClassificationEvaluator:
 
 
 def repeated_evaluation(
-    df: DataFrame, id_col: str, machine: PairwiseSVC, n_splits: int = 10, test_size: float = 0.1
+    df: DataFrame, id_col: str, machine: PairwiseSVC, n_splits: int = 10,
+    test_size: float = 0.1, parallelism: int = 4,
 ) -> DataFrame:
     """Predictions ``(split, id, y_true, y_pred)`` on stratified splits.
 
@@ -221,19 +239,19 @@ def repeated_evaluation(
     label = machine.getLabelCol()
     cuts = split.stratified_cuts(df, id_col, label, n_splits, test_size)
     marked = split.with_test_splits(df, cuts, id_col, label, "_tests").persist()
-    parts = []
-    for number in range(1, n_splits + 1):
+
+    @inheritable_thread_target(df.sparkSession)
+    def evaluate(number: int) -> DataFrame:
         is_test = F.array_contains("_tests", number)
         model = machine.fit(marked.where(~is_test))
-        predicted = model.transform(marked.where(is_test))
-        parts.append(
-            predicted.select(
-                F.lit(number).alias("split"),
-                id_col,
-                F.col(label).cast("int").alias("y_true"),
-                F.col(machine.getPredictionCol()).cast("int").alias("y_pred"),
-            )
+        return model.transform(marked.where(is_test)).select(
+            F.lit(number).alias("split"),
+            id_col,
+            F.col(label).cast("int").alias("y_true"),
+            F.col(machine.getPredictionCol()).cast("int").alias("y_pred"),
         )
+
+    parts = _in_threads(evaluate, list(range(1, n_splits + 1)), parallelism)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -243,20 +261,23 @@ def sweep(
     machine: PairwiseSVC,
     cs: list[float] = SWEEP_VALUES,
     gammas: list[float] = SWEEP_VALUES,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Scores on ``test`` for the linear kernel at every C and the RBF kernel at every pair."""
     points = [{"kernel": "linear", "C": c, "gamma": None} for c in cs]
     points += [{"kernel": "rbf", "C": c, "gamma": g} for c in cs for g in gammas]
-    parts = []
-    for point in points:
+
+    @inheritable_thread_target(train.sparkSession)
+    def evaluate(point: dict) -> DataFrame:
         chosen = {machine.getParam(k): v for k, v in point.items() if v is not None}
         predicted = machine.fit(train, chosen).transform(test)
-        pairs = predicted.select(
+        return predicted.select(
             *[F.lit(v).cast(t).alias(k) for (k, v), t in zip(point.items(), _POINT_TYPES)],
             F.col(machine.getLabelCol()).cast("int").alias("y_true"),
             F.col(machine.getPredictionCol()).cast("int").alias("y_pred"),
         )
-        parts.append(pairs)
+
+    parts = _in_threads(evaluate, points, parallelism)
     return metrics.scores(reduce(DataFrame.unionByName, parts).fillna(0.0, ["gamma"]), tuple(points[0]))
 
 

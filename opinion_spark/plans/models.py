@@ -93,7 +93,9 @@ def wcss_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gnb_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = B.fit(_embeddings(spark, sf_dir), "label", "embedding")
+    model = B.fit(_embeddings(spark, sf_dir), "label", "embedding")
+    params = model.select("label", "prior", F.posexplode(F.arrays_zip("mean", "var")).alias("dim", "c"))
+    params = params.select("label", "prior", "dim", "c.*")
     return params.select(
         "label", "dim", six(F.col("prior")).alias("prior"), *[six(F.col(c)).alias(c) for c in ("mean", "var")]
     )
@@ -127,7 +129,7 @@ def _term_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def gnb_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, labels = _term_weights(spark, sf_dir)
-    params = B.parameters(B.fit_terms(weights, labels, "doc_id"))
+    params = B.term_parameters(B.fit_terms(weights, labels, "doc_id"))
     return params.select(
         "label", F.col("dim").alias("term"), *[six(F.col(c)).alias(c) for c in ("mean", "var")]
     )
@@ -135,7 +137,7 @@ def gnb_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gnb_predict_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, labels = _term_weights(spark, sf_dir)
-    params = materialized(B.parameters(B.fit_terms(weights, labels, "doc_id")))
+    params = materialized(B.term_parameters(B.fit_terms(weights, labels, "doc_id")))
     scored = B.predict_terms(weights, labels, params, "doc_id")
     return scored.select("doc_id", "y_pred", six(F.col("score")).alias("score"))
 
