@@ -240,5 +240,5 @@ def word_count(text: Column) -> Column:
 
 
 def characters(text: Column) -> Column:
-    """The characters of a text, one array element per code point."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    """The characters of a text, one array element per code point ('' for empty text)."""
+    return F.split(text, "")

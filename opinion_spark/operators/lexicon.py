@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.operators.lookup import lookup_join
+from opinion_spark.operators.vocabulary import exploded
 
 
 def int_weight(weight: Column) -> Column:
@@ -48,7 +49,7 @@ def sentence_scores(
 
 def word_scores(df: DataFrame, id_col: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
     """``(id, term, weight)``, one row per distinct word of a document."""
-    words = df.select(id_col, F.explode(F.array_distinct(tokens)).alias("term"))
+    words = exploded(df, [id_col], F.array_distinct(tokens), "term")
     return word_weights(words, lexicon, F.struct(F.col(id_col), F.col("term")))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from opinion_spark.functions import text as T
 from opinion_spark.functions.vector import let
 from opinion_spark.operators.lookup import lookup_join
+from opinion_spark.runtime import MAX_BROADCAST_ROWS
 
 
 def split_stored(preprocessed: Column) -> Column:
@@ -46,9 +47,21 @@ def stage_detail(
     )
 
 
+def exploded(df: DataFrame, keys: list, items: Column, name: str) -> DataFrame:
+    """``(*keys, name)``, one row per array element.
+
+    An inner ``explode`` makes Catalyst add ``size(items) > 0`` and push it down, so that
+    everything ``items`` is computed from is computed twice. The outer form with a filter
+    behind it gives the same rows once.
+    """
+    rows = df.select(*keys, F.explode_outer(items).alias(name))
+    return rows.where(F.col(name).isNotNull())
+
+
 def positioned_tokens(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """Long form ``(id, pos, term)``."""
-    return df.select(id_col, F.posexplode(tokens).alias("pos", "term"))
+    rows = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "term"))
+    return rows.where(F.col("term").isNotNull())
 
 
 def regroup_tokens(tokens: DataFrame, id_col: str) -> DataFrame:
@@ -115,41 +128,51 @@ def term_bag(tokens: Column) -> Column:
 
 def term_counts(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """Raw term count per document, long form ``(*keys, term, tf)``; no shuffle."""
-    return df.select(*keys, F.inline(term_bag(tokens)))
+    cells = df.select(*keys, F.inline_outer(term_bag(tokens)))
+    return cells.where(F.col("term").isNotNull())
 
 
 def global_words(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """Every token of the corpus, repeats kept."""
-    return df.select(*keys, F.explode(tokens).alias("word"))
+    return exploded(df, keys, tokens, "word")
 
 
 def term_frequency(df: DataFrame, tokens: Column) -> DataFrame:
     """Occurrences of each term over all token arrays."""
-    words = df.select(F.explode(tokens).alias("term"))
+    words = exploded(df, [], tokens, "term")
     return words.groupBy("term").agg(F.count("*").alias("tf"))
 
 
 def char_frequency(df: DataFrame, text: Column) -> DataFrame:
     """Occurrences of each character over all texts."""
-    chars = df.select(F.explode(T.characters(text)).alias("ch"))
+    chars = exploded(df, [], T.characters(text), "ch").where(F.col("ch") != "")
     return chars.groupBy("ch").agg(F.count("*").alias("n"))
 
 
 def vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     """Distinct terms."""
-    return df.select(F.explode(tokens).alias("term")).distinct()
+    return exploded(df, [], tokens, "term").distinct()
 
 
 def document_frequency(
-    df: DataFrame, tokens: Column, terms: DataFrame | None = None
+    df: DataFrame,
+    tokens: Column,
+    terms: DataFrame | None = None,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``(term, df)``: number of documents containing a term.
 
-    With ``terms`` the result has exactly these terms, 0 for those that never occur.
+    With ``terms`` the result has exactly these terms, 0 for those that never occur. A
+    vocabulary of up to ``max_broadcast_rows`` terms filters the words before they are
+    counted; a larger one is joined to the counts.
     """
-    words = df.select(F.explode(F.array_distinct(tokens)).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("df"))
+    words = exploded(df, [], F.array_distinct(tokens), "term")
     if terms is None:
-        return counted
+        return words.groupBy("term").agg(F.count("*").alias("df"))
     wanted = terms.select("term").distinct()
-    return wanted.join(counted, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    if terms.count() <= max_broadcast_rows:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    counted = words.groupBy("term").agg(F.count("*").alias("df"))
+    return wanted.join(counted, "term", "left").select(
+        "term", F.coalesce("df", F.lit(0)).alias("df")
+    )

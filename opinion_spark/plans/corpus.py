@@ -46,7 +46,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary of the conversations, counted in the documents."""
     turns = tokenised(spark, sf_dir, name="conversations")
-    terms = V.vocabulary(turns, F.col("tokens"))
+    terms = materialized(V.vocabulary(turns, F.col("tokens")))
     return V.document_frequency(tokenised(spark, sf_dir), F.col("tokens"), terms)
 
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinion_spark.functions import text as T
 from opinion_spark.operators import bayes as B
 from opinion_spark.operators import cluster as K
 from opinion_spark.operators import metrics as E
@@ -15,7 +16,7 @@ from opinion_spark.operators import split as S
 from opinion_spark.operators import svm
 from opinion_spark.operators import vocabulary as V
 from opinion_spark.operators import weights as W
-from opinion_spark.plans.relations import MODEL_TERMS, six, table, tokenised
+from opinion_spark.plans.relations import MODEL_TERMS, six, table, texts
 from opinion_spark.runtime import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,10 +122,12 @@ def nb_repeated_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _term_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """TF-IDF of the labelled documents over the most widespread terms, and the labels."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    docs = tokenised(spark, sf_dir, "doc_id").join(labels.select("doc_id"), "doc_id")
-    frequencies = materialized(V.document_frequency(docs, F.col("tokens")))
-    top = materialized(W.top_terms(frequencies, MODEL_TERMS))
-    return W.tfidf(docs, "doc_id", F.col("tokens"), top), labels
+    labelled = texts(spark, sf_dir, "documents", "text").join(labels.select("doc_id"), "doc_id")
+    docs = labelled.select("doc_id", T.clean_tokens(F.col("text")).alias("tokens"))
+    top = W.top_terms(V.document_frequency(docs, F.col("tokens")), MODEL_TERMS)
+    weights = W.tfidf(docs, "doc_id", F.col("tokens"), materialized(top))
+    # Training and scoring both read the weights.
+    return materialized(weights), labels
 
 
 def gnb_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from opinion_spark.operators.lexicon import last_weight_per_word
+from opinion_spark.operators.vocabulary import exploded
 
 CRAWL_SCHEMA = "status_id string, created_at string, screen_name string, text string"
 PREDICTOR_SCHEMA = (
@@ -128,7 +129,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_tokens(df: DataFrame, tokens: Column, path: str) -> None:
     """Every token on its own line."""
-    df.select(F.explode(tokens).alias("value")).write.mode("overwrite").text(path)
+    exploded(df, [], tokens, "value").write.mode("overwrite").text(path)
 
 
 def write_group_tokens(df: DataFrame, group: str, tokens: Column, path: str) -> None:
@@ -137,7 +138,7 @@ def write_group_tokens(df: DataFrame, group: str, tokens: Column, path: str) ->
     Each task writes to the folders itself; rows are not moved, so a dominant class is
     spread over all tasks.
     """
-    words = df.select(group, F.explode(tokens).alias("value"))
+    words = exploded(df, [group], tokens, "value")
     words.write.mode("overwrite").partitionBy(group).text(path)
 
 
