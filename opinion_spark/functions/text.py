@@ -157,7 +157,7 @@ def clean_words(cleaned: Column) -> Column:
     def words(c: Column) -> Column:
         runs = F.regexp_extract_all(c, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
         exact = F.filter(runs, lambda t: ~F.contains(t, F.lit(" ")))
-        simple = F.when(c != "", F.split(c, " ")).otherwise(_no_tokens())
+        simple = F.when(c == "", _no_tokens()).otherwise(F.split(c, " "))
         return F.when(c.rlike(r"[\x00-\x1f\x7f]"), exact).otherwise(simple)
 
     return let(cleaned, words)

@@ -19,16 +19,19 @@ def lookup_join(
     how: str = "left",
     counts: DataFrame | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    table_size: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` with a table that has one row per ``key``.
 
-    The table is counted first. Up to ``max_broadcast_rows`` it is broadcast and the
+    The table is counted first, unless its size is given (as a number of entries, where a
+    row holds several). Up to ``max_broadcast_rows`` it is broadcast and the
     facts are not shuffled. Beyond that, both sides are shuffled on ``(key, salt)``:
     the number of salts of a key is proportional to its share of the facts, so no task
     receives more than about ``1/SHARES`` of them, and only frequent keys are
     replicated. ``counts(key, rows)`` saves the counting pass when already known.
     """
-    if table.count() <= max_broadcast_rows:
+    size = table.count() if table_size is None else table_size
+    if size <= max_broadcast_rows:
         return facts.join(F.broadcast(table), key, how)
     return _salted_join(facts, table, key, spread_by, how, counts)
 

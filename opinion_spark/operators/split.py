@@ -2,8 +2,8 @@
 
 A row's place in a split is decided by ``md5(seed:id)``. "The k rows of smallest hash"
 is found without sorting: hashes are counted per 4-digit prefix (at most 65,536 per
-group), the prefix that contains the k-th hash is located, and only the rows under that
-prefix are ranked. Ids are expected to be unique.
+group), the prefix that contains the k-th hash is located, and only the hashes under that
+prefix are ranked. Rows that share an id fall on the same side.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ def _cut_hashes(hashed: DataFrame, groups: list[str], quotas: DataFrame) -> Data
     )
     edge = edge.select(*groups, "p", (F.col("quota") - F.col("upto") + F.col("n")).alias("rank"))
     near = by_prefix.join(F.broadcast(edge), [*groups, "p"])
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy("h"))
-    ranked = near.withColumn("place", place).where(F.col("place") == F.col("rank"))
-    return ranked.select(*groups, F.col("h").alias("cut"))
+    # Counting per hash first keeps repeated ids from piling up in one window.
+    near = near.groupBy(*groups, "rank", "h").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*groups).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    reached = near.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= F.col("rank"))
+    return reached.groupBy(*groups).agg(F.min("h").alias("cut"))
 
 
 def train_test_split(
@@ -72,17 +74,21 @@ def stratified_quotas(df: DataFrame, label: str, test_size: float = 0.1) -> Data
         F.sum("n").alias("total"),
     )
     train_total = F.col("total") - F.ceil(F.col("total") * test_size)
-    share = F.transform(
-        "c",
-        lambda c: F.struct(
-            (-F.pmod(c["n"] * F.col("train"), F.col("total"))).alias("rest"),
+
+    def share(c: Column) -> Column:
+        # n * train exceeds 64 bits for large tables.
+        product = c["n"].cast("decimal(19,0)") * F.col("train").cast("decimal(19,0)")
+        rest = F.pmod(product, F.col("total").cast("decimal(19,0)"))
+        base = (product - rest) / F.col("total").cast("decimal(19,0)")
+        return F.struct(
+            (-rest).alias("rest"),
             c["label"].alias("label"),
             c["n"].alias("n"),
-            F.floor(c["n"] * F.col("train") / F.col("total")).alias("base"),
-        ),
-    )
+            base.cast("long").alias("base"),
+        )
+
     shared = listed.withColumn("train", train_total.cast("long")).withColumn(
-        "c", F.sort_array(share)
+        "c", F.sort_array(F.transform("c", share))
     )
     floors = F.aggregate("c", F.lit(0).cast("long"), lambda acc, c: acc + c["base"])
     placed = shared.withColumn("spare", F.col("train") - floors).select(
