@@ -25,13 +25,17 @@ def _cut_hashes(hashed: DataFrame, groups: list[str], quotas: DataFrame) -> Data
     """``(*groups, cut)``: the hash of rank ``quota`` in every group.
 
     ``hashed`` has ``(*groups, h)``; ``quotas`` has ``(*groups, quota)``, one short row
-    per group.
+    per group. The windows run over prefixes and over the hashes under one prefix.
     """
     by_prefix = hashed.withColumn("p", F.substring("h", 1, _PREFIX))
     upto = Window.partitionBy(*groups).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     counted = by_prefix.groupBy(*groups, "p").agg(F.count("*").alias("n"))
     running = counted.withColumn("upto", F.sum("n").over(upto))
-    edge = running.join(F.broadcast(quotas), groups).where(
+    if groups:
+        running = running.join(F.broadcast(quotas), groups)
+    else:
+        running = running.withColumn("quota", quotas.select("quota").scalar())
+    edge = running.where(
         (F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota"))
     )
     edge = edge.select(*groups, "p", (F.col("quota") - F.col("upto") + F.col("n")).alias("rank"))
@@ -55,20 +59,23 @@ def train_test_split(
     if not exact:
         uniform = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
         return df.withColumn("is_test", uniform < test_size)
-    hashed = df.select(F.lit(0).alias("g"), h.alias("h"))
-    quota = hashed.groupBy("g").agg(F.ceil(F.count("*") * test_size).alias("quota"))
-    cut = _cut_hashes(hashed, ["g"], quota).select("cut").scalar()
+    quota = df.agg(F.ceil(F.count("*") * test_size).alias("quota"))
+    cut = _cut_hashes(df.select(h.alias("h")), [], quota).scalar()
     return df.withColumn("is_test", F.coalesce(h <= cut, F.lit(False)))
 
 
 def stratified_quotas(df: DataFrame, label: str, test_size: float = 0.1) -> DataFrame:
-    """``(label, n, quota)``: test rows per class.
+    """``(label, n, quota)``: test rows per class."""
+    return class_quotas(df.groupBy(label).agg(F.count("*").alias("n")), label, test_size)
+
+
+def class_quotas(classes: DataFrame, label: str, test_size: float = 0.1) -> DataFrame:
+    """``(label, n, quota)`` from class sizes ``(label, n)``.
 
     The training rows are shared out in proportion to the class sizes, what is left over
     goes to the largest remainders (ties in label order); the rest of a class is its
     test part. The arithmetic runs on one row holding the class list.
     """
-    classes = df.groupBy(label).agg(F.count("*").alias("n"))
     listed = classes.agg(
         F.collect_list(F.struct(F.col(label).alias("label"), "n")).alias("c"),
         F.sum("n").alias("total"),

@@ -47,3 +47,8 @@ def difference(frame, con, sql: str) -> str | None:
         return None
     missing, extra = list((want - got).items())[:3], list((got - want).items())[:3]
     return f"rows {sum(got.values())} vs {sum(want.values())}; missing {missing}; extra {extra}"[:1500]
+
+
+def physical(frame) -> str:
+    """The physical plan as text."""
+    return frame._jdf.queryExecution().executedPlan().toString()

@@ -34,4 +34,9 @@ def test_every_query_has_sql_or_is_a_fit():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    assert compare.difference(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
+    frame = QUERIES[name](spark, sf_dir)
+    assert compare.difference(frame, con, SQL[name]) is None
+    plan = compare.physical(frame)
+    # Every pair of rows, or one Python call per row, would not survive large tables.
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in plan
