@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.operators.lookup import lookup_join
-from opinion_spark.operators.vocabulary import exploded
+from opinion_spark.operators.vocabulary import exploded, term_bag
 
 
 def int_weight(weight: Column) -> Column:
@@ -74,7 +74,16 @@ def classify(
 
 
 def classify_frame(df: DataFrame, id_col: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
-    """The whole frame plus ``classify_data`` (word map) and ``classified``."""
-    classes = classify(df, id_col, tokens, lexicon).drop("score")
-    maps = word_score_map(df, id_col, tokens, lexicon)
-    return df.join(maps, id_col, "left").join(classes, id_col, "left")
+    """The whole frame plus ``classify_data`` (word map) and ``classified``.
+
+    Map and score come from the same pass over the distinct words of each document.
+    """
+    cells = df.select(id_col, F.inline_outer(term_bag(tokens)))
+    weighed = word_weights(cells, lexicon, F.struct(F.col(id_col), F.col("term")))
+    entry = F.when(F.col("term").isNotNull(), F.struct("term", "weight"))
+    score = F.sum(F.col("weight") * F.coalesce("tf", F.lit(0)))
+    scored = weighed.groupBy(id_col).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("classify_data"),
+        sign_class(score).alias("classified"),
+    )
+    return df.join(scored, id_col, "left")

@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Sizes of the fits below; full grids are parameters of the operators.
 RFF_SIZE = 8
-FIT_ITERATIONS = 20
+FIT_ITERATIONS = 10
 FIT_FEATURES = 500
 
 

@@ -148,8 +148,8 @@ def lexicon_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenised(spark, sf_dir, "doc_id", "source")
     framed = L.classify_frame(docs, "doc_id", F.col("tokens"), lexicon_small(spark))
-    words = F.coalesce(F.size("classify_data"), F.lit(0))
-    return framed.select("doc_id", "source", words.alias("n_words"), "classified")
+    words = F.size("classify_data").alias("n_words")
+    return framed.select("doc_id", "source", words, "classified")
 
 
 QUERIES: dict[str, Query] = {

@@ -61,7 +61,7 @@ def test_stage_results_round_trip(spark, tmp_path):
     files.write_csv(frame, str(tmp_path / "out"))
     back = files.read_csv(spark, str(tmp_path / "out"), "id int, classify_data string, classified int")
     found = {r["id"]: (r["classify_data"], r["classified"]) for r in back.collect()}
-    assert found == {1: ('{"baik":3,"buruk":0}', 1), 2: (None, 0)}
+    assert found == {1: ('{"baik":3,"buruk":0}', 1), 2: ("{}", 0)}
 
 
 def test_token_files(spark, tmp_path):
