@@ -1,7 +1,7 @@
 """Arithmetic on ``array<double>`` columns.
 
-Model parameters (centres, class means, weights) reach the rows as one array-typed
-scalar sub-query, so scoring is a narrow projection without a join.
+Model parameters (centres, weights) reach the rows as one array-typed scalar sub-query,
+so scoring is a narrow projection without a join.
 """
 
 from __future__ import annotations
@@ -31,9 +31,3 @@ def dot(a: Column, b: Column) -> Column:
 
 def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
-
-
-def argmax(scored: Column) -> Column:
-    """Of ``array<struct<score, label>>`` the entry of highest score, lowest label first."""
-    best = F.array_max(F.transform(scored, lambda s: s["score"]))
-    return F.get(F.array_sort(F.filter(scored, lambda s: s["score"] == best)), F.lit(0))

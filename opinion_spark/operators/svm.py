@@ -229,8 +229,12 @@ def _accuracy() -> MulticlassClassificationEvaluator:
 
 
 def repeated_evaluation(
-    df: DataFrame, id_col: str, machine: PairwiseSVC, n_splits: int = 10,
-    test_size: float = 0.1, parallelism: int = 4,
+    df: DataFrame,
+    id_col: str,
+    machine: PairwiseSVC,
+    n_splits: int = 10,
+    test_size: float = 0.1,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Predictions ``(split, id, y_true, y_pred)`` on stratified splits.
 
