@@ -3,21 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opinion_spark.llm import decontaminate, jaccard, store
+from opinion_spark.llm import decontaminate, jaccard, packing, pii, quality_rules, store
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def sound_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.kept_documents(docs)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingle overlap."""
     return jaccard.keep_one_per_component(docs)
 
 
-def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("ngram_jaccard_join", near_copies), ("benchmark_decontamination", benchmark_passages)]
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; ``n_chars`` follows the text."""
+    clean = pii.redacted(docs, pii.trained(pii.training_windows(docs)))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", sound_documents),
+    ("ngram_jaccard_join", one_of_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("pii", without_personal_data),
+    ("best_fit_packing", sequences),
+]
 
 #: Trained span models and token ids are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

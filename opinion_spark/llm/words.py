@@ -28,6 +28,25 @@ _FOLDED[ord("A") : ord("Z") + 1] = _EXACT[ord("a") : ord("z") + 1]
 _powers = np.ones(1, np.uint64)
 
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """A bijective finaliser (SplitMix64), so that every output bit depends on every input bit."""
+    x = values.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def byte_table(classes: dict[int, int]) -> np.ndarray:
+    """Numbers for bytes by which bytes of one class look alike; others stay themselves, blanks stay blanks."""
+    out = _EXACT.copy()
+    for byte, kind in classes.items():
+        out[byte] = mixed(np.array([kind], np.uint64))[0] | np.uint64(1)
+    return out
+
+
 class WordTable(NamedTuple):
     """The words of consecutive texts: text ``i`` has the words ``first[i]:first[i + 1]``; word ``w`` is
     ``data[starts[w]:ends[w]]``; text ``i`` begins at byte ``offsets[i]``."""
@@ -40,17 +59,6 @@ class WordTable(NamedTuple):
     offsets: np.ndarray
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """A bijective finaliser (SplitMix64), so that every output bit depends on every input bit."""
-    x = values.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
 def _powers_to(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
@@ -72,8 +80,9 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text, offsets.astype(np.int64) - low
 
 
-def word_table(column: pa.Array, fold: bool) -> WordTable:
-    """All words of a text column; ``fold`` treats A-Z as a-z."""
+def word_table(column: pa.Array, fold: bool, table: np.ndarray | None = None) -> WordTable:
+    """All words of a text column; ``fold`` treats A-Z as a-z, ``table`` gives other numbers for bytes."""
+    numbers = table if table is not None else _FOLDED if fold else _EXACT
     data, offsets = raw(column)
     n = len(data)
     inside = ~_BLANK[data]
@@ -96,7 +105,7 @@ def word_table(column: pa.Array, fold: bool) -> WordTable:
     place = np.arange(n - begin) - np.repeat(starts - begin, span)
     length = ends - starts
     place = np.minimum(place, int(length.max()) - 1)  # blanks after a word count nothing
-    values = (_FOLDED if fold else _EXACT)[data[begin:]] * _powers_to(int(length.max()))[place]
+    values = numbers[data[begin:]] * _powers_to(int(length.max()))[place]
     sums = np.add.reduceat(values, starts - begin)
     hashes = mixed(sums + length.astype(np.uint64))
     return WordTable(hashes, np.searchsorted(starts, offsets), starts, ends, data, offsets)
