@@ -188,7 +188,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: tuple
     most_word = F.greatest(F.lit(MAX_WORD_DISTANCE), WORD_NOISE / F.sqrt("n_words"))
     fits = F.coalesce(F.col("class_distance") <= most_class, F.lit(True)) & F.coalesce(F.col("word_distance") <= most_word, F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed"]
-    return joined.select("_row.*", *names, (~F.col("base_failed") & fits).alias("kept"))
+    # One opaque value: a filter on it is not split and pushed below the counts, where it would count again.
+    return joined.select("_row.*", *names, let(~F.col("base_failed") & fits, lambda kept: kept).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
