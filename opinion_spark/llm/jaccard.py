@@ -12,10 +12,9 @@ the product sparse, and none of them loses a link:
 * Columns are ordered with the most frequent ones last, so passages that many documents share are rarely among
   the first. The order changes the work only, never the result.
 
-Columns with more than ``SHORT`` rows (large groups of near copies) are not multiplied out: their rows are
-tested against a few leading rows of the column, the links found are contracted to components, and only rows
-of different components are tested further, leader by leader, until no column holds two components that
-have not been tested against each other.
+Columns with more than ``SHORT`` rows (large groups of near copies) are not multiplied out at first: each row of them is
+tested against one leading row, the links found are contracted to components, and then only rows of different components
+are multiplied, under the same bounds.
 
 NULL and blank texts have no shingles and are linked with nothing. Repeated rows are equal rows of one class.
 A document below five words has its whole word sequence as its only shingle.
@@ -45,9 +44,8 @@ FREQUENT = 3
 ORDERED = 65_536
 #: Bits of the filter of rows whose sets are needed: 1 MB at any input size. False hits cost work only.
 FILTER_BITS = 1 << 23
-#: Rounds in which every row of a long column meets one leader, before leaders are tried in turn.
+#: Rounds in which every row of a long column meets one leader of one of its columns.
 STAR_ROUNDS = 2
-LEADERS = 256
 #: A shingle reported so often in all is a long column from the start; its rows need not meet in one task.
 LONG = 1_000
 
@@ -135,17 +133,17 @@ def _postings(hot_shared, rank_shared):
 
 
 def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by (shingle, class) to pairs of rows that share a short column (``long`` false: a, b, sizes), and
-    the rows of long columns (``long`` true: shingle, class, size, position)."""
-    names = ["long", "a", "b", "na", "nb"]
+    """Postings sorted by (shingle, class) to pairs of rows that share a short column (``long`` false: a, b, sizes, whether
+    the column stands early enough), and the rows of long columns (``long`` true: shingle, class, size, position)."""
+    names = ["long", "a", "b", "na", "nb", "early"]
 
-    def made(is_long: bool, *columns: np.ndarray) -> pa.RecordBatch:
-        flags = np.full(len(columns[0]), is_long)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (flags, *columns)], names)
+    def made(is_long: bool, a, b, na, nb, early) -> pa.RecordBatch:
+        flags = np.full(len(a), is_long)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (flags, a, b, na, nb, early)], names)
 
     def rows_of_long(s, c, p):
         at = np.abs(p)
-        return made(True, s, c, at >> 32, at & 0xFFFFFFFF)
+        return made(True, s, c, at >> 32, at & 0xFFFFFFFF, np.ones(len(s), bool))
 
     def block(s, c, p):
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -154,7 +152,7 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (many := of > SHORT).any():
             yield rows_of_long(s[many], c[many], p[many])
         keep = (of > 1) & ~many
-        s, c, n = s[keep], c[keep], p[keep] >> 32
+        s, c, n, at = s[keep], c[keep], p[keep] >> 32, p[keep] & 0xFFFFFFFF
         for step in range(1, SHORT):
             if len(s) <= step:
                 break
@@ -162,9 +160,11 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not same.any():
                 break
             a, b, na, nb = c[:-step][same], c[step:][same], n[:-step][same], n[step:][same]
-            fits = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+            least = -(-PERCENT * (na + nb) // (100 + PERCENT))
+            early = (at[:-step][same] + least <= na) & (at[step:][same] + least <= nb)
+            fits = least <= np.minimum(na, nb)
             if fits.any():
-                yield made(False, a[fits], b[fits], na[fits], nb[fits])
+                yield made(False, a[fits], b[fits], na[fits], nb[fits], early[fits])
 
     rest = [np.empty(0, np.int64)] * 3
     open_long = None
@@ -266,29 +266,30 @@ def _filter_of(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _least_by_list(rows: DataFrame, *keys: Column | str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min(F.struct("position", "class", "n", "component")).alias("leader"))
+def _early(n: Column, position: Column, other_n: Column, other_position: Column) -> Column:
+    """Whether a common column stands early enough in both rows for the overlap that the pair needs."""
+    least = _least_overlap(n, other_n)
+    return (position + least <= n) & (other_position + least <= other_n)
 
 
-def _crossed(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Rows against leaders of their column in other components, where sizes allow a link."""
-    lead = leaders.select("shingle", *[F.col(f"leader.{c}").alias(f"lead_{c}") for c in ("class", "n", "component")])
+def _crossed(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of rows of one column and different components that can be linked."""
+    other = others.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "position", "component")])
     apart = (
-        (rows["shingle"] == lead["shingle"])
-        & (F.col("component") != F.col("lead_component"))
-        & (100 * F.least("n", "lead_n") >= PERCENT * F.greatest("n", "lead_n"))
+        (rows["shingle"] == other["shingle"])
+        & (F.col("component") != F.col("other_component"))
+        & _early(F.col("n"), F.col("position"), F.col("other_n"), F.col("other_position"))
     )
     return (
-        rows.join(lead, apart)
-        .select(F.least("class", "lead_class").alias("a"), F.greatest("class", "lead_class").alias("b"))
+        rows.join(other, apart)
+        .select(F.least("class", "other_class").alias("a"), F.greatest("class", "other_class").alias("b"))
         .distinct()
     )
 
 
 def _joined_long(rows: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges, with as many more as the long columns need for the right components."""
-    round_no = 0
-    while True:
+    for round_no in range(STAR_ROUNDS + 1):
         roots = components(edges)
         placed = rows.join(roots, rows["class"] == roots["node"], "left").select(
             *[rows[c] for c in ("shingle", "class", "n", "position")], F.coalesce("root", rows["class"]).alias("component")
@@ -299,24 +300,19 @@ def _joined_long(rows: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFram
             .where(F.col("low") != F.col("high"))
             .select("shingle")
         )
-        rows = landed(placed.join(open_lists, "shingle", "left_semi"))
-        if rows.isEmpty():
-            return edges
+        placed = landed(placed.join(open_lists, "shingle", "left_semi"))
+        if placed.isEmpty():
+            break
         if round_no < STAR_ROUNDS:
-            one = rows.groupBy("class").agg(
-                F.min_by(F.struct(*rows.columns), F.xxhash64("shingle", F.lit(round_no))).alias("row")
-            )
-            pairs = _crossed(one.select("row.*"), _least_by_list(rows, "shingle"))
+            turn = F.struct("position", "shingle") if round_no == 0 else F.struct(F.xxhash64("shingle"), F.col("shingle"))
+            one = placed.groupBy("class").agg(F.min_by(F.struct(*placed.columns), turn).alias("row")).select("row.*")
+            first = placed.groupBy("shingle").agg(F.min(F.struct("position", "class", "n", "component")).alias("first"))
+            pairs = _crossed(one, first.select("shingle", "first.*"))
         else:
-            salt = F.pmod(F.xxhash64("class"), F.lit(LEADERS)).alias("salt")
-            leaders = landed(_least_by_list(rows, "shingle", salt))
-            pairs = _crossed(rows, leaders)
-            done = leaders.select("shingle", F.col("leader.class").alias("class"))
-            left = rows.join(done, ["shingle", "class"], "left_anti")
+            above = placed.select(*[F.col(c).alias(c) for c in placed.columns])
+            pairs = _crossed(placed, above)
         edges = landed(edges.unionByName(_linked(pairs, sets)))
-        rows = rows if round_no < STAR_ROUNDS else left
-        rows = rows.select("shingle", "class", "n", "position")
-        round_no += 1
+    return edges
 
 
 def _analysed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -345,17 +341,7 @@ def _analysed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
         only_text.mapInArrow(_postings(hot_shared, rank_shared), "shingle long, class long, place long")
         .repartition(F.col("shingle"), spread)
         .sortWithinPartitions("shingle", "class")
-        .mapInArrow(_product, "long boolean, a long, b long, na long, nb long")
-    )
-    pairs = landed(
-        product.where(~F.col("long"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .where(
-            F.col("shared") + F.greatest(_untouched(F.col("na")), _untouched(F.col("nb")))
-            >= _least_overlap(F.col("na"), F.col("nb"))
-        )
-        .select("a", "b")
+        .mapInArrow(_product, "long boolean, a long, b long, na long, nb long, early boolean")
     )
     in_lists = product.where("long").select(
         F.col("a").alias("shingle"), F.col("b").alias("class"), F.col("na").alias("n"), F.col("nb").alias("position")
@@ -365,6 +351,23 @@ def _analysed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
         in_lists.dropDuplicates(["shingle", "class"]).join(sizes.where(F.col("low") != F.col("high")).select("shingle"), "shingle", "left_semi")
     )
 
+    # Long columns are not in the accumulated overlap: both rows may share as many as the one with fewer has.
+    hidden = landed(rows.groupBy("class").agg(F.count("*").alias("hidden")))
+    counted = (
+        product.where(~F.col("long"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("early").alias("early"))
+        .where("early")
+    )
+    for side in ("a", "b"):
+        counted = counted.join(hidden.select(F.col("class").alias(side), F.col("hidden").alias(f"hidden_{side}")), side, "left")
+    most = (
+        F.col("shared")
+        + F.least(F.coalesce("hidden_a", F.lit(0)), F.coalesce("hidden_b", F.lit(0)))
+        + F.greatest(_untouched(F.col("na")), _untouched(F.col("nb")))
+    )
+    pairs = landed(counted.where(most >= _least_overlap(F.col("na"), F.col("nb"))).select("a", "b"))
+
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(rows.select("class"))
     filter_shared = sc.broadcast(_filter_of(wanted))
     sets = landed(
