@@ -45,7 +45,9 @@ ORDERED = 65_536
 #: Bits of the filter of rows whose sets are needed: 1 MB at any input size. False hits cost work only.
 FILTER_BITS = 1 << 23
 #: Rounds in which every row of a long column meets one leader of one of its columns.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Bits of a row's signature, by which most pairs are found too different before whole sets are moved.
+SIGNATURE_BITS = 1024
 #: A shingle reported so often in all is a long column from the start; its rows need not meet in one task.
 LONG = 1_000
 
@@ -196,30 +198,50 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block(*rest)
 
 
+def _signature(found: np.ndarray) -> bytes:
+    """A bit per shingle, at a place given by its hash."""
+    bits = np.zeros(SIGNATURE_BITS, bool)
+    bits[(found % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(filter_shared):
-    """text to (class, shingles) where the filter has the class."""
+    """(key, text) to (class, n, signature, shingles) where the filter has the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = filter_shared.value, set()
+        bits = filter_shared.value
         for batch in batches:
-            for part in W.slices(batch, 0):
-                names, sets = [], []
-                for found in W.shingle_sets(part.column(0)):
-                    if not len(found) or (name := W.set_hash(found)) in seen:
-                        continue
-                    bit = name % FILTER_BITS
-                    if bits[bit >> 3] >> (bit & 7) & 1:
-                        seen.add(name)
-                        names.append(name)
-                        sets.append(found.tobytes())
-                if len(seen) > 500_000:
-                    seen.clear()
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sets, pa.binary())], ["class", "shingles"])
+            place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+            for part in W.slices(batch, 1):
+                found = [x for x in W.shingle_sets(part.column(1)) if len(x)]
+                columns = [
+                    pa.array([W.set_hash(x) for x in found], pa.int64()),
+                    pa.array([len(x) for x in found], pa.int64()),
+                    pa.array([_signature(x) for x in found], pa.binary()),
+                    pa.array([x.tobytes() for x in found], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "n", "signature", "shingles"])
 
     return run
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sizes, signatures) to the pairs that can be linked: a shingle of a whose bit b lacks is not in b."""
+
+    def table(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+    for batch in batches:
+        na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+        left, right = table(batch.column(4)), table(batch.column(5))
+        only_left = np.bitwise_count(left & ~right).sum(1, dtype=np.int64)
+        only_right = np.bitwise_count(right & ~left).sum(1, dtype=np.int64)
+        most = np.minimum(na - only_left, nb - only_right)
+        keep = 100 * most >= PERCENT * (na + nb - most)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -231,12 +253,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
-    return (
-        pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
-    )
+    """The pairs (a, b) whose whole sets reach the similarity: signatures first, then the sets of what they leave."""
+
+    def of(side: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+
+    marks = pairs.select("a", "b").join(of("a", "n", "signature"), "a").join(of("b", "n", "signature"), "b")
+    left = landed(marks.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(_possible, "a long, b long"))
+    whole = left.join(of("a", "shingles"), "a").join(of("b", "shingles"), "b")
+    return whole.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verified, "a long, b long")
 
 
 def _least_overlap(a: Column, b: Column) -> Column:
@@ -249,11 +274,11 @@ def _untouched(n: Column) -> Column:
     return F.ceil(PERCENT * n / F.lit(100)) - 1
 
 
-def _filter_of(classes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with the bit of every class set; its size does not depend on the input."""
-    bit = F.pmod(F.col("class"), F.lit(FILTER_BITS)) + 1  # Spark's buckets count from one
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with the bit of every key set; its size does not depend on the input."""
+    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS)) + 1  # Spark's buckets count from one
     rows = (
-        classes.select(bit.alias("bit"))
+        keys.select(bit.alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         .collect()
@@ -289,6 +314,8 @@ def _crossed(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 def _joined_long(rows: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges, with as many more as the long columns need for the right components."""
+    if rows.isEmpty():
+        return edges
     for round_no in range(STAR_ROUNDS + 1):
         roots = components(edges)
         placed = rows.join(roots, rows["class"] == roots["node"], "left").select(
@@ -369,12 +396,11 @@ def _analysed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     pairs = landed(counted.where(most >= _least_overlap(F.col("na"), F.col("nb"))).select("a", "b"))
 
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(rows.select("class"))
-    filter_shared = sc.broadcast(_filter_of(wanted))
-    sets = landed(
-        only_text.mapInArrow(_sets(filter_shared), "class long, shingles binary")
-        .groupBy("class")
-        .agg(F.first("shingles").alias("shingles"))
-    )
+    # One row stands for its class; equal rows may come twice, which repeats pairs and changes nothing.
+    keys = members.join(wanted.distinct(), "class", "left_semi").groupBy("class").agg(F.min("key").alias("key"))
+    filter_shared = sc.broadcast(_filter_of(keys))
+    keyed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text))
+    sets = landed(keyed.mapInArrow(_sets(filter_shared), "class long, n long, signature binary, shingles binary"))
     edges = _joined_long(rows, landed(_linked(pairs, sets)), sets)
     return members, components(edges)
 
