@@ -24,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.llm import words as W
+from opinion_spark.llm.filters import key_filter, passes
 from opinion_spark.llm.store import landed, row_key
 
 WIDTH = 35
-#: A perfect difference set: every number modulo 21 is a difference of two of its elements.
-PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+#: A perfect difference set: every number modulo 13 is a difference of two of its elements.
+PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Occurrences are combined in runs of about so many.
 RUN_ROWS = 1_000_000
 
-_OCCURRENCES = "hash long, key long, at long, known boolean"
+#: A place below -1 is a known one: -2 minus the place.
+_OCCURRENCES = "hash long, key long, at long"
 
 
 def is_difference_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -54,10 +56,9 @@ def _combined(runs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iter
         columns = [
             np.concatenate([h, mark]),
             np.concatenate([key, np.zeros(len(mark), np.int64)]),
-            np.concatenate([at, np.full(len(mark), -1)]),
-            np.concatenate([known, np.zeros(len(mark), bool)]),
+            np.concatenate([np.where(known, -2 - at, at), np.full(len(mark), -1)]),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "key", "at", "known"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "key", "at"])
 
     held, rows = [], 0
     for run in runs:
@@ -97,7 +98,7 @@ def _places(value: pa.Scalar) -> np.ndarray:
 
 
 def _windows(period: int, width: int):
-    """(key, text, anchor places) to whole windows around the anchors."""
+    """(row, text, anchor places) to whole windows around the anchors."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -138,10 +139,10 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rest = [np.empty(0, np.int64)] * 3
     for batch in batches:
-        h, key, at, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        known = known.astype(bool)
+        h, key, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        known = at < -1
         if known.any():
-            yield made(key[known], at[known])
+            yield made(key[known], -2 - at[known])
         h, key, at = (np.concatenate([old, new[~known]]) for old, new in zip(rest, (h, key, at), strict=True))
         cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
         if cut:
@@ -156,7 +157,7 @@ def _repeated(occurrences: DataFrame) -> DataFrame:
 
     Known occurrences are dealt by key, the others by hash; places of a row come together at the end.
     """
-    dealt = F.when(F.col("known"), F.xxhash64("key", "at")).otherwise(F.col("hash"))
+    dealt = F.when(F.col("at") < -1, F.xxhash64("key", "at")).otherwise(F.col("hash"))
     places = occurrences.repartition(dealt).sortWithinPartitions("hash").mapInArrow(_several, "key long, at long")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +208,19 @@ def removed_repeats(
         raise ValueError("no difference cover, or a window shorter than the period")
     key = row_key(F.col(doc_id), F.col(text)).alias("key")
     keyed = docs.select(key, F.col(text).cast("string").alias("text"))
-    anchors = _repeated(keyed.mapInArrow(_anchors(cover, period, width - period + 1), _OCCURRENCES))
-    candidates = landed(keyed.join(anchors, "key").select("key", "text", "at"))
-    windows = _repeated(candidates.mapInArrow(_windows(period, width), _OCCURRENCES))
-    single = candidates.dropDuplicates(["key"]).select("key", "text")
-    changed = single.join(windows, "key").select("key", "text", "at").mapInArrow(_kept(width), "key long, n_removed long, kept_sha256 string")
+    anchors = landed(_repeated(keyed.mapInArrow(_anchors(cover, period, width - period + 1), _OCCURRENCES)))
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(anchors))
+
+    def with_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    keyed = keyed.mapInArrow(with_anchors, keyed.schema)
+    # Small row numbers stand for the keys from here on: they compress, as most rows of a shuffle are windows.
+    candidates = landed(keyed.join(anchors, "key").select("key", "text", "at", F.monotonically_increasing_id().alias("row")))
+    windows = _repeated(candidates.select("row", "text", "at").mapInArrow(_windows(period, width), _OCCURRENCES))
+    found = candidates.drop("at").join(windows.withColumnRenamed("key", "row"), "row").select("key", "text", "at")
+    changed = found.mapInArrow(_kept(width), "key long, n_removed long, kept_sha256 string").dropDuplicates(["key"])
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key, F.col(text).cast("string")).mapInArrow(
         _whole, "doc_id long, key long, n_words long, whole string"
     )

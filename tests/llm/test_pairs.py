@@ -99,6 +99,7 @@ def test_runs_of_occurrences_do_not_change_the_result(spark, monkeypatch):
 
 def test_the_cover_is_one():
     assert substrings.is_difference_cover(substrings.COVER, substrings.PERIOD)
+    assert substrings.is_difference_cover((0, 1, 4, 14, 16), 21)
     assert not substrings.is_difference_cover((0, 1, 4), 21)
 
 
