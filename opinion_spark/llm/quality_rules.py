@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from opinion_spark.functions.vector import let
 from opinion_spark.llm.store import landed
 
-#: Character classes as patterns; a character outside all of them is in a last class.
-CLASSES = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]"]
+#: Character classes as patterns. Two more classes follow: blanks, and all other characters (small letters, mostly).
+CLASSES = [r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]"]
 #: Common words of the languages, twelve each for English, German, French and Spanish.
 COMMON_WORDS = sorted(
     set(
@@ -47,10 +47,11 @@ def _count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))
 
 
-def class_counts(text: Column) -> Column:
-    """Characters per class, the last element those of no class."""
-    known = [_count_of(text, p) for p in CLASSES]
-    return let(F.array(*known), lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
+def class_counts(text: Column, words: Column) -> Column:
+    """Characters per class of CLASSES, then blanks, then all others."""
+    blanks = F.length(text) - F.length(F.array_join(words, ""))
+    known = F.array(*[_count_of(text, p) for p in CLASSES], blanks)
+    return let(known, lambda c: F.concat(c, F.array(F.length(text) - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
 
 
 def common_counts(text: Column) -> Column:
@@ -133,63 +134,59 @@ def n_dup_lines(text: Column) -> Column:
     )
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """A row per language: ``lang``, and the summed histograms ``classes`` and ``common``. Partial sums leave the map side, so a
-    language that holds most rows is no hot key."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    n_classes, n_common = len(CLASSES) + 1, len(COMMON_WORDS) + 1
-    counts = docs.select(F.col(lang).alias("lang"), class_counts(whole).alias("classes"), common_counts(whole).alias("common"))
-    sums = counts.groupBy("lang").agg(
-        *[F.sum(F.get("classes", F.lit(i))).alias(f"k{i}") for i in range(n_classes)],
-        *[F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)],
-    )
-    return sums.select(
-        "lang",
-        F.array(*[F.col(f"k{i}") for i in range(n_classes)]).alias("classes"),
-        F.array(*[F.col(f"w{i}") for i in range(n_common)]).alias("common"),
-    )
-
-
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns with the base counts, both distances, ``base_failed`` and ``kept``.
-
-    The references are landed, so that Spark knows their size and broadcasts them only when they are small.
-    """
-    references = landed(language_references(docs, text, lang)).select(
-        F.col("lang").alias("_lang"), F.col("classes").alias("_classes"), F.col("common").alias("_common")
-    )
-    counted = (
+def _counted(docs: DataFrame, text: str, lang: str, carry: tuple[str, ...]) -> DataFrame:
+    """The one pass over the texts: counts of the base rules and both histograms per row."""
+    return (
         docs.select(
-            F.struct(*[F.col(c) for c in carry]).alias("_row"), F.col(lang).alias("_of"), F.coalesce(F.col(text), F.lit("")).alias("_text")
+            F.struct(*[F.col(c) for c in carry]).alias("_row"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text")
         )
         .withColumn("_words", words_of(F.col("_text")))
         .select(
             "_row",
-            "_of",
+            "_lang",
             F.size("_words").cast("long").alias("n_words"),
             F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
             _count_of(F.col("_text"), r"[#*$%&|<>]").cast("long").alias("n_symbols"),
             n_dup_lines(F.col("_text")).cast("long").alias("n_dup_lines"),
             n_repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
             F.length("_text").alias("_chars"),
-            class_counts(F.col("_text")).alias("_own_classes"),
-            common_counts(F.col("_text")).alias("_own_common"),
+            class_counts(F.col("_text"), F.col("_words")).alias("_classes"),
+            common_counts(F.col("_text")).alias("_common"),
         )
     )
+
+
+def language_references(counted: DataFrame) -> DataFrame:
+    """A row per language: ``lang`` and the summed histograms ``classes`` and ``common``. Partial sums leave the map side, so a
+    language that holds most rows is no hot key."""
+    sizes = {"classes": len(CLASSES) + 2, "common": len(COMMON_WORDS) + 1}
+    sums = counted.groupBy(F.col("_lang").alias("lang")).agg(
+        *[F.sum(F.get(f"_{name}", F.lit(i))).alias(f"{name}{i}") for name, n in sizes.items() for i in range(n)]
+    )
+    return sums.select("lang", *[F.array(*[F.col(f"{name}{i}") for i in range(n)]).alias(name) for name, n in sizes.items()])
+
+
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns with the base counts, both distances, ``base_failed`` and ``kept``.
+
+    The counts are landed, as the references are sums of them; the references are landed too, so that Spark knows their
+    size and broadcasts them only when they are small.
+    """
+    counted = landed(_counted(docs, text, lang, carry))
+    references = landed(language_references(counted))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    enough = F.aggregate("_common", F.lit(0).cast("long"), lambda a, x: a + x) >= MIN_LANGUAGE_WORDS
-    joined = counted.join(references, F.col("_of").eqNullSafe(F.col("_lang")), "left").select(
+    enough = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x) >= MIN_LANGUAGE_WORDS
+    joined = counted.join(references, F.col("_lang").eqNullSafe(F.col("lang")), "left").select(
         "*",
-        F.when(enough & (F.col("_chars") >= MIN_CHARS), js_distance(F.col("_own_classes"), F.col("_classes"))).alias("class_distance"),
-        F.when(enough & (F.col("n_words") >= MIN_WORDS), js_distance(F.col("_own_common"), F.col("_common"))).alias("word_distance"),
+        F.when(enough & (F.col("_chars") >= MIN_CHARS), js_distance(F.col("_classes"), F.col("classes"))).alias("class_distance"),
+        F.when(enough & (F.col("n_words") >= MIN_WORDS), js_distance(F.col("_common"), F.col("common"))).alias("word_distance"),
         failed.alias("base_failed"),
     )
     most_class = F.greatest(F.lit(MAX_CLASS_DISTANCE), CLASS_NOISE / F.sqrt("_chars"))
     most_word = F.greatest(F.lit(MAX_WORD_DISTANCE), WORD_NOISE / F.sqrt("n_words"))
     fits = F.coalesce(F.col("class_distance") <= most_class, F.lit(True)) & F.coalesce(F.col("word_distance") <= most_word, F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed"]
-    # One opaque value: a filter on it is not split and pushed below the counts, where it would count again.
-    return joined.select("_row.*", *names, let(~F.col("base_failed") & fits, lambda kept: kept).alias("kept"))
+    return joined.select("_row.*", *names, (~F.col("base_failed") & fits).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

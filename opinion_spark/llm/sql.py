@@ -63,13 +63,13 @@ counted AS (
   SELECT w.row, doc_id, lang, length(t) AS chars, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
-         [{", ".join(classes)}] AS known,
+         [{", ".join(classes)}, length(t) - coalesce(length(array_to_string(w, '')), 0)] AS known,
          list_transform([{common}], lambda c: len(list_filter(low, lambda x: x = c))) AS listed
   FROM w LEFT JOIN inside ON inside.row = w.row),
 histograms AS (
   SELECT *, list_append(known, chars - list_sum(known)::BIGINT) AS k, list_append(listed, n_words - list_sum(listed)::BIGINT) AS v FROM counted),
 sums AS (
-  SELECT lang, [{", ".join(f"sum(k[{i}])::DOUBLE" for i in range(1, len(CLASSES) + 2))}] AS rk,
+  SELECT lang, [{", ".join(f"sum(k[{i}])::DOUBLE" for i in range(1, len(CLASSES) + 3))}] AS rk,
          [{", ".join(f"sum(v[{i}])::DOUBLE" for i in range(1, n_common + 1))}] AS rv FROM histograms GROUP BY lang),
 judged AS (
   SELECT h.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

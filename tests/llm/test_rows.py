@@ -104,9 +104,10 @@ def test_quality_keeps_prose_and_rejects_strange_distributions(spark):
     assert quality_rules.kept_documents(docs).columns == docs.columns
 
 
-def test_rows_differ_by_one_character_class_at_most(spark):
-    row = spark.createDataFrame([("aB1 .#é中", )], "t string").select(quality_rules.class_counts(quality_rules.F.col("t")).alias("c")).first()
-    assert sum(row["c"]) == 8
+def test_every_character_is_in_one_class(spark):
+    text = spark.createDataFrame([("aB1 .#é中 ",)], "t string")
+    counts = quality_rules.class_counts(quality_rules.F.col("t"), quality_rules.words_of(quality_rules.F.col("t")))
+    assert text.select(counts.alias("c")).first()["c"] == [1, 1, 1, 1, 2, 3]
 
 
 def test_base_spans_equal_the_patterns():
