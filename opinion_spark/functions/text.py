@@ -31,8 +31,6 @@ _ASCII_SPACE = r"\t-\r\x1c-\x20"
 # Digits, punctuation and everything outside ASCII, as ranges (a negated class is slow).
 _DROPPED = r"!-@\[-`{-~\x{80}-\x{10FFFF}"
 
-# Above this many distinct fragments a stop-word set is no longer inlined in the plan.
-MAX_INLINE_FRAGMENTS = 50_000
 
 
 def _mention_or_link(word: str, space: str) -> str:
@@ -172,23 +170,6 @@ def drop_short(tokens: Column, at_least: int = 2) -> Column:
     return F.filter(tokens, lambda t: F.char_length(t) >= at_least)
 
 
-def stop_fragments(stopwords: Iterable[str], at_least: int = 2) -> set[str]:
-    """All substrings of the stop words, from ``at_least`` characters on.
-
-    A token without blanks occurs in the stop-word text exactly if it is one of these.
-    """
-    found = set()
-    for word in {w for line in stopwords for w in line.split()}:
-        for start in range(len(word)):
-            for end in range(start + at_least, len(word) + 1):
-                found.add(word[start:end])
-    return found
-
-
-def _sql_string(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def is_stopword(token: Column, stopwords: Iterable[str], mode: str = "substring") -> Column:
     """Whether a token counts as a stop word.
 
@@ -197,21 +178,17 @@ def is_stopword(token: Column, stopwords: Iterable[str], mode: str = "substring"
     """
     words = list(stopwords)
     if mode == "exact":
-        members = set(words)
-    elif mode == "substring":
-        members = stop_fragments(words, at_least=1) | {""}
-        if len(members) > MAX_INLINE_FRAGMENTS:
-            return F.contains(F.lit("\n".join(words)), token)
-    else:
-        raise ValueError(f"unknown stop-word mode: {mode!r}")
-    return token.isin(sorted(members)) if members else F.lit(False)
+        return token.isin(sorted(set(words))) if words else F.lit(False)
+    if mode == "substring":
+        return F.contains(F.lit("\n".join(words)), token)
+    raise ValueError(f"unknown stop-word mode: {mode!r}")
 
 
 def drop_stopwords(tokens: Column, stopwords: Iterable[str], mode: str = "substring") -> Column:
     """Remove stop words from a token array, row by row (no shuffle).
 
-    The membership test is one hash probe per token: Catalyst turns the literal list
-    into a set. For lists too long to inline use ``vocabulary.stopword_anti_join``.
+    Substring tests search the stop-word text; exact tests are one probe of a literal set. For long exact lists
+    use ``vocabulary.stopword_anti_join``.
     """
     words = list(stopwords)
     return F.filter(tokens, lambda t: ~is_stopword(t, words, mode))

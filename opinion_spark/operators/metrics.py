@@ -15,20 +15,17 @@ def pair_counts(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def confusion_matrix(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``(*by, y_true, y_pred, n)`` over the full grid of labels, 0 where none occurred."""
-    cells = pair_counts(predictions, by).groupBy(*by).agg(
-        F.collect_list(F.struct("y_true", "y_pred", "n")).alias("cells")
-    )
-    seen = F.concat(F.col("cells.y_true"), F.col("cells.y_pred"))
-    grid = cells.withColumn("labels", F.array_distinct(seen))
-    grid = grid.select(*by, "cells", "labels", F.explode("labels").alias("y_true"))
-    grid = grid.select(*by, "cells", "y_true", F.explode("labels").alias("y_pred"))
-    hit = F.filter(
-        "cells",
-        lambda c: (c["y_true"] == F.col("y_true")) & (c["y_pred"] == F.col("y_pred")),
-    )
-    n = F.coalesce(F.get(hit, F.lit(0))["n"], F.lit(0).cast("long"))
-    return grid.select(*by, "y_true", "y_pred", n.alias("n"))
+    """``(*by, y_true, y_pred, n)`` over the full grid of labels, 0 where none occurred.
+
+    The labels of a model are few; the grid is their square, each cell looked up by a hash join.
+    """
+    counts = pair_counts(predictions, by)
+    sides = counts.select(*by, F.explode(F.array("y_true", "y_pred")).alias("label"))
+    labels = sides.groupBy(*by).agg(F.collect_set("label").alias("labels"))
+    grid = labels.select(*by, "labels", F.explode("labels").alias("y_true"))
+    grid = grid.select(*by, "y_true", F.explode("labels").alias("y_pred"))
+    joined = grid.join(counts, [*by, "y_true", "y_pred"], "left")
+    return joined.select(*by, "y_true", "y_pred", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def confusion_flat(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

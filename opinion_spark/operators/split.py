@@ -114,10 +114,13 @@ def stratified_cuts(
 ) -> DataFrame:
     """``(split, label, cut)``: a row is test in a split if its hash is not above the cut."""
     numbers = F.sequence(F.lit(1), F.lit(n_splits))
-    rows = df.select(F.col(label), F.col(id_col), F.explode(numbers).alias("split"))
-    hashed = rows.select("split", label, split_hash(id_col, F.col("split")).alias("h"))
+    # A struct around the label: rows without a label are a class like any other.
+    rows = df.select(F.struct(F.col(label).alias("of")).alias("class"), F.col(id_col), F.explode(numbers).alias("split"))
+    hashed = rows.select("split", "class", split_hash(id_col, F.col("split")).alias("h"))
     quotas = stratified_quotas(df, label, test_size).withColumn("split", F.explode(numbers))
-    return _cut_hashes(hashed, ["split", label], quotas.select("split", label, "quota"))
+    wrapped = quotas.select("split", F.struct(F.col(label).alias("of")).alias("class"), "quota")
+    cuts = _cut_hashes(hashed, ["split", "class"], wrapped)
+    return cuts.select("split", F.col("class.of").alias(label), "cut")
 
 
 def stratified_shuffle_split(
@@ -128,7 +131,8 @@ def stratified_shuffle_split(
     numbers = F.sequence(F.lit(1), F.lit(n_splits))
     rows = df.select(id_col, label, F.explode(numbers).alias("split"))
     # One cut per split and class.
-    marked = rows.join(F.broadcast(cuts), ["split", label], "left")
+    of = F.broadcast(cuts.select(F.col("split").alias("_split"), F.col(label).alias("_label"), "cut"))
+    marked = rows.join(of, (F.col("split") == F.col("_split")) & F.col(label).eqNullSafe(F.col("_label")), "left")
     is_test = F.coalesce(split_hash(id_col, F.col("split")) <= F.col("cut"), F.lit(False))
     return marked.select(id_col, label, "split", is_test.alias("is_test"))
 
@@ -146,7 +150,7 @@ def with_test_splits(
     ).scalar()
     mine = F.filter(
         "_cuts",
-        lambda c: (c["label"] == F.col(label)) & (split_hash(id_col, c["split"]) <= c["cut"]),
+        lambda c: c["label"].eqNullSafe(F.col(label)) & (split_hash(id_col, c["split"]) <= c["cut"]),
     )
     listed_rows = df.withColumn("_cuts", listed)
     return listed_rows.withColumn(name, F.transform(mine, lambda c: c["split"])).drop("_cuts")

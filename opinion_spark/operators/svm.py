@@ -61,7 +61,7 @@ def fourier_weights(dims: int, count: int, gamma: float, seed: int) -> tuple[np.
 def fourier_map(features: Column, directions: np.ndarray, phases: np.ndarray) -> Column:
     """``sqrt(2/D) cos(x W + b)`` as ``array<double>``.
 
-    A dense matrix product per row: one matrix multiplication per Arrow batch.
+    A dense matrix product per row: one matrix multiplication per Arrow batch. NULL stays NULL.
     """
     scale = float(np.sqrt(2.0 / len(phases)))
 
@@ -69,8 +69,12 @@ def fourier_map(features: Column, directions: np.ndarray, phases: np.ndarray) ->
     def project(batch: pd.Series) -> pd.Series:
         if batch.empty:
             return pd.Series([], dtype=object)
-        x = np.stack(batch.to_numpy()).astype(float)
-        return pd.Series(list(scale * np.cos(x @ directions + phases)))
+        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        given = batch[batch.notna()]
+        if len(given):
+            x = np.stack(given.to_numpy()).astype(float)
+            out[given.index] = list(scale * np.cos(x @ directions + phases))
+        return out
 
     return project(doubles(features))
 

@@ -95,6 +95,22 @@ def build_stem_table(
     return vocabulary.select("term").distinct().select("term", stem_batch("term").alias("stem"))
 
 
+def stem_arrays(tokens: Column, stem: Callable[[pd.Series], pd.Series]) -> Column:
+    """The stems of a token array, empty ones dropped; nothing is shuffled.
+
+    Evaluated in Arrow batches; each distinct word of a batch is stemmed once. NULL gives no stems.
+    """
+
+    @F.pandas_udf("array<string>")
+    def stemmed(batch: pd.Series) -> pd.Series:
+        lists = [[] if v is None else list(v) for v in batch]
+        codes, words = pd.factorize(pd.Series([w for v in lists for w in v], dtype=object))
+        stems = iter(stem(pd.Series(words, dtype=object)).to_numpy()[codes] if len(words) else [])
+        return pd.Series([[s for s in (next(stems) for _ in v) if s] for v in lists], index=batch.index)
+
+    return stemmed(tokens)
+
+
 def apply_stems(tokens: DataFrame, stems: DataFrame, spread_by: Column) -> DataFrame:
     """Replace ``term`` by its stem where the ``(term, stem)`` table has one; drop empty ones."""
     joined = lookup_join(tokens, stems, "term", spread_by)

@@ -64,9 +64,9 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tf_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tokenised(spark, sf_dir, "doc_id")
-    top = W.top_terms(V.document_frequency(docs, F.col("tokens")), TOP_TERMS)
-    return W.tf_per_document(docs, "doc_id", F.col("tokens"), materialized(top))
+    """Counts of every term of the conversations' vocabulary in the documents."""
+    terms = materialized(V.vocabulary(tokenised(spark, sf_dir, name="conversations"), F.col("tokens")))
+    return W.tf_per_document(tokenised(spark, sf_dir, "doc_id"), "doc_id", F.col("tokens"), terms)
 
 
 def _frequencies(docs: DataFrame) -> tuple[DataFrame, int]:

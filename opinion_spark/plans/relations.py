@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions import text as T
 from opinion_spark.operators import vocabulary as V
-from opinion_spark.sources.files import spread
 
 # Fixed values shared with the equivalent SQL.
 STOPWORDS = ["the", "and", "of", "to", "der", "die", "und", "de", "la", "le", "el", "en"]
@@ -41,9 +40,8 @@ TEXT_KEYS = {
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a text table, spread over all cores."""
-    keys = TEXT_KEYS[name]
-    return spread(table(spark, sf_dir, name).select(*dict.fromkeys([*keys, *columns])), *keys)
+    """The named columns of a text table and its keys."""
+    return table(spark, sf_dir, name).select(*dict.fromkeys([*TEXT_KEYS[name], *columns]))
 
 
 def lexicon_small(spark: SparkSession) -> DataFrame:

@@ -70,11 +70,13 @@ def stopword_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("term").agg(F.count("*").alias("tf"))
 
 
-def _stems(docs: DataFrame) -> DataFrame:
-    def strip_ending(words: pd.Series) -> pd.Series:
-        stripped = words.str.replace(r"(tion|ing|ment)$", "", regex=True)
-        return words.where(words.str.len() <= 6, stripped)
+def strip_ending(words: pd.Series) -> pd.Series:
+    """A stand-in for a stemmer: three endings of long words."""
+    stripped = words.str.replace(r"(tion|ing|ment)$", "", regex=True)
+    return words.where(words.str.len() <= 6, stripped)
+
 
+def _stems(docs: DataFrame) -> DataFrame:
     return V.build_stem_table(V.vocabulary(docs, F.col("tokens")), strip_ending)
 
 
@@ -84,11 +86,8 @@ def vocab_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stem_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokenised(spark, sf_dir, "doc_id")
-    tokens = V.positioned_tokens(docs, "doc_id", F.col("tokens"))
-    stems = materialized(_stems(docs).where("stem <> term"))
-    stemmed = V.apply_stems(tokens, stems, F.struct("doc_id", "pos"))
-    grouped = V.regroup_tokens(stemmed, "doc_id")
-    return grouped.select("doc_id", F.array_join("tokens", " ").alias("preprocessed"))
+    stems = V.stem_arrays(F.col("tokens"), strip_ending)
+    return docs.select("doc_id", F.array_join(stems, " ").alias("preprocessed"))
 
 
 def stage_detail(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,20 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row; quoted fields may hold line breaks and doubled quotes.
 
-    Columns are found by header name, in any order; columns outside the schema (such as
-    written row indexes) are not read. ``multiLine`` files are read whole by one task
-    each: pass many files rather than one large one, or ``land`` them once as Parquet.
+    Columns are found by header name, in any order and in every file; columns outside the schema (such as
+    written row indexes) are not read, and a file without one of them is an error. Files with equal headers are
+    read together. A ``multiLine`` file is read whole by one task, which bounds its size: pass many files rather than one
+    large one, or ``land`` them once as Parquet.
     """
-    raw = spark.read.options(**_CSV, multiLine=True, lineSep="\n").csv(path)
+    reader = spark.read.options(**_CSV, multiLine=True, lineSep="\n")
+    found = spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        by_header.setdefault(tuple(reader.csv(row["path"]).columns), []).append(row["path"])
     fields = S.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wanted = [f for f in fields if columns is None or f.name in columns]
-    return raw.select(*[_typed(f) for f in wanted])
+    parts = [reader.csv(paths).select(*[_typed(f) for f in wanted]) for paths in by_header.values()]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], S.StructType(wanted))
 
 
 def land(df: DataFrame, path: str) -> DataFrame:
@@ -67,20 +74,6 @@ def land(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of few splits one partition per core; leave any other scan alone.
-
-    Work on text is heavy compared with its size, so a small table in one row group, or
-    a handful of unsplittable files, is worth a shuffle of the raw rows. A large table
-    has more splits than cores and is not touched. Hashing on the id keeps the placement
-    stable and serves later grouping by the id.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def tag_sources(sources: Mapping[str, DataFrame], codes: Mapping[str, int]) -> DataFrame:
     """Stack named frames; ``source_name`` and the topic code ``keyword`` tell them apart."""
     parts = [

@@ -39,8 +39,10 @@ SQL: dict[str, str] = {
     "tfidf": f"""{_STOPPED}, {_COUNTS}
         SELECT doc_id, tf.term, tf.tf, {f.six('tf.tf * ln(n.n / df.df)')} AS weight
         FROM tf JOIN df ON tf.term = df.term, n""",
-    "tf_per_document": f"""{_LONG}, {_COUNTS}, {_TOP}
-        SELECT doc_id, tf.term, tf FROM tf JOIN top ON tf.term = top.term""",
+    "tf_per_document": f"""{_LONG}, {_COUNTS},
+        {f.docs_cte(name='turns', source='conversations')},
+        terms AS (SELECT DISTINCT unnest(tokens) AS term FROM turns)
+        SELECT doc_id, tf.term, tf FROM tf JOIN terms ON tf.term = terms.term""",
     "doc_term_pivot": f"""{_LONG}, {_COUNTS}
         SELECT d.doc_id, {_CELLS} FROM documents d LEFT JOIN tf ON d.doc_id = tf.doc_id
         LEFT JOIN df ON tf.term = df.term, n GROUP BY d.doc_id""",

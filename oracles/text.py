@@ -71,8 +71,8 @@ SQL: dict[str, str] = {
         words AS (SELECT doc_id, unnest(tokens) AS term,
                          generate_subscripts(tokens, 1) AS pos FROM docs),
         stems AS (SELECT doc_id, pos, {_STEM} AS stem FROM words)
-        SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS preprocessed
-        FROM stems WHERE stem <> '' GROUP BY doc_id""",
+        SELECT d.doc_id, coalesce(string_agg(stem, ' ' ORDER BY pos) FILTER (stem <> ''), '') AS preprocessed
+        FROM documents d LEFT JOIN stems s ON d.doc_id = s.doc_id GROUP BY d.doc_id""",
     "stage_detail": f"""WITH c AS (SELECT doc_id, text, {f.clean('text')} AS cleaning FROM documents)
         SELECT doc_id, text, cleaning,
                coalesce(array_to_string({f.words('cleaning')}, '|'), '') AS tokenized,

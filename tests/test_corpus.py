@@ -131,3 +131,10 @@ def test_words_per_class(spark):
     counts = C.group_word_counts(rows, "c", V.split_stored(F.col("preprocessed")))
     found = {(r["c"], r["word"]): r["n"] for r in counts.collect()}
     assert found == {(1, "baik"): 2, (1, "sekali"): 1, (-1, "buruk"): 1}
+
+
+def test_documents_without_tokens_are_stemmed_too(spark):
+    docs = spark.createDataFrame([(1, ["makanan", "nan"]), (2, []), (3, None)], "id int, tokens array<string>")
+    stems = V.stem_arrays(F.col("tokens"), lambda words: words.str.replace("nan", ""))
+    found = docs.select("id", F.array_join(stems, " ").alias("s")).collect()
+    assert sorted((r["id"], r["s"]) for r in found) == [(1, "maka"), (2, ""), (3, "")]

@@ -99,9 +99,8 @@ def test_named_data_sets(spark, sf_dir):
     assert spark.sql("SELECT count(*) AS n FROM classified_clean").first()["n"] == 200
 
 
-def test_spread_leaves_wide_scans_alone(spark, sf_dir):
-    wide = spark.range(0, 100, 1, 16)
-    assert files.spread(wide, "id") is wide
-    narrow = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert files.spread(narrow, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert narrow.select(T.word_count(F.col("text"))).count() == 200
+def test_files_with_other_column_orders_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("word,weight\nbaik,3\n")
+    (tmp_path / "b.csv").write_text("weight,word\n-4,buruk\n")
+    found = files.read_csv(spark, str(tmp_path / "*.csv"), files.LEXICON_SCHEMA).collect()
+    assert sorted((r["word"], r["weight"]) for r in found) == [("baik", "3"), ("buruk", "-4")]

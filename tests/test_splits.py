@@ -97,3 +97,12 @@ def test_union_keeps_repeats_and_fills_columns(spark):
     b = spark.createDataFrame([(1, "y"), (1, "y")], "i int, b string")
     found = R.union_outer_columns(a, b)
     assert found.columns == ["i", "a", "b"] and found.count() == 3
+
+
+def test_rows_without_a_label_are_a_class_of_their_own(spark):
+    rows = spark.createDataFrame([(i, 1 if i % 2 else None) for i in range(100)], "id long, label int")
+    marked = S.stratified_shuffle_split(rows, "id", "label", 2, 0.1).collect()
+    assert len(marked) == 200
+    for split in (1, 2):
+        tested = [r["label"] for r in marked if r["split"] == split and r["is_test"]]
+        assert sorted(map(str, tested)) == ["1"] * 5 + ["None"] * 5
