@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.llm import words as W
 from opinion_spark.llm.components import components
+from opinion_spark.llm.filters import key_filter, passes
 from opinion_spark.llm.store import landed, renamed_apart, row_key
 
 #: Similarity in hundredths.
@@ -42,10 +43,6 @@ RUN_SHINGLES = 1_000_000
 FREQUENT = 3
 #: So many of the most frequent shingles are sent to all tasks (16 bytes each). It bounds memory, not results.
 ORDERED = 65_536
-#: Bits of the filter of rows whose sets are needed: 1 MB at any input size. False hits cost work only.
-FILTER_BITS = 1 << 23
-#: Rounds in which every row of a long column meets one leader of one of its columns.
-STAR_ROUNDS = 1
 #: Bits of a row's signature, by which most pairs are found too different before whole sets are moved.
 SIGNATURE_BITS = 1024
 #: A shingle reported so often in all is a long column from the start; its rows need not meet in one task.
@@ -211,8 +208,7 @@ def _sets(filter_shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_shared.value
         for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
-            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+            batch = batch.filter(pa.array(passes(bits, batch.column(0).to_numpy(zero_copy_only=False))))
             for part in W.slices(batch, 1):
                 found = [x for x in W.shingle_sets(part.column(1)) if len(x)]
                 columns = [
@@ -274,37 +270,22 @@ def _untouched(n: Column) -> Column:
     return F.ceil(PERCENT * n / F.lit(100)) - 1
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with the bit of every key set; its size does not depend on the input."""
-    bit = F.pmod(F.col("key"), F.lit(FILTER_BITS)) + 1  # Spark's buckets count from one
-    rows = (
-        keys.select(bit.alias("bit"))
-        .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in rows:
-        part = np.frombuffer(row["bits"], np.uint8)
-        start = (row["bucket"] - 1) * len(part)
-        out[start : start + len(part)] = part
-    return out
-
-
 def _early(n: Column, position: Column, other_n: Column, other_position: Column) -> Column:
     """Whether a common column stands early enough in both rows for the overlap that the pair needs."""
     least = _least_overlap(n, other_n)
     return (position + least <= n) & (other_position + least <= other_n)
 
 
-def _crossed(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of rows of one column and different components that can be linked."""
+def _crossed(rows: DataFrame, others: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs of rows of one column and different components that can be linked; ``once`` if both sides hold both rows."""
     other = others.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "position", "component")])
     apart = (
         (rows["shingle"] == other["shingle"])
         & (F.col("component") != F.col("other_component"))
         & _early(F.col("n"), F.col("position"), F.col("other_n"), F.col("other_position"))
     )
+    if once:
+        apart &= F.col("class") < F.col("other_class")
     return (
         rows.join(other, apart)
         .select(F.least("class", "other_class").alias("a"), F.greatest("class", "other_class").alias("b"))
@@ -316,7 +297,7 @@ def _joined_long(rows: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFram
     """Edges, with as many more as the long columns need for the right components."""
     if rows.isEmpty():
         return edges
-    for round_no in range(STAR_ROUNDS + 1):
+    for stars in (True, False):
         roots = components(edges)
         placed = rows.join(roots, rows["class"] == roots["node"], "left").select(
             *[rows[c] for c in ("shingle", "class", "n", "position")], F.coalesce("root", rows["class"]).alias("component")
@@ -330,14 +311,13 @@ def _joined_long(rows: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFram
         placed = landed(placed.join(open_lists, "shingle", "left_semi"))
         if placed.isEmpty():
             break
-        if round_no < STAR_ROUNDS:
-            turn = F.struct("position", "shingle") if round_no == 0 else F.struct(F.xxhash64("shingle"), F.col("shingle"))
-            one = placed.groupBy("class").agg(F.min_by(F.struct(*placed.columns), turn).alias("row")).select("row.*")
+        if stars:
+            one = placed.groupBy("class").agg(F.min_by(F.struct(*placed.columns), F.struct("position", "shingle")).alias("row")).select("row.*")
             first = placed.groupBy("shingle").agg(F.min(F.struct("position", "class", "n", "component")).alias("first"))
             pairs = _crossed(one, first.select("shingle", "first.*"))
         else:
             above = placed.select(*[F.col(c).alias(c) for c in placed.columns])
-            pairs = _crossed(placed, above)
+            pairs = _crossed(placed, above, once=True)
         edges = landed(edges.unionByName(_linked(pairs, sets)))
     return edges
 
@@ -398,7 +378,7 @@ def _analysed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(rows.select("class"))
     # One row stands for its class; equal rows may come twice, which repeats pairs and changes nothing.
     keys = members.join(wanted.distinct(), "class", "left_semi").groupBy("class").agg(F.min("key").alias("key"))
-    filter_shared = sc.broadcast(_filter_of(keys))
+    filter_shared = sc.broadcast(key_filter(keys))
     keyed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text))
     sets = landed(keyed.mapInArrow(_sets(filter_shared), "class long, n long, signature binary, shingles binary"))
     edges = _joined_long(rows, landed(_linked(pairs, sets)), sets)
