@@ -124,7 +124,7 @@ def labelled(n: int, seed: int) -> list[tuple]:
     for i in range(n):
         prose = lambda k: " ".join(rng.choice(["the", "of", "Thing", "and,", "word."]) for _ in range(k))
         item = rng.choice(["ann.b%d@mail%d.example.com", "+1 (0%d7) 555-77%d3", "10.2%d.31.%d", "room %d of %d"]) % (rng.randrange(10), rng.randrange(10))
-        rows.append((i, f"{prose(rng.randint(5, 40))} {item} {prose(rng.randint(5, 40))}"))
+        rows.append((1000 + i, f"{prose(rng.randint(5, 40))} {item} {prose(rng.randint(5, 40))}"))
     return rows
 
 
