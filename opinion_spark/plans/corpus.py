@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from opinion_spark.operators import clouds as C
 from opinion_spark.operators import vocabulary as V
 from opinion_spark.operators import weights as W
 from opinion_spark.plans import models as M
-from opinion_spark.plans.relations import MATRIX_TERMS, TOP_TERMS, six, texts, tokenised
+from opinion_spark.plans.relations import MATRIX_TERMS, six, texts, tokenised
 from opinion_spark.plans.text import document_classes
 from opinion_spark.runtime import materialized
 
@@ -85,13 +84,22 @@ def doc_term_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse TF-IDF rows over all terms: filled cells, last index, sum, and sum weighted by the index."""
     docs = tokenised(spark, sf_dir, "doc_id")
     frequencies, n = _frequencies(docs)
-    vectors, _ = W.tfidf_vectors(docs, "tokens", frequencies, TOP_TERMS, n)
-    cells = vectors.select("doc_id", vector_to_array("features").alias("x"))
-    filled = F.size(F.filter("x", lambda v: v != 0)).cast("long")
-    total = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v)
-    return cells.select("doc_id", filled.alias("n_terms"), six(total).alias("weight_sum"))
+    rows = W.sparse_features(docs, "doc_id", F.col("tokens"), W.numbered_terms(frequencies), n)
+
+    def total(values: F.Column) -> F.Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+    placed = F.zip_with("indices", "values", lambda i, v: (i + 1) * v / 1000)
+    return rows.select(
+        "doc_id",
+        F.size(F.filter("values", lambda v: v != 0)).cast("long").alias("n_terms"),
+        F.array_max("indices").alias("last_index"),
+        six(total(F.col("values"))).alias("weight_sum"),
+        six(total(placed)).alias("placed_sum"),
+    )
 
 
 def class_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,16 +110,16 @@ def class_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words per cluster, the clusters being those of the embeddings of the documents."""
+    """Words per cluster of the documents' own TF-IDF."""
     docs = tokenised(spark, sf_dir, "doc_id")
-    clusters = M.kmeans_assign(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "kmean_label")
+    clusters = M.term_clusters(spark, sf_dir)
     return C.group_word_counts(docs.join(clusters, "doc_id"), "kmean_label", F.col("tokens"))
 
 
 def predicted_class_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words per class predicted by naive Bayes from the embeddings."""
+    """Words per class that naive Bayes predicts from the documents' own TF-IDF."""
     docs = tokenised(spark, sf_dir, "doc_id")
-    predicted = M.gnb_predict(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "y_pred")
+    predicted = M.term_predictions(spark, sf_dir).select("doc_id", "y_pred")
     return C.group_word_counts(docs.join(predicted, "doc_id"), "y_pred", F.col("tokens"))
 
 

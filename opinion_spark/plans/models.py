@@ -14,16 +14,14 @@ from opinion_spark.operators import cluster as K
 from opinion_spark.operators import metrics as E
 from opinion_spark.operators import split as S
 from opinion_spark.operators import svm
-from opinion_spark.operators import vocabulary as V
 from opinion_spark.operators import weights as W
-from opinion_spark.plans.relations import MODEL_TERMS, six, table, texts
+from opinion_spark.plans.relations import significant, six, table, texts
 from opinion_spark.runtime import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Sizes of the fits below; full grids are parameters of the operators.
-RFF_SIZE = 8
-FIT_ITERATIONS = 10
+# Sizes of the fits below.
+FIT_ITERATIONS = 100
 FIT_FEATURES = 500
 
 
@@ -86,7 +84,7 @@ def wcss_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wcss_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.wcss_sweep(
-        _embeddings(spark, sf_dir), "embedding", range(1, 6), starts=2, max_iter=FIT_ITERATIONS
+        _embeddings(spark, sf_dir), "embedding", range(1, 26), starts=10, max_iter=300
     )
 
 
@@ -120,29 +118,44 @@ def nb_repeated_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _term_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF of the labelled documents over the most widespread terms, and the labels."""
+    """TF-IDF of all documents over all terms, and the documents with their labels (NULL: none)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    labelled = texts(spark, sf_dir, "documents", "text").join(labels.select("doc_id"), "doc_id")
-    docs = labelled.select("doc_id", T.clean_tokens(F.col("text")).alias("tokens"))
-    top = W.top_terms(V.document_frequency(docs, F.col("tokens")), MODEL_TERMS)
-    weights = W.tfidf(docs, "doc_id", F.col("tokens"), materialized(top))
+    docs = texts(spark, sf_dir, "documents", "text")
+    known = materialized(docs.select("doc_id").join(labels, "doc_id", "left"))
+    tokens = docs.select("doc_id", T.clean_tokens(F.col("text")).alias("tokens"))
     # Training and scoring both read the weights.
-    return materialized(weights), labels
+    return materialized(W.tfidf(tokens, "doc_id", F.col("tokens"))), known
+
+
+def _term_model(weights: DataFrame, known: DataFrame) -> DataFrame:
+    return B.term_parameters(B.fit_terms(weights, known.where(F.col("label").isNotNull()), "doc_id"))
+
+
+def term_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the labelled documents, every document predicted."""
+    weights, known = _term_weights(spark, sf_dir)
+    return B.predict_terms(weights, known, materialized(_term_model(weights, known)), "doc_id")
+
+
+def term_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the nearest of five starting documents by TF-IDF."""
+    weights, known = _term_weights(spark, sf_dir)
+    centres = weights.where("doc_id < 5").select(
+        F.col("doc_id").cast("int").alias("cluster"), "term", F.col("weight").alias("value")
+    )
+    return K.assign_terms(weights, known, centres, "doc_id")
 
 
 def gnb_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, labels = _term_weights(spark, sf_dir)
-    params = B.term_parameters(B.fit_terms(weights, labels, "doc_id"))
+    params = _term_model(*_term_weights(spark, sf_dir))
     return params.select(
         "label", F.col("dim").alias("term"), *[six(F.col(c)).alias(c) for c in ("mean", "var")]
     )
 
 
 def gnb_predict_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, labels = _term_weights(spark, sf_dir)
-    params = materialized(B.term_parameters(B.fit_terms(weights, labels, "doc_id")))
-    scored = B.predict_terms(weights, labels, params, "doc_id")
-    return scored.select("doc_id", "y_pred", six(F.col("score")).alias("score"))
+    scored = term_predictions(spark, sf_dir)
+    return scored.select("doc_id", "y_pred", significant(F.col("score")).alias("score"))
 
 
 # --- support vector machines ---
@@ -164,7 +177,7 @@ def svm_linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rff_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature map with given directions and phases."""
-    j, d = np.arange(RFF_SIZE), np.arange(64)
+    j, d = np.arange(FIT_FEATURES), np.arange(64)
     directions = ((7 * j[None, :] + 3 * d[:, None]) % 11 - 5) / 10.0
     rows = _embeddings(spark, sf_dir)
     mapped = svm.fourier_map(F.col("embedding"), directions, j / 10.0)
@@ -204,7 +217,7 @@ def svm_rbf_approx_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svm_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.train_test_split(_three_classes(spark, sf_dir), "vec_id").persist()
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    return svm.sweep(train, test, _machine(), cs=[0.1, 1.0], gammas=[0.1])
+    return svm.sweep(train, test, _machine())
 
 
 def svm_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:

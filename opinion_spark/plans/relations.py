@@ -21,9 +21,8 @@ LEXICON = [
     ("le", 2),
     ("en", -3),
 ]
+# The vocabulary of the wide matrix is named by its caller: one column per term.
 MATRIX_TERMS = ["and", "de", "der", "en", "la", "le", "of", "the", "und", "with"]
-TOP_TERMS = 200
-MODEL_TERMS = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +66,12 @@ def tokenised(
     return texts(spark, sf_dir, name, *keep, "text").select(*keep, tokens.alias("tokens"))
 
 
+def significant(value) -> F.Column:
+    """Round to seven significant digits, whatever the magnitude."""
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-9)))))
+    return F.round(value / scale, 6) + F.lit(0.0)
+
+
 def six(value) -> F.Column:
     """Round to 6 places, without negative zero."""
     return F.round(value, 6) + F.lit(0.0)

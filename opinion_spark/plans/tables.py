@@ -174,12 +174,11 @@ def union_outer_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified parts, one per language, projected to common columns and stacked."""
-    docs = table(spark, sf_dir, "documents")
-    columns = ["doc_id", "source", "text"]
+    """Four sources, each scanned once, projected to common columns and stacked."""
+    columns = {"documents": ("doc_id", "text"), "benchmark": ("item_id", "text"), "conversations": ("conv_id", "text"), "pages": ("page_id", "html")}
     parts = [
-        docs.where(F.col("lang") == lang).select(*columns, F.lit(lang).alias("part"))
-        for lang in ("en", "de", "fr", "es")
+        table(spark, sf_dir, name).select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(name).alias("part"))
+        for name, (key, text) in columns.items()
     ]
     return R.union_outer_columns(*parts)
 

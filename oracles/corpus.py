@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opinion_spark.plans.relations import MATRIX_TERMS, TOP_TERMS
+from opinion_spark.plans.relations import MATRIX_TERMS
 from oracles import fragments as f
-from oracles.models import ASSIGNED, PREDICTED
+from oracles.models import TERM_ASSIGNED, TERM_PREDICTED
 from oracles.text import CLASSES
 
 _LONG = f"WITH {f.docs_cte('doc_id')}, words AS (SELECT doc_id, unnest(tokens) AS term FROM docs)"
@@ -16,7 +16,6 @@ _COUNTS = """
   n AS (SELECT count(*) AS n FROM documents),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
-_TOP = f"top AS (SELECT term, df FROM df ORDER BY df DESC, term LIMIT {TOP_TERMS})"
 _CELLS = ", ".join(
     f"coalesce(round(sum(CASE WHEN tf.term = '{t}' THEN tf.tf * ln(n.n / df.df) END), 6), 0) + 0.0"
     f" AS t_{t}"
@@ -46,18 +45,20 @@ SQL: dict[str, str] = {
     "doc_term_pivot": f"""{_LONG}, {_COUNTS}
         SELECT d.doc_id, {_CELLS} FROM documents d LEFT JOIN tf ON d.doc_id = tf.doc_id
         LEFT JOIN df ON tf.term = df.term, n GROUP BY d.doc_id""",
-    "feature_vectors": f"""{_LONG}, {_COUNTS}, {_TOP},
-        cells AS (SELECT doc_id, tf.tf * ln(n.n / df) AS w FROM tf JOIN top ON tf.term = top.term, n)
-        SELECT d.doc_id, count(w) FILTER (w <> 0) AS n_terms,
-               {f.six('coalesce(sum(w), 0)')} AS weight_sum
+    "feature_vectors": f"""{_LONG}, {_COUNTS},
+        numbered AS (SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS i FROM df),
+        cells AS (SELECT doc_id, i, tf.tf * ln(n.n / df) AS w FROM tf JOIN numbered USING (term), n)
+        SELECT d.doc_id, count(w) FILTER (w <> 0) AS n_terms, max(i) AS last_index,
+               {f.six('coalesce(sum(w), 0)')} AS weight_sum,
+               {f.six('coalesce(sum((i + 1) * w / 1000), 0)')} AS placed_sum
         FROM documents d LEFT JOIN cells c ON d.doc_id = c.doc_id GROUP BY d.doc_id""",
     "class_words": f"""{CLASSES}
         SELECT classified, term AS word, count(*) AS n
         FROM words w JOIN classes c ON w.doc_id = c.doc_id GROUP BY classified, term""",
-    "cluster_words": f"""{_LONG}, {ASSIGNED}
+    "cluster_words": f"""WITH {TERM_ASSIGNED}
         SELECT kmean_label, term AS word, count(*) AS n
-        FROM words w JOIN assigned a ON w.doc_id = a.vec_id GROUP BY kmean_label, term""",
-    "predicted_class_words": f"""{_LONG}, {PREDICTED}
+        FROM words JOIN assigned USING (doc_id) GROUP BY kmean_label, term""",
+    "predicted_class_words": f"""WITH {TERM_PREDICTED}
         SELECT y_pred, term AS word, count(*) AS n
-        FROM words w JOIN predicted p ON w.doc_id = p.vec_id GROUP BY y_pred, term""",
+        FROM words JOIN predicted USING (doc_id) GROUP BY y_pred, term""",
 }

@@ -94,5 +94,9 @@ LEXICON_ROWS = ", ".join(f"('{w}', {v})" for w, v in LEXICON)
 LEXICON_CTE = f"lexicon(word, weight) AS (VALUES {LEXICON_ROWS})"
 
 
+def significant(value: str) -> str:
+    return f"round({value} / pow(10.0, floor(log10(greatest(abs({value}), 1e-9)))), 6) + 0.0"
+
+
 def six(value: str) -> str:
     return f"round({value}, 6) + 0.0"

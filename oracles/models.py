@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from opinion_spark.plans.relations import MODEL_TERMS
 from oracles import fragments as f
 
 _X = """x AS (
@@ -87,22 +86,52 @@ per_label AS (
          count(*) FILTER (y_pred = l) AS predicted
   FROM labels_ b JOIN pairs p ON b.split = p.split GROUP BY b.split, b.l)"""
 
-_TERM_WEIGHTS = f"""WITH {f.docs_cte('doc_id')},
-lab AS (SELECT doc_id, quality AS label FROM labels),
-words AS (SELECT d.doc_id, unnest(tokens) AS term FROM docs d JOIN lab USING (doc_id)),
-n AS (SELECT count(*) AS n FROM lab),
+_TERM_WEIGHTS = f"""{f.docs_cte('doc_id')},
+lab AS (SELECT doc_id, quality AS label FROM labels WHERE quality IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents)),
+words AS (SELECT doc_id, unnest(tokens) AS term FROM docs),
+n AS (SELECT count(*) AS n FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
-top AS (
-  SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY df DESC, term LIMIT {MODEL_TERMS}),
-w AS (SELECT doc_id, term, tf.tf * ln(n.n / top.df) AS w FROM tf JOIN top USING (term), n),
-x AS (
-  SELECT lab.doc_id, lab.label, top.term, coalesce(w.w, 0) AS v
-  FROM lab CROSS JOIN top LEFT JOIN w ON w.doc_id = lab.doc_id AND w.term = top.term),
-floors AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(v) AS v FROM x GROUP BY term)),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT doc_id, term, tf.tf * ln(n.n / df.df) AS w FROM tf JOIN df USING (term), n)"""
+
+_TERM_PARAMS = f"""{_TERM_WEIGHTS},
+sizes AS (SELECT label, count(*) AS c FROM lab GROUP BY label),
+cells AS (SELECT label, term, w FROM w JOIN lab USING (doc_id)),
+s AS (SELECT label, term, sum(w) AS s1, sum(w * w) AS s2 FROM cells GROUP BY label, term),
+per_term AS (
+  SELECT term, sum(s2) / t.n - (sum(s1) / t.n) * (sum(s1) / t.n) AS v
+  FROM s, (SELECT sum(c) AS n FROM sizes) t GROUP BY term, t.n),
+floors AS (SELECT 1e-9 * max(v) AS eps FROM per_term),
 params AS (
-  SELECT label, term, count(*) / any_value(n.n) AS prior, avg(v) AS mean,
-         var_pop(v) + any_value(eps) AS var
-  FROM x, n, floors GROUP BY label, term)"""
+  SELECT z.label, p.term, z.c / (SELECT sum(c) FROM sizes) AS prior, coalesce(s1, 0) / z.c AS mean,
+         greatest(coalesce(s2, 0) - coalesce(s1, 0) * (coalesce(s1, 0) / z.c), 0) / z.c + eps AS var
+  FROM per_term p CROSS JOIN sizes z CROSS JOIN floors
+  LEFT JOIN s ON s.term = p.term AND s.label = z.label)"""
+
+# Absent cells are zeros: a class has a constant for the all-zero document, and each cell corrects it.
+TERM_PREDICTED = f"""{_TERM_PARAMS},
+base AS (
+  SELECT label, ln(any_value(prior)) - 0.5 * sum(ln(2 * pi() * var) + mean * mean / var) AS base
+  FROM params GROUP BY label),
+adds AS (
+  SELECT doc_id, label, sum(-0.5 * (w * w - 2 * w * mean) / var) AS add
+  FROM w JOIN params USING (term) GROUP BY doc_id, label),
+jll AS (
+  SELECT d.doc_id, b.label, b.base + coalesce(a.add, 0) AS score
+  FROM documents d CROSS JOIN base b LEFT JOIN adds a ON a.doc_id = d.doc_id AND a.label = b.label),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM jll),
+predicted AS (SELECT doc_id, label AS y_pred, score FROM best WHERE r = 1)"""
+
+TERM_ASSIGNED = f"""{_TERM_WEIGHTS},
+centres AS (SELECT doc_id AS cluster, term, w AS value FROM w WHERE doc_id < 5),
+base AS (SELECT cluster, -sum(value * value) AS base FROM centres GROUP BY cluster),
+adds AS (
+  SELECT doc_id, cluster, sum(2 * w * value) AS add FROM w JOIN centres USING (term) GROUP BY doc_id, cluster),
+near AS (
+  SELECT d.doc_id, b.cluster, round(b.base + coalesce(a.add, 0), 6) AS score
+  FROM documents d CROSS JOIN base b LEFT JOIN adds a ON a.doc_id = d.doc_id AND a.cluster = b.cluster),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cluster) AS r FROM near),
+assigned AS (SELECT doc_id, CAST(cluster AS INTEGER) AS kmean_label FROM best WHERE r = 1)"""
 
 SQL: dict[str, str] = {
     "train_test_split": """WITH n AS (SELECT ceil(count(*) * CAST(0.1 AS DOUBLE)) AS k FROM labels),
@@ -133,16 +162,10 @@ SQL: dict[str, str] = {
           {f.six('avg(CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END)')} AS macro_precision,
           {f.six('avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END)')} AS macro_recall
         FROM per_label GROUP BY split""",
-    "gnb_fit_terms": f"""{_TERM_WEIGHTS}
+    "gnb_fit_terms": f"""WITH {_TERM_PARAMS}
         SELECT label, term, {f.six('mean')} AS mean, {f.six('var')} AS var FROM params""",
-    "gnb_predict_terms": f"""{_TERM_WEIGHTS},
-        jll AS (
-          SELECT x.doc_id, p.label, any_value(ln(p.prior)) - 0.5 * sum(ln(2 * pi() * p.var))
-                 - 0.5 * sum((x.v - p.mean) * (x.v - p.mean) / p.var) AS score
-          FROM x JOIN params p ON x.term = p.term GROUP BY x.doc_id, p.label),
-        best AS (
-          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM jll)
-        SELECT doc_id, label AS y_pred, {f.six('score')} AS score FROM best WHERE r = 1""",
+    "gnb_predict_terms": f"""WITH {TERM_PREDICTED}
+        SELECT doc_id, y_pred, {f.significant('score')} AS score FROM predicted""",
     "svm_linear_score": f"""WITH {_X},
         classes AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS c),
         s AS (SELECT vec_id, c, sum(v * ((7 * c + 3 * dim) % 11 - 5) / 10.0) AS score
@@ -150,7 +173,7 @@ SQL: dict[str, str] = {
         best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, c) AS r FROM s)
         SELECT vec_id, c AS y_pred, {f.six('score')} AS score FROM best WHERE r = 1""",
     "rff_transform": f"""WITH {_X},
-        js AS (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS j),
+        js AS (SELECT CAST(unnest(range(0, 500)) AS INTEGER) AS j),
         p AS (SELECT vec_id, j, sum(v * ((7 * j + 3 * dim) % 11 - 5) / 10.0) AS a FROM x, js GROUP BY 1, 2)
-        SELECT vec_id, j, {f.six('sqrt(2.0 / 8) * cos(a + j / 10.0)')} AS z FROM p""",
+        SELECT vec_id, j, {f.six('sqrt(2.0 / 500) * cos(a + j / 10.0)')} AS z FROM p""",
 }

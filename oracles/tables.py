@@ -55,8 +55,10 @@ SQL: dict[str, str] = {
           CASE WHEN role = 'user' THEN 0 ELSE 3 END, {_WORDS}, '', 2
         FROM conversations""",
     "union_outer_columns": f"SELECT id, text, turn FROM ({_STACKED})",
-    "consolidate_sources": """SELECT doc_id, source, text, lang AS part FROM documents
-        WHERE lang IN ('en', 'de', 'fr', 'es')""",
+    "consolidate_sources": """SELECT doc_id AS id, text, 'documents' AS part FROM documents
+        UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark
+        UNION ALL SELECT conv_id, text, 'conversations' FROM conversations
+        UNION ALL SELECT page_id, html, 'pages' FROM pages""",
     "attach_columns_by_position": """
         WITH d AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
              l AS (SELECT quality, toxic, row_number() OVER (ORDER BY doc_id) AS r FROM labels)
