@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import chat, classifier, decontaminate, jaccard, licenses, packing, pii, quality_rules, substrings, tokens
+from opinion_spark.llm import chat, classifier, decontaminate, jaccard, licenses, manifest, packing, pii, quality_rules, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(manifest.document_manifest(_table(spark, sf_dir, "documents")))
+
+
 _ALL = [
     op1_best_fit_packing,
     op2_license_scan,
@@ -68,5 +72,6 @@ _ALL = [
     op8_substring_dedup,
     op9_benchmark_decontamination,
     op10_ngram_jaccard_join,
+    op11_merkle_manifest,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {query.__name__: query for query in _ALL}
