@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import chat, classifier, decontaminate, jaccard, licenses, manifest, packing, pii, quality_rules, substrings, tokens
+from opinion_spark.llm import chat, chosen_path, classifier, decontaminate, jaccard, licenses, manifest, packing, pii, quality_rules, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.proofs(manifest.document_manifest(_table(spark, sf_dir, "documents")))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_best_fit_packing,
     op2_license_scan,
@@ -73,5 +77,6 @@ _ALL = [
     op9_benchmark_decontamination,
     op10_ngram_jaccard_join,
     op11_merkle_manifest,
+    op12_minhash_near_dedup,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {query.__name__: query for query in _ALL}
