@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 23
 
 
-def key_filter(keys: DataFrame, key: str = "key") -> np.ndarray:
-    """A bitmap with the bit of every key set; its size does not depend on the input."""
-    bit = F.pmod(F.col(key), F.lit(FILTER_BITS)) + 1  # Spark's buckets count from one
+def key_filter(keys: DataFrame, key: str = "key", size: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of ``size`` bits with the bit of every key set; its size does not depend on the input."""
+    bit = F.pmod(F.col(key), F.lit(size)) + 1  # Spark's buckets count from one
     rows = (
         keys.select(bit.alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         .collect()
     )
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for row in rows:
         part = np.frombuffer(row["bits"], np.uint8)
         start = (row["bucket"] - 1) * len(part)
@@ -29,5 +29,5 @@ def key_filter(keys: DataFrame, key: str = "key") -> np.ndarray:
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may be in the filter."""
-    place = keys.astype(np.int64) % FILTER_BITS
+    place = keys.astype(np.int64) % (8 * len(bits))
     return (bits[place >> 3] >> (place & 7) & 1).astype(bool)

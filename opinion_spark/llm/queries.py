@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinion_spark.llm import chat, chosen_path, classifier, decontaminate, jaccard, licenses, manifest, packing, pii, quality_rules, substrings, tokens
+from opinion_spark.llm import chat, chosen_path, classifier, decontaminate, jaccard, licenses, manifest, packing, phrases, pii, quality_rules, substrings, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.deduplicated(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_best_fit_packing,
     op2_license_scan,
@@ -78,5 +82,6 @@ _ALL = [
     op10_ngram_jaccard_join,
     op11_merkle_manifest,
     op12_minhash_near_dedup,
+    op13_phrase_collocations,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {query.__name__: query for query in _ALL}

@@ -81,11 +81,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_table(column: pa.Array, fold: bool, table: np.ndarray | None = None) -> WordTable:
-    """All words of a text column; ``fold`` treats A-Z as a-z, ``table`` gives other numbers for bytes."""
+    """All words of a text column; ``fold`` treats A-Z as a-z, ``table`` gives other numbers for bytes, 0 for those between words."""
     numbers = table if table is not None else _FOLDED if fold else _EXACT
     data, offsets = raw(column)
     n = len(data)
-    inside = ~_BLANK[data]
+    inside = numbers[data] != 0
     before = np.empty(n, bool)
     before[:1] = False
     before[1:] = inside[:-1]
