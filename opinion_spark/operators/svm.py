@@ -19,16 +19,13 @@ import pandas as pd
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.vector import doubles, dot, let
-from opinion_spark.operators import metrics, split
 
 # Parameter grids and presets.
 GRID_C = [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]
@@ -226,114 +223,3 @@ class PairwiseSVCModel(Model, _PairwiseParams):
         machines = [LinearSVCModel.load(f"{path}/machine={i}") for i in pairs]
         model = PairwiseSVCModel(about["labels"], machines, about["dims"])
         return model._set(**about["params"])
-
-
-def _accuracy() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(metricName="accuracy")
-
-
-def repeated_evaluation(
-    df: DataFrame,
-    id_col: str,
-    machine: PairwiseSVC,
-    n_splits: int = 10,
-    test_size: float = 0.1,
-    parallelism: int = 4,
-) -> DataFrame:
-    """Predictions ``(split, id, y_true, y_pred)`` on stratified splits.
-
-    A fit is iterative, so there is one per split; the input is cached over them.
-    """
-    label = machine.getLabelCol()
-    cuts = split.stratified_cuts(df, id_col, label, n_splits, test_size)
-    marked = split.with_test_splits(df, cuts, id_col, label, "_tests").persist()
-
-    @inheritable_thread_target(df.sparkSession)
-    def evaluate(number: int) -> DataFrame:
-        is_test = F.array_contains("_tests", number)
-        model = machine.fit(marked.where(~is_test))
-        return model.transform(marked.where(is_test)).select(
-            F.lit(number).alias("split"),
-            id_col,
-            F.col(label).cast("int").alias("y_true"),
-            F.col(machine.getPredictionCol()).cast("int").alias("y_pred"),
-        )
-
-    parts = _in_threads(evaluate, list(range(1, n_splits + 1)), parallelism)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def sweep(
-    train: DataFrame,
-    test: DataFrame,
-    machine: PairwiseSVC,
-    cs: list[float] = SWEEP_VALUES,
-    gammas: list[float] = SWEEP_VALUES,
-    parallelism: int = 4,
-) -> DataFrame:
-    """Scores on ``test`` for the linear kernel at every C and the RBF kernel at every pair."""
-    points = [{"kernel": "linear", "C": c, "gamma": None} for c in cs]
-    points += [{"kernel": "rbf", "C": c, "gamma": g} for c in cs for g in gammas]
-
-    @inheritable_thread_target(train.sparkSession)
-    def evaluate(point: dict) -> DataFrame:
-        chosen = {machine.getParam(k): v for k, v in point.items() if v is not None}
-        predicted = machine.fit(train, chosen).transform(test)
-        return predicted.select(
-            *[F.lit(v).cast(t).alias(k) for (k, v), t in zip(point.items(), _POINT_TYPES)],
-            F.col(machine.getLabelCol()).cast("int").alias("y_true"),
-            F.col(machine.getPredictionCol()).cast("int").alias("y_pred"),
-        )
-
-    parts = _in_threads(evaluate, points, parallelism)
-    return metrics.scores(reduce(DataFrame.unionByName, parts).fillna(0.0, ["gamma"]), tuple(points[0]))
-
-
-_POINT_TYPES = ("string", "double", "double")
-
-
-def grid_search(
-    train: DataFrame,
-    machine: PairwiseSVC,
-    fold_col: str,
-    folds: int = 10,
-    cs: list[float] = GRID_C,
-    gammas: list[float] = GRID_GAMMA,
-    parallelism: int = 4,
-    metric: str = "accuracy",
-) -> tuple[DataFrame, PairwiseSVCModel]:
-    """Cross-validated grid: ``(kernel, C, gamma, mean_score, two_std, is_best)`` and the
-    best model, trained on all rows."""
-    linear = ParamGridBuilder().baseOn({machine.kernel: "linear"}).addGrid(machine.C, cs).build()
-    rbf = (
-        ParamGridBuilder()
-        .baseOn({machine.kernel: "rbf"})
-        .addGrid(machine.C, cs)
-        .addGrid(machine.gamma, gammas)
-        .build()
-    )
-    search = CrossValidator(
-        estimator=machine,
-        estimatorParamMaps=linear + rbf,
-        evaluator=_accuracy().setMetricName(metric).setLabelCol(machine.getLabelCol()),
-        numFolds=folds,
-        foldCol=fold_col,
-        parallelism=parallelism,
-    )
-    fitted = search.fit(train)
-    best = int(np.argmax(fitted.avgMetrics))
-    rows = [
-        (
-            point[machine.kernel],
-            float(point[machine.C]),
-            float(point[machine.gamma]) if machine.gamma in point else None,
-            float(mean),
-            2.0 * float(std),
-            i == best,
-        )
-        for i, (point, mean, std) in enumerate(
-            zip(linear + rbf, fitted.avgMetrics, fitted.stdMetrics)
-        )
-    ]
-    schema = "kernel string, C double, gamma double, mean_score double, two_std double, is_best boolean"
-    return train.sparkSession.createDataFrame(rows, schema), fitted.bestModel

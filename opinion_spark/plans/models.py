@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from opinion_spark.functions import text as T
 from opinion_spark.operators import bayes as B
+from opinion_spark.operators import centres as Z
 from opinion_spark.operators import cluster as K
+from opinion_spark.operators import machines as X
 from opinion_spark.operators import metrics as E
 from opinion_spark.operators import split as S
 from opinion_spark.operators import svm
@@ -20,8 +23,7 @@ from opinion_spark.runtime import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Sizes of the fits below; full grids are parameters of the operators.
-FIT_ITERATIONS = 10
+# Fourier features of the RBF machines below.
 FIT_FEATURES = 500
 
 
@@ -82,9 +84,36 @@ def wcss_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("wcss", six(F.col("wcss")))
 
 
+def _elbow_runs(spark: SparkSession, sf_dir: str) -> list[Z.Run]:
+    return Z.best_per_k(Z.fit_all(_embeddings(spark, sf_dir), "embedding", range(1, 26), starts=10, max_iter=300))
+
+
 def wcss_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.wcss_sweep(
-        _embeddings(spark, sf_dir), "embedding", range(1, 6), starts=2, max_iter=FIT_ITERATIONS
+    """Elbow table for k from 1 to 25, ten starts each."""
+    rows = [(r.k, r.wcss) for r in _elbow_runs(spark, sf_dir)]
+    return spark.createDataFrame(rows, "k int, wcss double")
+
+
+def wcss_sweep_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every k whatever the centres are: rows counted once, and the sum of squares of a new assignment to the
+    centres, which is below that of one cluster."""
+    rows, runs = _embeddings(spark, sf_dir), _elbow_runs(spark, sf_dir)
+    centres = materialized(Z.centre_rows(runs, spark))
+    reported = spark.createDataFrame([(r.k, r.wcss) for r in runs], "k int, wcss double")
+    parts = []
+    for k in [r.k for r in runs]:
+        near = K.assign(rows, centres.where(F.col("k") == k).select("cluster", "centre"), "embedding")
+        parts.append(near.agg(F.lit(k).alias("k"), F.count("*").alias("n_rows"), F.sum("dist2").alias("again")))
+    total = K.total_sum_of_squares(rows, "embedding").select("wcss").scalar()
+    sizes = centres.groupBy("k").agg(F.count("*").alias("n_clusters"), F.sum("n").alias("n_assigned"))
+    joined = reduce(DataFrame.unionByName, parts).join(reported, "k").join(sizes, "k")
+    return joined.select(
+        "k",
+        "n_rows",
+        "n_assigned",
+        "n_clusters",
+        (F.abs(F.col("again") - F.col("wcss")) <= 1e-6 * F.col("again")).alias("same_sum"),
+        (F.col("wcss") <= total * 1.000001).alias("below_total"),
     )
 
 
@@ -138,12 +167,19 @@ def term_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the nearest of five starting documents by TF-IDF."""
+    """Every document with its cluster: k-means on the TF-IDF of all documents."""
     weights, known = _term_weights(spark, sf_dir)
-    centres = weights.where("doc_id < 5").select(
-        F.col("doc_id").cast("int").alias("cluster"), "term", F.col("weight").alias("value")
-    )
-    return K.assign_terms(weights, known, centres, "doc_id")
+    return Z.fit_terms(weights, known, "doc_id", k=5).labels
+
+
+def text_kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first assignment of that fit, and the centres that follow from it."""
+    weights, known = _term_weights(spark, sf_dir)
+    first = Z.first_rows(weights, "doc_id", 5)
+    centres = weights.join(F.broadcast(first), "doc_id").select("cluster", "term", F.col("weight").alias("value"))
+    labels = materialized(K.assign_terms(weights, known, centres, "doc_id"))
+    moved = Z.term_centres(weights, labels, "doc_id")
+    return moved.select("cluster", "term", six(F.col("value")).alias("value"))
 
 
 def gnb_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,51 +222,79 @@ def rff_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with the ten labels folded to -1, 0, 1."""
-    rows = K.as_vectors(_embeddings(spark, sf_dir), "embedding")
-    label = (F.col("label") % 3 - 1).cast("double").alias("label")
-    return rows.select("vec_id", label, "features")
-
+    """Embeddings with the ten labels folded to -1, 0, 1, a tenth marked as test rows."""
+    rows = _embeddings(spark, sf_dir).select("vec_id", (F.col("label") % 3 - 1).alias("label"), "embedding")
+    return S.train_test_split(rows, "vec_id")
 
-def _machine(**chosen) -> svm.PairwiseSVC:
-    return svm.PairwiseSVC(maxIter=FIT_ITERATIONS, fourierFeatures=FIT_FEATURES, **chosen)
 
-
-def _confusion_after_fit(spark: SparkSession, sf_dir: str, machine: svm.PairwiseSVC) -> DataFrame:
-    rows = S.train_test_split(_three_classes(spark, sf_dir), "vec_id").persist()
-    model = machine.fit(rows.where(~F.col("is_test")))
-    predicted = model.transform(rows.where("is_test"))
-    pairs = predicted.select(
-        F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")
-    )
-    return E.confusion_matrix(pairs)
+def _confusion_after_fit(spark: SparkSession, sf_dir: str, point: X.Point) -> DataFrame:
+    _, fitted = X.sweep(_three_classes(spark, sf_dir), "embedding", "label", "is_test", [point], fourier_features=FIT_FEATURES)
+    marked = _three_classes(spark, sf_dir).where("is_test").withColumn("part", F.array(F.lit(1)))
+    return E.confusion_matrix(fitted.predictions(marked, "embedding", "label", "part").select("y_true", "y_pred"))
 
 
 def svm_linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _confusion_after_fit(spark, sf_dir, _machine(kernel="linear", C=1.0))
+    return _confusion_after_fit(spark, sf_dir, X.Point("linear", 1.0))
 
 
 def svm_rbf_approx_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _confusion_after_fit(spark, sf_dir, _machine(kernel="rbf", C=1.0, gamma=0.1))
+    return _confusion_after_fit(spark, sf_dir, X.Point("rbf", 1.0, 0.1))
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, X.Machines]:
+    points = X.linear_points(svm.SWEEP_VALUES) + X.rbf_points(svm.SWEEP_VALUES, svm.SWEEP_VALUES)
+    return X.sweep(_three_classes(spark, sf_dir), "embedding", "label", "is_test", points, fourier_features=FIT_FEATURES)
 
 
 def svm_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.train_test_split(_three_classes(spark, sf_dir), "vec_id").persist()
-    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    return svm.sweep(train, test, _machine(), cs=[0.1, 1.0], gammas=[0.1])
+    """Scores of all 42 points."""
+    return _sweep(spark, sf_dir)[0]
+
+
+def svm_sweep_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every point of the sweep whatever its weights are: machines, test rows scored, an objective that beats zero weights."""
+    _, fitted = _sweep(spark, sf_dir)
+    marked = _three_classes(spark, sf_dir).where("is_test").withColumn("part", F.array(F.lit(1)))
+    scored = fitted.predictions(marked, "embedding", "label", "part", ("vec_id",)).groupBy("kernel", "C", "gamma").agg(
+        F.countDistinct("vec_id").alias("n_rows"), F.count("*").alias("n_scored"), F.sum("y_true").alias("label_sum")
+    )
+    ends = fitted.facts(spark).groupBy("kernel", "C", "gamma").agg(
+        F.count("*").alias("n_machines"),
+        six(F.sum("objective_at_zero")).alias("objective_at_zero"),
+        F.bool_and((F.col("objective") > 0) & (F.col("objective") < F.col("objective_at_zero"))).alias("improved"),
+    )
+    return ends.join(scored, ["kernel", "C", "gamma"])
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> X.Search:
+    rows = _three_classes(spark, sf_dir)
+    folded = S.kfold_contiguous(rows.where(~F.col("is_test")), "vec_id", folds=10)
+    marked = folded.unionByName(rows.where("is_test").withColumn("fold", F.lit(None).cast("int")))
+    points = X.linear_points(svm.GRID_C) + X.rbf_points(svm.GRID_C, svm.GRID_GAMMA)
+    return X.grid_search(marked, "vec_id", "embedding", "label", "fold", "is_test", 10, points, fourier_features=FIT_FEATURES)
 
 
 def svm_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.train_test_split(_three_classes(spark, sf_dir), "vec_id")
-    train = S.kfold_contiguous(rows.where(~F.col("is_test")), "vec_id", folds=3)
-    table_, _ = svm.grid_search(train, _machine(), "fold", 3, cs=[0.1, 1.0], gammas=[0.1])
-    return table_
+    """All 56 points over ten folds."""
+    return _grid(spark, sf_dir).table
+
+
+def svm_grid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's best point, fitted to all training rows, on the test rows: scores per class and in all."""
+    return E.classification_report(_grid(spark, sf_dir).tested.select("y_true", "y_pred"))
 
 
 def svm_repeated_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    machine = _machine(**svm.PRESET_LINEAR)
-    predictions = svm.repeated_evaluation(_three_classes(spark, sf_dir), "vec_id", machine, 2, 0.1)
-    return E.scores(predictions, ("split",))
+    """Both presets on ten splits: counts, scores and flat matrix per split."""
+    rows = _three_classes(spark, sf_dir)
+    points = [X.Point(**svm.PRESET_LINEAR), X.Point(**svm.PRESET_RBF)]
+    predicted, _ = X.repeated_evaluation(rows, "vec_id", "embedding", "label", points, 10, 0.1, fourier_features=FIT_FEATURES)
+    predicted = materialized(predicted.withColumnRenamed("part", "split"))
+    by = ("kernel", "split")
+    counts = predicted.groupBy(*by).agg(F.count("*").alias("n_test")).withColumn("n_train", F.lit(rows.count()) - F.col("n_test"))
+    flat = F.array_join(F.transform("flat", lambda n: n.cast("string")), ",").alias("flat")
+    report = E.model_report(predicted, by)
+    return counts.join(report.select(*[c for c in report.columns if c != "flat"], flat), list(by))
 
 
 QUERIES: dict[str, Query] = {
@@ -244,6 +308,8 @@ QUERIES: dict[str, Query] = {
         kmeans_fit,
         wcss_total,
         wcss_sweep,
+        wcss_sweep_facts,
+        text_kmeans_step,
         gnb_fit,
         gnb_predict,
         nb_repeated_cv,
@@ -254,7 +320,9 @@ QUERIES: dict[str, Query] = {
         svm_linear_fit,
         svm_rbf_approx_fit,
         svm_sweep,
+        svm_sweep_facts,
         svm_grid_search,
+        svm_grid_report,
         svm_repeated_cv,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from opinion_spark.plans.relations import MATRIX_TERMS
 from oracles import fragments as f
-from oracles.models import TERM_ASSIGNED, TERM_PREDICTED
+from oracles.models import TERM_PREDICTED
 from oracles.text import CLASSES
 
 _LONG = f"WITH {f.docs_cte('doc_id')}, words AS (SELECT doc_id, unnest(tokens) AS term FROM docs)"
@@ -55,9 +55,6 @@ SQL: dict[str, str] = {
     "class_words": f"""{CLASSES}
         SELECT classified, term AS word, count(*) AS n
         FROM words w JOIN classes c ON w.doc_id = c.doc_id GROUP BY classified, term""",
-    "cluster_words": f"""WITH {TERM_ASSIGNED}
-        SELECT kmean_label, term AS word, count(*) AS n
-        FROM words JOIN assigned USING (doc_id) GROUP BY kmean_label, term""",
     "predicted_class_words": f"""WITH {TERM_PREDICTED}
         SELECT y_pred, term AS word, count(*) AS n
         FROM words JOIN predicted USING (doc_id) GROUP BY y_pred, term""",

