@@ -126,10 +126,82 @@ SELECT documents.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS
 FROM documents JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY documents.doc_id
 """
 
+_NEAR = _LINKED.replace("100 * o >= 75 *", "100 * o >= 85 *")
+_DEDUPLICATED = f"SELECT *, doc_id = component_id AS kept FROM ({_NEAR})"
+
+_FIELDS = "[doc_id::VARCHAR, source, lang, {}::VARCHAR, text]"
+_LEAF = "sha256(list_aggregate(list_transform({}, lambda x: coalesce(octet_length(encode(x))::VARCHAR || ':' || x, '-')), 'string_agg', ''))"
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+_TREE = """
+{name}(g, level, i, d, n) AS (
+  SELECT g, 0, i, d, n FROM {leaves}
+  UNION ALL
+  SELECT g, level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, level, i // 2)"""
+_MANIFEST = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(_FIELDS.format("n_chars"))} AS leaf,
+         {_LEAF.format(_FIELDS.format("(n_chars + 1)"))} AS changed, {_CRC} % 7 = 0 AS tampered FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM rows),
+{_TREE.format(name="tree", leaves="leaves")},
+subroots AS (SELECT g AS name, d FROM tree WHERE n = 1),
+tops AS (SELECT 0 AS g, name, d, row_number() OVER (ORDER BY encode(name)) - 1 AS i, count(*) OVER () AS n FROM subroots),
+{_TREE.format(name="top", leaves="tops")},
+own(doc_id, tree, g, level, i, n, sofar, node, proof) AS (
+  SELECT doc_id, 0, g, 0, i, n, leaf, CASE WHEN tampered THEN changed ELSE leaf END, '' FROM leaves
+  UNION ALL
+  SELECT o.doc_id, 0, o.g, o.level + 1, o.i // 2, (o.n + 1) // 2, o.sofar,
+         sha256(CASE WHEN s.d IS NULL THEN o.node WHEN o.i % 2 = 1 THEN s.d || o.node ELSE o.node || s.d END), o.proof || coalesce(s.d, '')
+  FROM own o LEFT JOIN tree s ON s.g = o.g AND s.level = o.level AND s.i = xor(o.i, 1) WHERE o.n > 1),
+lifted(doc_id, name, level, i, n, leaf, node, proof) AS (
+  SELECT o.doc_id, t.name, 0, t.i, t.n, o.sofar, o.node, o.proof FROM own o JOIN tops t ON t.name = o.g WHERE o.n = 1
+  UNION ALL
+  SELECT o.doc_id, o.name, o.level + 1, o.i // 2, (o.n + 1) // 2, o.leaf,
+         sha256(CASE WHEN s.d IS NULL THEN o.node WHEN o.i % 2 = 1 THEN s.d || o.node ELSE o.node || s.d END), o.proof || coalesce(s.d, '')
+  FROM lifted o LEFT JOIN top s ON s.level = o.level AND s.i = xor(o.i, 1) WHERE o.n > 1)
+SELECT doc_id, leaf, s.d AS subroot, r.d AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.d AS verified
+FROM lifted l JOIN subroots s ON s.name = l.name JOIN top r ON r.n = 1 WHERE l.n = 1
+"""
+
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, row_number() OVER () AS p, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+placed AS (SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM words),
+runs AS (SELECT lang, w1, lead(w1, 1) OVER x AS w2, lead(w1, 2) OVER x AS w3, lead(w1, 3) OVER x AS w4, lead(w1, 4) OVER x AS w5
+  FROM placed WINDOW x AS (PARTITION BY p ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM runs GROUP BY ALL HAVING f >= 100
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING f >= 100
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= 100
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) AS f FROM runs WHERE w4 IS NOT NULL GROUP BY ALL HAVING f >= 100
+  UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, count(*) AS f FROM runs WHERE w5 IS NOT NULL GROUP BY ALL HAVING f >= 100),
+n AS (SELECT lang, count(*) AS n FROM placed GROUP BY lang),
+keyed AS MATERIALIZED (SELECT k, phrase, f, lang || chr(10) || phrase AS key FROM f),
+split AS (SELECT lang, k, f AS a, phrase, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, c::INTEGER AS cut, k, lang || chr(10) || list_aggregate(w[1:c], 'string_agg', ' ') AS x,
+         lang || chr(10) || list_aggregate(w[c + 1:k], 'string_agg', ' ') AS y
+  FROM split, unnest(range(1, k)) u(c)),
+gone AS MATERIALIZED (
+  SELECT DISTINCT key FROM (SELECT x AS part, a FROM cuts WHERE cut = k - 1 UNION ALL SELECT y, a FROM cuts WHERE cut = 1) q
+  JOIN keyed ON key = part WHERE 100 * a >= 100 * f),
+with_left AS MATERIALIZED (SELECT cuts.*, f AS l FROM cuts JOIN keyed ON key = x),
+with_right AS MATERIALIZED (SELECT with_left.*, f AS r FROM with_left JOIN keyed ON key = y),
+scored AS (SELECT *, ((1000::HUGEINT * a * n) // (l::HUGEINT * r))::BIGINT AS score FROM with_right JOIN n USING (lang)),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score, cut
+FROM lowest WHERE lang || chr(10) || phrase NOT IN (SELECT key FROM gone) QUALIFY rank <= 2000
+"""
+
 SQL: dict[str, str] = {
     "op2_license_scan": _license_scan(),
     "op4_quality_rules": _quality_rules(),
     "op7_chat_formatting": _CHAT,
     "op9_benchmark_decontamination": _CONTAINED,
     "op10_ngram_jaccard_join": _LINKED,
+    "op11_merkle_manifest": _MANIFEST,
+    "op12_minhash_near_dedup": _DEDUPLICATED,
+    "op13_phrase_collocations": _PHRASES.replace("\\\\", "\\"),
 }
