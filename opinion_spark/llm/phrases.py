@@ -39,7 +39,9 @@ MIN_COUNT = 100
 BEST = 2000
 #: Candidates of one trie, and the memory of a task for words and for proposals not yet passed on.
 SHARD = 200_000
-HELD_WORDS, HELD_BYTES, HELD_POSITIONS = 200_000, 16 << 20, 2_000_000
+HELD_WORDS, HELD_POSITIONS = 500_000, 200_000
+#: Words of a row of hashes (a longer text is one row), and of the arrays that are worked on together.
+ROW_WORDS, TOGETHER = 8192, 64_000
 #: The largest bitmap of frequent phrases (32 MB); beyond 16 million of them it passes more proposals than needed.
 MOST_BITS = 1 << 28
 
@@ -63,23 +65,26 @@ def _salt(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
 
 
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The given stretches of UTF-8 bytes as strings."""
+    length = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    place = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], length)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[place])))
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to rows of word hashes, one per slice of texts, and rows of words with their counts within the task."""
+    """(lang, text) to rows of word hashes, for runs of texts, and rows of words with their counts within the task."""
     names = ["words", "lang", "word", "key", "count"]
-    held: dict[int, list] = {}
+    held: list[tuple] = []
     size = 0
 
     def counted() -> pa.RecordBatch:
-        n = len(held)
-        count, lang, word = ([v[k] for v in held.values()] for k in range(3))
-        columns = [
-            pa.nulls(n, pa.binary()),
-            pa.array(lang, pa.string()),
-            pa.array(word, pa.binary()).cast(pa.string()),
-            pa.array(W.signed(np.fromiter(held, np.uint64, n))),
-            pa.array(count, pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names)
+        key, count, lang, word = zip(*held, strict=True)
+        value, at, inverse = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(count)).astype(np.int64)
+        picked = [pa.concat_arrays(x).take(pa.array(at)) for x in (lang, word)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), *picked, pa.array(W.signed(value)), pa.array(total)], names)
 
     for batch in batches:
         for part in W.slices(batch, 1):
@@ -93,64 +98,72 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes[hashes == 0] = 1
             breaks = np.cumsum(_BREAKS[table.data])[table.starts]
             text = np.repeat(np.arange(len(langs)), per_text)
-            apart = np.flatnonzero((breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])) + 1
+            other = text[1:] != text[:-1]
+            apart = np.flatnonzero((breaks[1:] != breaks[:-1]) | other) + 1
             stream = np.insert(hashes, apart, np.uint64(0))
-            none = pa.nulls(1, pa.string())
+            # A row per run of whole texts.
+            edges = np.flatnonzero(other) + 1
+            edges = edges + np.searchsorted(apart, edges)  # the break that was put before the text
+            runs = np.unique(edges // ROW_WORDS, return_index=True)[1]
+            rows = np.split(stream, edges[runs])
+            n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([stream.tobytes()], pa.binary()), none, none, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names
+                [pa.array([r.tobytes() for r in rows], pa.binary()), *[pa.nulls(n, k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64())]], names
             )
-            low = _LOWER[table.data].tobytes()
             value, at, count = np.unique(hashes, return_index=True, return_counts=True)
-            rows = (value.tolist(), count.tolist(), table.starts[at].tolist(), table.ends[at].tolist(), text[at].tolist())
-            for key, n, start, end, owner in zip(*rows, strict=True):
-                known = held.get(key)
-                if known is None:
-                    held[key] = [n, langs[owner], low[start:end]]
-                    size += end - start
-                else:
-                    known[0] += n
-            if len(held) > HELD_WORDS or size > HELD_BYTES:
+            owner = part.column(0).take(pa.array(text[at]))
+            held.append((value, count, owner.cast(pa.string()), _strings(_LOWER[table.data], table.starts[at], table.ends[at])))
+            size += len(value) + int((table.ends[at] - table.starts[at]).sum()) // 16
+            if size > HELD_WORDS:
                 yield counted()
-                held.clear()
-                size = 0
+                held, size = [], 0
     if held:
         yield counted()
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The rows of word hashes, joined to arrays of about ``TOGETHER`` words."""
+    run, size = [], 0
     for batch in batches:
         for value in batch.column(0):
-            yield np.frombuffer(value.as_buffer(), np.uint64)
+            words = np.frombuffer(value.as_buffer(), np.uint64)
+            run += [words, np.zeros(1, np.uint64)]
+            size += len(words)
+            if size > TOGETHER:
+                yield np.concatenate(run)
+                run, size = [], 0
+    if run:
+        yield np.concatenate(run)
+
+
+def _grams(words: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, prefix, last) of the phrases of ``level`` words whose two parts of a word less may be frequent."""
+    parts, whole = words, words != 0
+    for step in range(1, level - 1):
+        parts = longer_keys(parts[:-1], words[step:])
+        whole = whole[:-1] & (words[step:] != 0)
+    may = whole.copy()
+    may[whole] = passes(bits, W.signed(parts[whole]))
+    at = np.flatnonzero(may[:-1] & may[1:])
+    prefix, last = parts[at], words[at + level - 1]
+    return longer_keys(prefix, last), prefix, last
 
 
 def _proposals(level: int, shared):
-    """Word hashes to (key, prefix, last, count) of phrases of ``level`` words whose two parts of a word less may be frequent."""
+    """Word hashes to (key, count) of proposed phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        bits, held, size = shared.value, [], 0
 
         def summed() -> pa.RecordBatch:
-            key, prefix, last = (np.concatenate(x) for x in zip(*held, strict=True))
-            value, at, count = np.unique(key, return_index=True, return_counts=True)
-            columns = [pa.array(W.signed(x)) for x in (value, prefix[at], last[at])] + [pa.array(count.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["key", "prefix", "last", "count"])
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(W.signed(value)), pa.array(count.astype(np.int32))], ["key", "count"])
 
         for words in _streams(batches):
-            n = len(words) - level + 1
-            if n <= 0:
+            if len(words) < level:
                 continue
-            parts, whole = words, words != 0
-            for step in range(1, level - 1):
-                parts = longer_keys(parts[:-1], words[step:])
-                whole = whole[:-1] & (words[step:] != 0)
-            may = whole.copy()
-            may[whole] = passes(bits, W.signed(parts[whole]))
-            at = np.flatnonzero(may[:-1] & may[1:])
-            prefix, last = parts[at], words[at + level - 1]
-            held.append((longer_keys(prefix, last), prefix, last))
-            size += len(at)
+            held.append(_grams(words, level, bits)[0])
+            size += len(held[-1])
             if size > HELD_POSITIONS:
                 yield summed()
                 held, size = [], 0
@@ -160,6 +173,26 @@ def _proposals(level: int, shared):
     return run
 
 
+def _parts(level: int, shared, wanted_shared):
+    """Word hashes to (key, prefix, last), once per task, of the proposals that the second bitmap lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, wanted, seen = shared.value, wanted_shared.value, np.empty(0, np.uint64)
+        for words in _streams(batches):
+            if len(words) < level:
+                continue
+            key, prefix, last = _grams(words, level, bits)
+            some = np.flatnonzero(passes(wanted, W.signed(key)))
+            value, at = np.unique(key[some], return_index=True)
+            new = ~np.isin(value, seen, assume_unique=True)
+            if new.any():
+                seen = np.union1d(seen, value[new]) if len(seen) < HELD_POSITIONS else value[new]
+                at = some[at[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(x[at])) for x in (key, prefix, last)], ["key", "prefix", "last"])
+
+    return run
+
+
 def _counts(shared):
     """Word hashes to (key, count) of one trie's phrases."""
 
@@ -195,6 +228,17 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[own]), *fixed, *parts], ["key", "size", "cut", "left", "right"])
 
 
+def _passing(shared):
+    """(key, ...) where the bitmap has the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return run
+
+
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, lang, word) with the word as a phrase: its hash as bytes."""
     for batch in batches:
@@ -202,19 +246,26 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], ["key", "lang", "phrase", "words"])
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the keys, of about 16 bits per key up to MOST_BITS."""
+    return key_filter(keys, size=min(max(FILTER_BITS, 1 << (16 * keys.count()).bit_length()), MOST_BITS))
+
+
 def _candidates(streams: DataFrame, frequent: DataFrame, spark) -> list[DataFrame]:
     """Per number of words, from two on: (key, lang, phrase, words) of the proposals that reach the least count."""
     words = landed(frequent.select("key", "lang", "word").mapInArrow(_single, "key long, lang string, phrase string, words binary"))
     levels, known = [], words
     for level in range(2, MAX_WORDS + 1):
-        n = known.count()
-        if not n:
+        if known.isEmpty():
             break
-        size = min(max(FILTER_BITS, 1 << (16 * n).bit_length()), MOST_BITS)
-        shared = spark.sparkContext.broadcast(key_filter(known, size=size))
-        proposed = streams.mapInArrow(_proposals(level, shared), "key long, prefix long, last long, count long")
-        safe = landed(proposed.groupBy("key", "prefix", "last").agg(F.sum("count").alias("seen")).where(F.col("seen") >= MIN_COUNT).drop("seen"))
-        shared.destroy()
+        shared = spark.sparkContext.broadcast(_bitmap(known))
+        proposed = streams.mapInArrow(_proposals(level, shared), "key long, count int")
+        sums = landed(proposed.groupBy("key").agg(F.sum("count").alias("seen")).where(F.col("seen") >= MIN_COUNT).select("key"))
+        wanted = spark.sparkContext.broadcast(_bitmap(sums))
+        found = streams.mapInArrow(_parts(level, shared, wanted), "key long, prefix long, last long")
+        safe = landed(found.join(sums, "key", "left_semi").groupBy("key").agg(F.min("prefix").alias("prefix"), F.min("last").alias("last")))
+        for used in (shared, wanted):
+            used.destroy()
         before = known.select(F.col("key").alias("prefix"), "lang", F.col("phrase").alias("start"), F.col("words").alias("start_words"))
         after = words.select(F.col("key").alias("last"), F.col("phrase").alias("end"), F.col("words").alias("end_words"))
         known = landed(
@@ -251,8 +302,12 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     streams = encoded.where(F.col("words").isNotNull()).select("words")
     counted = encoded.where(F.col("key").isNotNull())
     totals = landed(counted.groupBy("lang").agg(F.sum("count").alias("n")))
-    in_all = counted.groupBy("lang", "word", "key").agg(F.sum("count").alias("count"))
-    frequent = landed(in_all.where(F.col("count") >= MIN_COUNT))
+    sums = landed(counted.groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_COUNT))
+    shared = spark.sparkContext.broadcast(_bitmap(sums))
+    named = counted.select("key", "lang", "word").mapInArrow(_passing(shared), "key long, lang string, word string")
+    spelled = named.groupBy("key").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
+    frequent = landed(spelled.join(sums, "key"))
+    shared.destroy()
     schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long, cut int"
     levels = _candidates(streams, frequent, spark)
     if not levels or levels[0].isEmpty():

@@ -31,7 +31,7 @@ class Trie(NamedTuple):
     def visits(self, words: np.ndarray, depth: int) -> np.ndarray:
         """How often each state is reached from all positions of ``words`` (0: a break that no phrase crosses)."""
         codes = np.where(words == 0, 0, self.codes(words))
-        out = np.zeros(len(self.check), np.int64)
+        reached = [np.empty(0, np.int64)]
         at, state = np.flatnonzero(codes), np.full(np.count_nonzero(codes), ROOT, np.int64)
         for step in range(depth):
             inside = at + step < len(codes)
@@ -44,8 +44,8 @@ class Trie(NamedTuple):
             at, state = at[good], following[good]
             if not len(at):
                 break
-            out += np.bincount(state, minlength=len(out))
-        return out
+            reached.append(state)
+        return np.bincount(np.concatenate(reached), minlength=len(self.check))
 
 
 def build(phrases: np.ndarray, keys: np.ndarray) -> Trie:
