@@ -2,15 +2,14 @@
 
 Documents with equal shingle sets are one record. Independent trees sort the records: at a tree's root a record takes the branch
 of its least shingle under the tree's own hash. A node of at most ``SMALL`` records is compared exhaustively; a larger one is
-split again, each record following the token at a place of its sketch that the node's path selects, and a second place in
-``1 / similarity - 1`` of the nodes, so that a linked pair meets in one branch of every level on average. A pair whose
+split again, each record following its least shingle under the node's own hash (of its ``LEAST_TOKENS`` least shingles), and in
+``1 / similarity - 1`` of the nodes a second one, so that a linked pair meets in one branch of every level on average. A pair whose
 similarity is t parts at the roots of all ``TREES`` trees with chance ``(1 - t) ** TREES``: 1.3e-10 at 0.85.
 
-What enters verification. In a small node the pairs whose sizes and sketches allow a link; in a large node at a tree's root also
-every record with the node's least and greatest record. Every record's best pair is verified first, on whole sets; then all
-other pairs whose records are still in different components. Large nodes whose records are all in one component by
-then need no splitting, so a group of near copies mostly ends early. There is no cap: nodes are split until they are small or
-closed.
+What enters verification. In a small node the pairs whose sizes and sketches allow a link, and the same within random parts of
+a large node. Every record's best pair is verified first, on whole sets; then all other pairs whose records are still in
+different components. Large nodes whose records are all in one component by then need no splitting, so a group of near copies
+mostly ends early. There is no cap: nodes are split until they are small or closed.
 
 No group meets in one task: node sizes are counted with map-side aggregates, only small nodes are gathered, and joins
 on node or class are between landed tables, which adaptive execution splits where they are skewed.
@@ -23,6 +22,7 @@ no component's id unless no other is there. An empty table gives no rows. Other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +40,23 @@ PERCENT = 85
 TREES = 12
 #: Nodes of at most so many records are compared exhaustively.
 SMALL = 32
-#: A larger node goes down as many levels at once as it would take at this share of records per level, at most DEEPEST.
-SHRINK, DEEPEST = 0.8, 8
+#: Larger nodes go down one level at first, then twice as many at once as before, up to so many.
+DEEPEST = 8
 #: A sketch: bins of one byte each (0 stands for an empty bin), then a bit per shingle at a place given by its hash.
-BINS, BITS = 128, 1024
+BINS, BITS = 64, 512
 WIDTH = BINS + BITS // 8
+#: Bits of the sharper sketch that records of large nodes get, and how many of their least shingles stand for them below.
+SHARP_BITS, LEAST_TOKENS = 4096, 256
+#: A large node ends if at most FEW of its rows are outside its main component: these are compared with all others, by so many rows together.
+FEW, TOGETHER = 512, 1024
 #: The bits rule out only pairs that cannot be linked. By the bins, pairs are discarded so many standard deviations below what
 #: linked pairs show, and only where so many bins count.
-SIGMAS, LEAST_BINS = 6.0, 48
+SIGMAS, LEAST_BINS = 6.0, 32
+#: How many edges are worth a task of their own when components are found.
+EDGES_PER_TASK = 50_000
 
 _SEEDS = np.random.default_rng(12).integers(1, 1 << 64, TREES, dtype=np.uint64) | np.uint64(1)
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(58)
 
 
 def _least(found: list[np.ndarray]) -> np.ndarray:
@@ -119,42 +125,51 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel()), pa.array(record)], ["node", "record"])
 
 
-def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, record, root, size, sketch) to the record's nodes so many levels below as the node's size calls for."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, record, root, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        node, row = W.unsigned(node.astype(np.int64)), np.arange(batch.num_rows)
-        left = np.clip(np.log(size / SMALL) / np.log(1 / SHRINK), 1, DEEPEST).astype(np.int64)
-        marks = _fixed(batch.column(4), WIDTH)[:, :BINS]
-        done = []
-        while len(row):
-            children = []
-            for which in (1, 2):
-                draw = W.mixed(node ^ np.uint64(which * 0x632BE59BD9B4E019 % (1 << 64)))
-                # A second place is the node's choice, so that its records stay together.
-                rows = np.arange(len(node)) if which == 1 else np.flatnonzero((draw >> np.uint64(40)) / 2.0**24 < 100 / PERCENT - 1)
-                place = (draw[rows] % np.uint64(BINS)).astype(np.int64)
-                own = marks[row[rows]]
-                # An empty bin takes the next full one.
-                bin_ = np.where(own > 0, (np.arange(BINS) - place[:, None]) % BINS, BINS).argmin(1)
-                token = bin_.astype(np.uint64) << np.uint64(8) | own[np.arange(len(rows)), bin_].astype(np.uint64)
-                children.append((W.mixed(W.mixed(draw[rows]) ^ token), row[rows], left[rows] - 1))
-            node, row, left = (np.concatenate(x) for x in zip(*children, strict=True))
-            ended = left == 0
-            done.append((node[ended], row[ended]))
-            node, row, left = node[~ended], row[~ended], left[~ended]
-        node, row = (np.concatenate(x) for x in zip(*done, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(W.signed(node)), pa.array(record[row]), pa.array(root[row])], ["node", "record", "root"])
+def _branches(levels: int):
+    """(node, record, root, tokens) to the record's nodes ``levels`` below."""
+
+    def least(node: np.ndarray, row: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Every row's least token under its node's own hash."""
+        size = np.diff(first)[row]
+        starts = np.concatenate([[0], np.cumsum(size)])[:-1]
+        place = np.arange(int(size.sum())) + np.repeat(first[row] - starts, size)
+        return np.minimum.reduceat(W.mixed(tokens[place] ^ np.repeat(node, size)), starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                node, record, root = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                node, row = W.unsigned(node.astype(np.int64)), np.arange(part.num_rows)
+                values = part.column(3).to_pylist()
+                tokens = np.frombuffer(b"".join(values), np.uint32).astype(np.uint64)
+                first = np.concatenate([[0], np.cumsum([len(v) // 4 for v in values])])
+                for _ in range(levels):
+                    children = []
+                    for which in (1, 2):
+                        draw = W.mixed(node ^ np.uint64(which * 0x632BE59BD9B4E019 % (1 << 64)))
+                        # A second token is the node's choice, so that its records stay together.
+                        rows = np.arange(len(node)) if which == 1 else np.flatnonzero((draw >> np.uint64(40)) / 2.0**24 < 100 / PERCENT - 1)
+                        if len(rows):
+                            children.append((W.mixed(least(draw[rows], row[rows], tokens, first) ^ draw[rows]), row[rows]))
+                    node, row = (np.concatenate(x) for x in zip(*children, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(node)), pa.array(record[row]), pa.array(root[row])], ["node", "record", "root"])
+
+    return run
+
+
+def _fit(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two records can be linked by their sizes and bits: a shingle whose bit the other record lacks is not in it."""
+    x, y = (np.ascontiguousarray(v).view(np.uint64) for v in (a, b))
+    most = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return 100 * most >= PERCENT * (na + nb - most)
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether two records can be linked by their sizes and sketches, and how well the sketches agree (in thousandths)."""
-    x, y = np.ascontiguousarray(a[:, BINS:]).view(np.uint64), np.ascontiguousarray(b[:, BINS:]).view(np.uint64)
-    # A shingle whose bit the other record lacks is not in it.
-    most = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-    fits = 100 * most >= PERCENT * (na + nb - most)
+    if a.shape[1] * 8 == SHARP_BITS:
+        return _fit(na, nb, a, b), np.zeros(len(na), np.int64)
+    fits = _fit(na, nb, a[:, BINS:], b[:, BINS:])
     a, b = a[:, :BINS], b[:, :BINS]
     used = ((a | b) > 0).sum(1)
     agreed = ((a == b) & (a > 0)).sum(1)
@@ -167,42 +182,79 @@ def _pair_rows(x: np.ndarray, y: np.ndarray, agreed: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(agreed)], ["a", "b", "agreed"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, record, root, n, sketch) sorted by node to the pairs (a, b, agreed) of one node that can be linked."""
-
-    def pairs(node, record, root, n, marks):
-        for step in range(1, SMALL):
-            same = node[step:] == node[:-step]
-            if not same.any():
-                return
-            at = np.flatnonzero(same & (root[step:] != root[:-step]))
-            for some in np.array_split(at, 1 + len(at) // 20_000):
-                keep, agreed = _may_link(n[some], n[some + step], marks[some], marks[some + step])
-                if keep.any():
-                    yield _pair_rows(record[some][keep], record[some + step][keep], agreed[keep])
-
+def _by_node(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by node, sketch last, as arrays that hold whole nodes."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [_fixed(batch.column(4), WIDTH)]
+        last = batch.num_columns - 1
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(last)] + [_fixed(batch.column(last), width)]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        last = int(np.searchsorted(now[0], now[0][-1]))
-        if last:
-            yield from pairs(*(x[:last] for x in now))
-        rest = [x[last:] for x in now]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            yield [x[:cut] for x in now]
+        rest = [x[cut:] for x in now]
     if rest is not None:
-        yield from pairs(*rest)
+        yield rest
+
+
+def _compared(width: int):
+    """Rows (node, record, root, n, sketch) sorted by node to the pairs (a, b, agreed) of one node that can be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, record, root, n, marks in _by_node(batches, width):
+            for step in range(1, SMALL):
+                same = node[step:] == node[:-step]
+                if not same.any():
+                    break
+                at = np.flatnonzero(same & (root[step:] != root[:-step]))
+                for some in np.array_split(at, 1 + len(at) // 20_000):
+                    keep, agreed = _may_link(n[some], n[some + step], marks[some], marks[some + step])
+                    if keep.any():
+                        yield _pair_rows(record[some][keep], record[some + step][keep], agreed[keep])
+
+    return run
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, main, record, root, n, sketch) sorted by node, the few that are not of the main component first: these with all
+    rows of the node."""
+    for node, main, record, root, n, marks in _by_node(batches, SHARP_BITS // 8):
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        ends = np.append(starts[1:], len(node))
+        for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
+            for x in range(low, low + int(np.count_nonzero(~main[low:high]))):
+                some = x + 1 + np.flatnonzero(root[x + 1 : high] != root[x])
+                if len(some):
+                    keep, agreed = _may_link(np.full(len(some), n[x]), n[some], np.broadcast_to(marks[x], marks[some].shape), marks[some])
+                    if keep.any():
+                        yield _pair_rows(np.full(int(keep.sum()), record[x]), record[some][keep], agreed[keep])
+
+
+def _sharpened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record, shingles) to (record, n, sketch, tokens)."""
+    for batch in batches:
+        sketches, sizes, tokens = [], [], []
+        for value in batch.column(1):
+            found = np.frombuffer(value.as_buffer(), np.uint64)
+            bits = np.zeros(SHARP_BITS, bool)
+            bits[(found % np.uint64(SHARP_BITS)).astype(np.int64)] = True
+            sketches.append(np.packbits(bits).tobytes())
+            sizes.append(len(found))
+            tokens.append(W.mixed(found[:LEAST_TOKENS]).astype(np.uint32).tobytes())
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(tokens, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["record", "n", "sketch", "tokens"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sizes, sketches) to the pairs that can be linked."""
+    """(a, b, sizes, sharp sketches) to the pairs that can be linked."""
     for batch in batches:
         if batch.num_rows:
-            a, b, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            keep, agreed = _may_link(na, nb, _fixed(batch.column(4), WIDTH), _fixed(batch.column(5), WIDTH))
-            yield _pair_rows(a[keep], b[keep], agreed[keep])
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            keep = _fit(na, nb, *(_fixed(batch.column(k), SHARP_BITS // 8) for k in (4, 5)))
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
 
 def _sets(bits_shared):
@@ -248,9 +300,8 @@ class _Join:
         self.edges: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def _shingles(self, pairs: DataFrame) -> DataFrame:
-        """(record, shingles) of all records of the pairs."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("record")).distinct()
+    def _shingles(self, wanted: DataFrame) -> DataFrame:
+        """(record, shingles) of the records."""
         keys = landed(wanted.join(self.records.select("record", "class", "key"), "record"))
         shared = self.docs.sparkSession.sparkContext.broadcast(key_filter(keys))
         keyed = self.docs.select(F.xxhash64(self.text).alias("key"), F.col(self.text).cast("string"))
@@ -259,14 +310,25 @@ class _Join:
         shared.destroy()
         return out
 
+    def sharp(self, wanted: DataFrame) -> DataFrame:
+        """(record, n, sketch, tokens) of the records: sharper sketches, and their least shingles."""
+        return landed(self._shingles(wanted).mapInArrow(_sharpened, "record long, n long, sketch binary, tokens binary"))
+
+    def possible(self, pairs: DataFrame, about: DataFrame) -> DataFrame:
+        """The pairs that can be linked by their sketches."""
+        for side in ("a", "b"):
+            names = zip(("record", "n", "sketch"), (side, f"n_{side}", f"sketch_{side}"), strict=True)
+            pairs = pairs.join(about.select(*[F.col(c).alias(n) for c, n in names]), side)
+        return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_possible, "a long, b long")
+
     def verify(self, pairs: DataFrame) -> None:
         """Add the pairs that are linked to the edges."""
-        sets = self._shingles(pairs)
+        sets = self._shingles(_ends(pairs))
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("record").alias(side), F.col("shingles").alias(f"set_{side}")), side)
         good = landed(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long"))
         self.edges = good if self.edges is None else self.edges.unionByName(good)
-        self.roots = components(self.edges)
+        self.roots = landed(components(self.edges, EDGES_PER_TASK).coalesce(1 + self.edges.count() // EDGES_PER_TASK))
 
     def placed(self, rows: DataFrame, *names: str) -> DataFrame:
         """``rows`` with the component of each named record."""
@@ -279,68 +341,80 @@ class _Join:
         return rows
 
     def grouped(self, level: DataFrame) -> DataFrame:
-        """Rows (node, record, root) of nodes that hold several components, with the node's size and two of its records."""
-        sizes = level.groupBy("node").agg(
-            F.count("*").alias("size"),
-            *[f("record").alias(n) for f, n in ((F.min, "first"), (F.max, "last"))],
-            *[f("root").alias(n) for f, n in ((F.min, "low"), (F.max, "high"))],
-        )
-        open_nodes = landed(sizes.where("size > 1 and low <> high").select("node", "size", "first", "last"))
-        return landed(level.join(open_nodes, "node"))
-
-    def compared(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b, agreed) of different components within small nodes that can be linked."""
+        """Rows (node, record, root, size, main, others) of nodes that hold several components: the node's largest component, and
+        how many of its rows are of others."""
+        parts = level.groupBy("node", "root").agg(F.count("*").alias("rows"))
+        sizes = parts.groupBy("node").agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "root")).alias("most"))
+        open_nodes = sizes.select("node", "size", F.col("most.root").alias("main"), (F.col("size") - F.col("most.rows")).alias("others"))
+        return landed(level.join(landed(open_nodes.where("others > 0")), "node"))
+
+    def compared(self, rows: DataFrame, about: DataFrame, width: int) -> DataFrame:
+        """Pairs (a, b, agreed) of different components that can be linked: within small nodes, and within parts of large ones."""
+        part = F.pmod(F.xxhash64("record", "node"), F.ceil(F.col("size") / SMALL))
+        node = F.when(F.col("size") <= SMALL, F.col("node")).otherwise(F.xxhash64("node", part))
         return (
-            rows.where(F.col("size") <= SMALL)
-            .join(self.about, "record")
+            rows.withColumn("node", node)
+            .join(about, "record")
             .select("node", "record", "root", "n", "sketch")
             .repartition("node")
             .sortWithinPartitions("node", "record")
-            .mapInArrow(_compared, "a long, b long, agreed long")
+            .mapInArrow(_compared(width), "a long, b long, agreed long")
         )
 
-    def with_ends(self, rows: DataFrame) -> DataFrame:
-        """Pairs of large nodes' records with the node's least and greatest record that can be linked."""
-        pairs = rows.where(F.col("size") > SMALL).select(F.col("record").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a <> b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(self.about.select(*[F.col(c).alias(n) for c, n in zip(self.about.columns, (side, f"n_{side}", f"sketch_{side}"), strict=True)]), side)
-        return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_possible, "a long, b long, agreed long")
+    def against(self, rows: DataFrame, about: DataFrame) -> DataFrame:
+        """Pairs of large nodes' few records outside the main component with all other records of the node."""
+        own = rows.where((F.col("size") > SMALL) & (F.col("others") <= FEW))
+        parts = F.ceil(F.col("size") / TOGETHER).cast("long")
+        is_main = F.col("root") == F.col("main")
+        about = about.select("record", "n", "sketch")
+        place = F.when(is_main, F.array(F.pmod(F.xxhash64("record"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+        spread = own.select("node", is_main.alias("is_main"), "record", "root", F.explode(place).alias("part"))
+        return (
+            spread.join(about, "record")
+            .select(F.xxhash64("node", "part").alias("node"), "is_main", "record", "root", "n", "sketch")
+            .repartition("node")
+            .sortWithinPartitions("node", "is_main")
+            .mapInArrow(_against, "a long, b long, agreed long")
+        )
 
-    def below(self, rows: DataFrame) -> DataFrame:
-        """The large nodes' rows in the nodes below them."""
-        own = rows.where(F.col("size") > SMALL).select("node", "record", "root", "size").join(self.about.select("record", "sketch"), "record")
-        split = own.select("node", "record", "root", "size", "sketch").mapInArrow(_branches, "node long, record long, root long")
+    def below(self, rows: DataFrame, about: DataFrame, levels: int) -> DataFrame:
+        """The rows in the nodes ``levels`` below theirs."""
+        own = rows.select("node", "record", "root").join(about.select("record", "tokens"), "record")
+        split = own.select("node", "record", "root", "tokens").mapInArrow(_branches(levels), "node long, record long, root long")
         return landed(split.distinct())
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("record")).distinct()
+
+
 def _linked(join: _Join) -> None:
-    """Follow the trees down until every node is small, or all its records are in one component; verify what meets."""
+    """Follow the trees down until every node is small, or few of its records are outside one component; verify what meets."""
     level = join.records.select("record", "tokens").mapInArrow(_roots, "node long, record long").withColumn("root", F.col("record"))
     rows = join.grouped(level)
-    crowded = not rows.where(F.col("size") > SMALL).isEmpty()
-    pairs = join.compared(rows)
-    if crowded:
-        pairs = pairs.unionByName(join.with_ends(rows))
-    pairs = landed(pairs.groupBy("a", "b").agg(F.max("agreed").alias("agreed")))
+    pairs = landed(join.compared(rows, join.about, WIDTH).groupBy("a", "b").agg(F.max("agreed").alias("agreed")))
     if not pairs.isEmpty():
         sided = pairs.select("a", "b", "agreed", F.explode(F.array("a", "b")).alias("record"))
         best = sided.groupBy("record").agg(F.max(F.struct("agreed", "a", "b")).alias("best"))
         first = landed(best.select("best.a", "best.b").distinct())
         join.verify(first)
-        pairs = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    later = [pairs.select("a", "b")]
-    if crowded:
-        rows = join.placed(rows.drop("root"), "record").withColumnRenamed("root_record", "root")
-        rows = join.grouped(rows.where(F.col("size") > SMALL).select("node", "record", "root"))
-        while not rows.where(F.col("size") > SMALL).isEmpty():
-            rows = join.grouped(join.below(rows))
-            later.append(landed(join.compared(rows).select("a", "b").distinct()))
-    rest = later[0]
-    for more in later[1:]:
-        rest = rest.unionByName(more)
-    rest = landed(join.placed(rest.distinct(), "a", "b").where("root_a <> root_b").select("a", "b"))
-    if not rest.isEmpty():
-        join.verify(rest)
+        left = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+        pairs = landed(join.placed(left, "a", "b").where("root_a <> root_b").select("a", "b"))
+        if not pairs.isEmpty():
+            join.verify(landed(join.possible(pairs, join.sharp(_ends(pairs)))))
+    large = rows.where(F.col("size") > SMALL).select("node", "record")
+    if not large.isEmpty():  # components may have closed nodes
+        rows = join.grouped(join.placed(large, "record").withColumnRenamed("root_record", "root"))
+        about, levels, met = join.sharp(rows.select("record").distinct()), 1, []
+        while not rows.isEmpty():
+            found = join.compared(rows.where(F.col("size") <= SMALL), about, SHARP_BITS // 8).unionByName(join.against(rows, about))
+            met.append(landed(found.select("a", "b").distinct()))
+            rows = join.grouped(join.below(rows.where((F.col("size") > SMALL) & (F.col("others") > FEW)), about, levels))
+            levels = min(2 * levels, DEEPEST)
+        if met:
+            rest = landed(reduce(DataFrame.unionByName, met).distinct())
+            if not rest.isEmpty():
+                join.verify(rest)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
