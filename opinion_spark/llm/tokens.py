@@ -25,8 +25,11 @@ from opinion_spark.llm import words as W
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
-#: Remembered chunks and pre-tokens per worker; beyond that the memory starts anew.
-MEMORY = 1_000_000
+#: Bytes, about, that a worker keeps of chunks and of pre-tokens it has seen; beyond that the memory starts anew. Longer ones
+#: than REMEMBERED characters are not kept.
+MEMORY, REMEMBERED = 24 << 20, 64
+#: What an entry takes besides its characters.
+_ENTRY = 220
 
 #: Characters that the shortcut accepts: ASCII without the separators 1C-1F (blanks to one side, not to the other), and
 #: the Latin letters that lower-case to one letter and compose to themselves.
@@ -54,6 +57,17 @@ class Shortcut:
         self.pre_ids: dict[str, bytes] = {}
         self.chunk_ids: dict[str, bytes] = {}
         self.chunk_counts: dict[str, int] = {}
+        self.held: dict[int, int] = {}
+
+    def keep(self, memory: dict, key: str, value) -> None:
+        """Remember a value within the bound."""
+        if len(key) <= REMEMBERED:
+            size = self.held.get(id(memory), 0) + _ENTRY + 4 * len(key)
+            if size > MEMORY:
+                memory.clear()
+                size = 0
+            self.held[id(memory)] = size
+            memory[key] = value
 
     @staticmethod
     def _byte_letters() -> dict[int, str]:
@@ -81,11 +95,9 @@ class Shortcut:
         """Ids of a pre-token that is not one whole token, little-endian, four bytes each."""
         found = self.pre_ids.get(pre_token)
         if found is None:
-            if len(self.pre_ids) > MEMORY:
-                self.pre_ids.clear()
             letters = "".join(map(self.bytes_of.__getitem__, pre_token.encode()))
             found = np.array([t.id for t in self.library.model.tokenize(letters)], "<u4").tobytes()
-            self.pre_ids[pre_token] = found
+            self.keep(self.pre_ids, pre_token, found)
         return found
 
     def shortcut_applies(self, text: str) -> bool:
@@ -98,13 +110,12 @@ class Shortcut:
         chunks = text.split()
         counts = list(map(memory.get, chunks))
         if None in counts:
-            if len(memory) > MEMORY:
-                memory.clear()
             for i, n in enumerate(counts):
                 if n is None:
                     pre = PRE_TOKEN.findall(chunks[i].lower())
                     rest = [p for p in pre if p not in self.whole]
-                    counts[i] = memory[chunks[i]] = len(pre) - len(rest) + sum(len(self.merged(p)) for p in rest) // 4
+                    counts[i] = len(pre) - len(rest) + sum(len(self.merged(p)) for p in rest) // 4
+                    self.keep(memory, chunks[i], counts[i])
         return sum(counts)
 
     def ids(self, text: str) -> bytes:
@@ -115,14 +126,13 @@ class Shortcut:
         chunks = text.split()
         parts = list(map(memory.get, chunks))
         if None in parts:
-            if len(memory) > MEMORY:
-                memory.clear()
             for i, part in enumerate(parts):
                 if part is None:
-                    parts[i] = memory[chunks[i]] = b"".join(
+                    parts[i] = b"".join(
                         self.whole[p].to_bytes(4, "little") if p in self.whole else self.merged(p)
                         for p in PRE_TOKEN.findall(chunks[i].lower())
                     )
+                    self.keep(memory, chunks[i], parts[i])
         return b"".join(parts)
 
 
