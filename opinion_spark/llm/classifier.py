@@ -111,7 +111,9 @@ def trained(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lab
         .repartition(1)
         .sortWithinPartitions("order", "label", "at")
     )
-    return np.frombuffer(picked.mapInArrow(learn, "weights binary").first()["weights"], np.float32)
+    found = picked.mapInArrow(learn, "weights binary").first()
+    # Without a labelled row there is nothing to learn: every score is one half.
+    return np.frombuffer(found["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

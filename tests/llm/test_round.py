@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from test_pairs import near_copies
 
-from opinion_spark.llm import chosen_path, manifest, phrases, trie
+from opinion_spark.llm import chosen_path, classifier, manifest, phrases, trie
 
 
 def h(*parts: str) -> str:
@@ -150,3 +150,11 @@ def test_trie_counts_every_phrase():
     own = trie.build(table, np.arange(len(some)))
     assert own.visits(text, 5)[own.accepted].tolist() == [found[p] for p in some]
     assert trie.build(table[:0], np.arange(0)).visits(text, 5).tolist() == [0]
+
+
+def test_classifier_without_labels_or_documents(spark):
+    docs = brute.frame(spark, [(1, "some words"), (2, None), (2, None)])
+    labels = spark.createDataFrame([(1, None)], "doc_id long, quality int")
+    for rows, n in ((docs, 3), (docs.where("doc_id < 0"), 0)):
+        model = classifier.trained(classifier.labelled_sample(rows, labels), label="label")
+        assert [(r["score"], r["predicted"]) for r in classifier.scored(rows, model).collect()] == [(0.5, 1)] * n
