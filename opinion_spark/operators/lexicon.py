@@ -22,6 +22,14 @@ def last_weight_per_word(raw: DataFrame, order: Column) -> DataFrame:
     return raw.groupBy("word").agg(last.alias("weight"))
 
 
+#: Tells rows of equal ids apart, so that each has its own result.
+_ROW = "_row"
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn(_ROW, F.monotonically_increasing_id())
+
+
 def _as_terms(lexicon: DataFrame) -> DataFrame:
     return lexicon.select(F.col("word").alias("term"), int_weight(F.col("weight")).alias("weight"))
 
@@ -41,23 +49,27 @@ def sentence_scores(
     sit in one partition, so map-side aggregation leaves about one row per document to
     shuffle. ``keep`` is meant for short columns; join the text back on the id.
     """
-    words = df.select(id_col, *keep, F.explode_outer(tokens).alias("term"))
-    spread = F.struct(F.col(id_col), F.col("term"))
+    words = _numbered(df).select(_ROW, id_col, *keep, F.explode_outer(tokens).alias("term"))
+    spread = F.struct(F.col(_ROW), F.col("term"))
     weighed = word_weights(words, lexicon, spread)
-    return weighed.groupBy(id_col, *keep).agg(F.sum("weight").alias("score"))
+    return weighed.groupBy(_ROW, id_col, *keep).agg(F.sum("weight").alias("score")).drop(_ROW)
 
 
 def word_scores(df: DataFrame, id_col: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
     """``(id, term, weight)``, one row per distinct word of a document."""
-    words = exploded(df, [id_col], F.array_distinct(tokens), "term")
-    return word_weights(words, lexicon, F.struct(F.col(id_col), F.col("term")))
+    return _word_scores(df, id_col, tokens, lexicon).drop(_ROW)
+
+
+def _word_scores(df: DataFrame, id_col: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
+    words = exploded(_numbered(df), [_ROW, id_col], F.array_distinct(tokens), "term")
+    return word_weights(words, lexicon, F.struct(F.col(_ROW), F.col("term")))
 
 
 def word_score_map(df: DataFrame, id_col: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
     """``(id, classify_data)``: word -> weight map of each document that has words."""
-    scored = word_scores(df, id_col, tokens, lexicon)
+    scored = _word_scores(df, id_col, tokens, lexicon)
     entries = F.sort_array(F.collect_list(F.struct("term", "weight")))
-    return scored.groupBy(id_col).agg(F.map_from_entries(entries).alias("classify_data"))
+    return scored.groupBy(_ROW, id_col).agg(F.map_from_entries(entries).alias("classify_data")).drop(_ROW)
 
 
 def sign_class(score: Column) -> Column:
@@ -78,12 +90,13 @@ def classify_frame(df: DataFrame, id_col: str, tokens: Column, lexicon: DataFram
 
     Map and score come from the same pass over the distinct words of each document.
     """
-    cells = df.select(id_col, F.inline_outer(term_bag(tokens)))
-    weighed = word_weights(cells, lexicon, F.struct(F.col(id_col), F.col("term")))
+    numbered = _numbered(df)
+    cells = numbered.select(_ROW, F.inline_outer(term_bag(tokens)))
+    weighed = word_weights(cells, lexicon, F.struct(F.col(_ROW), F.col("term")))
     entry = F.when(F.col("term").isNotNull(), F.struct("term", "weight"))
     score = F.sum(F.col("weight") * F.coalesce("tf", F.lit(0)))
-    scored = weighed.groupBy(id_col).agg(
+    scored = weighed.groupBy(_ROW).agg(
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("classify_data"),
         sign_class(score).alias("classified"),
     )
-    return df.join(scored, id_col, "left")
+    return numbered.join(scored, _ROW, "left").drop(_ROW)

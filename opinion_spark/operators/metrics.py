@@ -2,6 +2,10 @@
 
 Rows are reduced once, to counts per (true, predicted) pair; every score is computed
 from these few counts. ``by`` evaluates several splits or models side by side.
+
+A row without a prediction counts in its class's support and is right for no class: the matrix shows it
+in a column of its own (``y_pred`` NULL, first in the flat form), and no class NULL enters the averages. Rows without
+a true label cannot be judged and are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from pyspark.sql import functions as F
 
 
 def pair_counts(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return predictions.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
+    judged = predictions.where(F.col("y_true").isNotNull())
+    return judged.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
 def confusion_matrix(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -21,10 +26,14 @@ def confusion_matrix(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFr
     """
     counts = pair_counts(predictions, by)
     sides = counts.select(*by, F.explode(F.array("y_true", "y_pred")).alias("label"))
-    labels = sides.groupBy(*by).agg(F.collect_set("label").alias("labels"))
-    grid = labels.select(*by, "labels", F.explode("labels").alias("y_true"))
-    grid = grid.select(*by, "y_true", F.explode("labels").alias("y_pred"))
-    joined = grid.join(counts, [*by, "y_true", "y_pred"], "left")
+    labels = sides.groupBy(*by).agg(F.collect_set("label").alias("labels"), F.bool_or(F.col("label").isNull()).alias("_none"))
+    grid = labels.select(*by, "labels", "_none", F.explode("labels").alias("y_true"))
+    missing = F.array(F.lit(None).cast(counts.schema["y_pred"].dataType))
+    columns = F.when(F.col("_none"), F.concat("labels", missing)).otherwise(F.col("labels"))
+    grid = grid.select(*by, "y_true", F.explode(columns).alias("y_pred"))
+    found = counts.select(*[F.col(c).alias(f"_{c}") for c in (*by, "y_true", "y_pred")], "n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "y_true", "y_pred")]
+    joined = grid.join(found, same, "left")
     return joined.select(*by, "y_true", "y_pred", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -55,7 +64,8 @@ def label_totals(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
     stacked = pair_counts(predictions, by).select(*by, F.inline(sides))
     names = ("tp", "support", "predicted")
-    return stacked.groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in names])
+    known = stacked.where(F.col("label").isNotNull())
+    return known.groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _ratio(part: Column, whole: Column) -> Column:

@@ -86,3 +86,14 @@ def test_flags(spark):
     assert [r["p"] for r in present] == [1, 1, 0]
     filled = P.fill_zero(rows.withColumn("n", F.lit(None).cast("double"))).collect()
     assert filled[2]["hashtag"] == "0" and filled[2]["n"] == 0.0
+
+
+def test_rows_of_equal_ids_have_results_of_their_own(spark):
+    lexicon = spark.createDataFrame([("good", 2), ("bad", -3)], "word string, weight int")
+    docs = spark.createDataFrame([(1, ["good"]), (1, ["bad"]), (1, ["bad"]), (None, ["good"]), (2, [])], "id int, tokens array<string>")
+    scores = sorted(((r["id"] or 0), r["score"], r["classified"]) for r in L.classify(docs, "id", F.col("tokens"), lexicon).collect())
+    assert scores == [(0, 2, 1), (1, -3, -1), (1, -3, -1), (1, 2, 1), (2, 0, 0)]
+    maps = [(r["id"], r["classify_data"]) for r in L.word_score_map(docs, "id", F.col("tokens"), lexicon).collect()]
+    assert sorted(((i or 0), *m.items()) for i, m in maps) == [(0, ("good", 2)), (1, ("bad", -3)), (1, ("bad", -3)), (1, ("good", 2))]
+    framed = L.classify_frame(docs, "id", F.col("tokens"), lexicon).collect()
+    assert len(framed) == 5 and sorted((r["id"] or 0, r["classified"]) for r in framed) == [(0, 1), (1, -1), (1, -1), (1, 1), (2, 0)]

@@ -64,3 +64,16 @@ def test_best_grid_point_is_the_first_of_equals(spark):
     found = {r["C"]: r for r in E.grid_score_summary(rows, ["C"]).collect()}
     assert [c for c, r in found.items() if r["is_best"]] == [1.0]
     assert found[1.0]["two_std"] == pytest.approx(0.2)
+
+
+def test_rows_without_a_prediction_count_as_missed(spark):
+    rows = [(1, 1), (2, 2), (2, 2), (1, None), (None, 2)]
+    frame = spark.createDataFrame(rows, "y_true int, y_pred int")
+    cells = {(r["y_true"], r["y_pred"]): r["n"] for r in E.confusion_matrix(frame).collect()}
+    assert cells == {(1, 1): 1, (1, 2): 0, (1, None): 1, (2, 1): 0, (2, 2): 2, (2, None): 0}
+    assert E.confusion_flat(frame).first()["flat"] == [1, 1, 0, 0, 0, 2]
+    scored = E.scores(frame).first()
+    assert scored["accuracy"] == 0.75 and scored["macro_precision"] == 1.0 and scored["macro_recall"] == 0.75
+    assert {r["label"] for r in E.classification_report(frame).collect()} == {"1", "2", "accuracy", "macro avg", "weighted avg"}
+    split = E.confusion_matrix(frame.selectExpr("y_true", "y_pred", "1 AS part"), ("part",))
+    assert split.count() == 6
