@@ -25,9 +25,9 @@ from opinion_spark.llm import words as W
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
-#: Bytes, about, that a worker keeps of chunks and of pre-tokens it has seen; beyond that the memory starts anew. Longer ones
-#: than REMEMBERED characters are not kept.
-MEMORY, REMEMBERED = 24 << 20, 64
+#: Bytes, about, that a worker keeps of chunks and of pre-tokens it has seen, the first ones, which are the frequent ones. Longer
+#: ones than REMEMBERED characters are not kept.
+MEMORY, REMEMBERED = 48 << 20, 64
 #: What an entry takes besides its characters.
 _ENTRY = 220
 
@@ -63,11 +63,9 @@ class Shortcut:
         """Remember a value within the bound."""
         if len(key) <= REMEMBERED:
             size = self.held.get(id(memory), 0) + _ENTRY + 4 * len(key)
-            if size > MEMORY:
-                memory.clear()
-                size = 0
-            self.held[id(memory)] = size
-            memory[key] = value
+            if size <= MEMORY:
+                self.held[id(memory)] = size
+                memory[key] = value
 
     @staticmethod
     def _byte_letters() -> dict[int, str]:
