@@ -7,22 +7,21 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone")
 #: Tags: outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-HIDDEN = 16
+HIDDEN = 12
+#: Stretches searched together, those of similar lengths.
+SEARCHED_TOGETHER = 2048
 
-_MARKS = "\n @.-+()_%,:/=\"'#"
-#: A character's class: marks one by one, then digits, lower case, upper case, everything else; 0 is padding.
-CLASSES = 1 + len(_MARKS) + 4
+#: A character's class: 0 is padding, then the 128 ASCII characters one by one, then other letters, digits and the rest.
+CLASSES = 1 + 128 + 3
 
 
 def classes_of(text: str) -> np.ndarray:
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    out = np.full(len(code), CLASSES - 1, np.int64)
-    table = np.full(128, CLASSES - 1, np.int64)
-    for i, mark in enumerate(_MARKS):
-        table[ord(mark)] = 1 + i
-    table[48:58], table[97:123], table[65:91] = CLASSES - 4, CLASSES - 3, CLASSES - 2
-    ascii_only = code < 128
-    out[ascii_only] = table[code[ascii_only]]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = code.astype(np.int64) + 1
+    wide = np.flatnonzero(code >= 128)
+    if len(wide):
+        values, place = np.unique(code[wide], return_inverse=True)
+        out[wide] = np.array([129 if chr(v).isalpha() else 130 if chr(v).isdigit() else 131 for v in values.tolist()])[place]
     return out
 
 
@@ -179,22 +178,96 @@ class SpanModel:
                 self.p[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    def _states(self, x: np.ndarray, side: str) -> np.ndarray:
+        """The hidden states of ``_lstm`` without what training keeps."""
+        n, length = x.shape
+        wx, wh = self.p[f"{side}x"] + self.p[f"{side}c"], self.p[f"{side}h"]
+        h, c = np.zeros((n, HIDDEN), wx.dtype), np.zeros((n, HIDDEN), wx.dtype)
+        out = np.empty((length, n, HIDDEN), wx.dtype)
+        real = x > 0
+        whole = real.all(0)
+        for t in range(length) if side == "f" else range(length - 1, -1, -1):
+            z = h @ wh
+            z += wx[x[:, t]]
+            gates = z[:, : 3 * HIDDEN]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            c = gates[:, HIDDEN : 2 * HIDDEN] * c
+            c += gates[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c)
+            if not whole[t]:
+                c *= real[:, t, None]
+                h *= real[:, t, None]
+            out[t] = h
+        return out
+
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tag sequences (n, length) by the transitions, and the marginal chance of each tag in them."""
-        e, _ = self._emissions(x)
-        _, marginal, _ = self._forward_backward(e, x)
+        """Best tag sequences (n, length) by the transitions, and the marginal chance of each tag in them.
+
+        Only stretches where a run of other tags could beat "outside" are searched: those covered by a run whose moves, each at its
+        largest gain (into the run, within it, out of it), outweigh the leads of "outside" at its characters. Everywhere else "outside" is
+        best whatever stands around, so a stretch is searched by itself, between two characters outside. Chances are those within the
+        stretch; where the best tags are all "outside" they are not computed (1).
+        """
+        e = self._states(x, "f") @ self.p["out"][:HIDDEN]
+        e += self._states(x, "b") @ self.p["out"][HIDDEN:]
+        e += self.p["bias"]
+        gain = np.where(ALLOWED, self.p["move"], -np.inf) - self.p["move"][0, 0]
+        enter, within, leave = float(gain[0, 1:].max()), float(gain[1:, 1:].max()), float(gain[1:, 0].max())
+        worth = np.where(x.T > 0, within - e[:, :, 0] + e[:, :, 1:].max(2), -np.inf)
+        # A run at the edge of the window has no move into it, or none out of it.
+        worth[0] -= min(enter, 0)
+        worth[np.maximum((x > 0).sum(1), 1) - 1, np.arange(len(x))] -= min(leave, 0)
+        upto, run = np.empty_like(worth), np.zeros(len(x))
+        for t, step in enumerate(worth):
+            upto[t] = run = np.maximum(run, 0) + step
+        run = np.zeros(len(x))
+        for t in range(len(worth) - 1, -1, -1):
+            upto[t] += np.maximum(run, 0)
+            run = np.maximum(run, 0) + worth[t]
+        tags, chance = np.zeros(x.shape, np.int64), np.ones(x.shape, e.dtype)
+        doubtful = np.pad((upto > within - enter - leave).T, ((0, 0), (1, 1))).astype(np.int8)
+        row, start = np.nonzero(np.diff(doubtful) == 1)
+        end = np.nonzero(np.diff(doubtful) == -1)[1]
+        opened, closed = start > 0, end < x.shape[1]
+        start, end = start - opened, end + closed
+        order = np.argsort(end - start, kind="stable")
+        for k in range(0, len(order), SEARCHED_TOGETHER):
+            some = order[k : k + SEARCHED_TOGETHER]
+            size = (end - start)[some]
+            at = np.minimum(start[some, None] + np.arange(size.max()), x.shape[1] - 1)
+            here = np.arange(size.max()) < size[:, None]
+            rows = np.broadcast_to(row[some, None], at.shape)
+            part = e[at.T, rows.T]
+            border = np.arange(len(some))
+            part[0, border[opened[some]], 1:] = -1e4
+            part[size[closed[some]] - 1, border[closed[some]], 1:] = -1e4
+            found, sure = self._search(part, np.where(here, x[rows, at], 0))
+            inside = here & (found > 0)
+            tags[rows[inside], at[inside]], chance[rows[inside], at[inside]] = found[inside], sure[inside]
+        return tags, chance
+
+    def _search(self, e: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         move = np.where(ALLOWED, self.p["move"], -1e4).astype(e.dtype)
         length, n, _ = e.shape
-        best, back = e[0], np.zeros((length, n, TAGS), np.int64)
+        into = np.ascontiguousarray(move.T)
+        best, back = e[0], np.zeros((length, n, TAGS), np.int8)
         for t in range(1, length):
-            score = best[:, :, None] + move[None]
+            score = best[:, None, :] + into
+            came = score.argmax(2)
             on = x[:, t] > 0
-            back[t] = np.where(on[:, None], score.argmax(1), np.arange(TAGS)[None])
-            best = np.where(on[:, None], score.max(1) + e[t], best)
+            back[t] = np.where(on[:, None], came, np.arange(TAGS))
+            best = np.where(on[:, None], np.take_along_axis(score, came[:, :, None], 2)[:, :, 0] + e[t], best)
         tags = np.zeros((n, length), np.int64)
         tags[:, -1] = best.argmax(1)
         rows = np.arange(n)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[t][rows, tags[:, t]]
-        chance = marginal[np.arange(length)[None, :], rows[:, None], tags]
+        chance = np.ones(x.shape, e.dtype)
+        some = np.flatnonzero(tags.any(1))
+        if len(some):
+            _, marginal, _ = self._forward_backward(np.ascontiguousarray(e[:, some]), x[some])
+            chance[some] = marginal[np.arange(length)[None, :], np.arange(len(some))[:, None], tags[some]]
         return tags, chance

@@ -151,8 +151,9 @@ def test_spans_of_the_model_and_redaction(spark):
     docs = brute.frame(spark, rows + brute.AWKWARD)
     model = pii.trained(pii.training_windows(docs), steps=200)
     held = labelled(100, 2)
-    x = pii._padded([classes_of(t[s : s + 64]) for _, t in held for s in pii.window_starts(t)])
-    y = pii._padded([tags_of(len(t[s : s + 64]), [(k, a - s, b - s) for k, a, b in pii.base_spans(t) if a < s + 64 and b > s]) for _, t in held for s in pii.window_starts(t)])
+    parts = [(t[s : s + 64], [(k, a - s, b - s) for k, a, b in pii.base_spans(t) if a < s + 64 and b > s]) for _, t in held for s in range(0, len(t), 64)]
+    x = pii._padded([classes_of(t) for t, _ in parts])
+    y = pii._padded([tags_of(len(t), spans) for t, spans in parts])
     tags, _ = model.decode(x)
     assert (tags == y)[x > 0].mean() > 0.93
     out = {r["doc_id"]: r for r in pii.found(docs, model).collect()}
@@ -167,6 +168,63 @@ def test_spans_of_the_model_and_redaction(spark):
     assert pii.found(brute.frame(spark, []), model).collect() == []
 
 
+@pytest.fixture(scope="module")
+def span_model(spark):
+    return pii.trained(pii.training_windows(brute.frame(spark, labelled(600, 1))))
+
+
+def test_the_model_adds_spans_of_other_formats(span_model):
+    """Held-out items: the share of spans found, and of found spans that are right."""
+    rng, np_rng = random.Random(5), np.random.default_rng(77)
+    right = wanted = given = 0
+    for _ in range(300):
+        kind, form = rng.choice([*pii.VARIANTS, *((None, f) for f in pii.PLAIN)])
+        before = " ".join(rng.choice(["the", "of", "Thing", "and,", "word."]) for _ in range(rng.randint(3, 200))) + " "
+        item = pii._filled(form, np_rng)
+        text = before + item + " the Thing of word."
+        base = pii.base_spans(text)
+        (added,) = pii.added_spans([text], [base], span_model)
+        truth = (kind, len(before), len(before) + len(item))
+        if kind and not base:
+            wanted += 1
+            right += truth in added
+        given += len(added)
+    assert right / wanted > 0.7
+    assert right / given > 0.7
+
+
+def test_spans_do_not_depend_on_where_windows_begin(span_model):
+    """A span in any place of a long text, windows' edges included, and one longer than the overlap."""
+    item = "(743) 555-3824"
+    found = []
+    for shift in range(pii.WINDOW - 40, pii.WINDOW + 40, 3):
+        before = ("the Thing of word. and, " * 40)[:shift - 1] + " "
+        text = before + item + " the Thing of word." * 40
+        (added,) = pii.added_spans([text], [pii.base_spans(text)], span_model)
+        found.append(("phone", shift, shift + len(item)) in added)
+    assert np.mean(found) > 0.9
+
+    class OneSpan:
+        """Tags one span over the whole text, from its first character on."""
+
+        def decode(self, x):
+            return np.where(np.arange(x.shape[1]) + 0 * x == 0, 1, 2), np.ones(x.shape)
+
+    text = "a" * 3000
+    assert pii.added_spans([text, "", "b"], [[], [], []], OneSpan()) == [[("email", 0, 3000)], [], [("email", 0, 1)]]
+    assert pii.added_spans([text], [[("card", 5, 9)]], OneSpan()) == [[]]
+
+
+def test_only_doubtful_stretches_need_a_search(span_model):
+    rng = random.Random(3)
+    texts = [t for _, t in labelled(40, 8)] + ["".join(rng.choice("ab 12.@-(") for _ in range(rng.randint(1, 200))) for _ in range(40)]
+    x = pii._padded([classes_of(t[:200]) for t in texts], 200)
+    sides = [span_model._states(x, side) for side in "fb"]
+    whole, _ = span_model._search(np.concatenate(sides, 2) @ span_model.p["out"] + span_model.p["bias"], x)
+    tags, _ = span_model.decode(x)
+    assert (tags == whole)[x > 0].mean() > 0.999  # rounding may break ties
+
+
 def test_redaction_of_overlapping_spans():
     assert pii.redact("ab 12 cd", [("ip", 3, 5), ("card", 4, 6)]) == "ab [IP]cd"
 
