@@ -31,8 +31,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences."""
-    return packing.packed(docs)
+    """The documents' pieces with their ids, and their places in sequences."""
+    return packing.packed(docs, with_ids=True)
 
 
 STAGES = [
