@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinion_spark.operators import clouds as C
+from opinion_spark.operators import lexicon as L
 from opinion_spark.operators import vocabulary as V
 from opinion_spark.operators import weights as W
 from opinion_spark.plans import models as M
-from opinion_spark.plans.relations import MATRIX_TERMS, six, texts, tokenised
-from opinion_spark.plans.text import document_classes
+from opinion_spark.plans.relations import MATRIX_TERMS, lexicon_small, six, texts, tokenised
 from opinion_spark.runtime import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,8 +105,8 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words per lexicon class."""
     docs = tokenised(spark, sf_dir, "doc_id")
-    classes = document_classes(spark, sf_dir).select("doc_id", "classified")
-    return C.group_word_counts(docs.join(classes, "doc_id"), "classified", F.col("tokens"))
+    classes = L.classify(docs, "doc_id", F.col("tokens"), lexicon_small(spark), ("tokens",))
+    return C.group_word_counts(classes, "classified", F.col("tokens"))
 
 
 def cluster_words(spark: SparkSession, sf_dir: str) -> DataFrame:

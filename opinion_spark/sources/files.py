@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import types as S
 from opinion_spark.operators.lexicon import last_weight_per_word
 from opinion_spark.operators.vocabulary import exploded
 
+# Column names of the files.
 CRAWL_SCHEMA = "status_id string, created_at string, screen_name string, text string"
 PREDICTOR_SCHEMA = (
     "text string, hashtags string, followers_count bigint, friends_count bigint, "
@@ -136,5 +136,9 @@ def write_group_tokens(df: DataFrame, group: str, tokens: Column, path: str) ->
 
 
 def append_results(df: DataFrame, path: str, run_id: str) -> None:
-    """Add evaluation rows of one run to a result table partitioned by run."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    """The evaluation rows of one run in a result table partitioned by run.
+
+    A rerun replaces the rows of its own ``run_id`` and leaves all other runs as they are; one without rows changes nothing.
+    """
+    rows = df.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from opinion_spark.functions import encode as E
 from opinion_spark.operators import lexicon as L
 from opinion_spark.operators import predictors as P
+from opinion_spark.operators import weights as W
 
 
 def lexicon(spark, rows):
@@ -42,6 +43,29 @@ def test_classify_counts_every_occurrence_and_keeps_empty_documents(spark):
     assert maps[3] == {} and maps[4] == {}
 
 
+def test_dictionary_in_the_row_equals_the_join(spark):
+    rows = [(1, ["b", "a", "b", "zz"]), (1, ["a"]), (2, []), (3, None), (4, ["é", "b"]), (None, ["a", "a"])]
+    docs = spark.createDataFrame(rows, "id int, tokens array<string>")
+    words = lexicon(spark, [("a", "3"), ("b", "-5"), ("é", "1"), (None, "9")])
+    tokens = F.col("tokens")
+    for run in (L.sentence_scores, L.word_scores, L.word_score_map, L.classify_frame):
+        near, far = run(docs, "id", tokens, words), run(docs, "id", tokens, words, max_bytes=0)
+        assert near.columns == far.columns
+        assert [f.dataType.simpleString() for f in near.schema] == [f.dataType.simpleString() for f in far.schema]
+        assert sorted(map(str, near.collect())) == sorted(map(str, far.collect()))
+    nothing = lexicon(spark, [])
+    assert {r["score"] for r in L.sentence_scores(docs, "id", tokens, nothing).collect()} == {0}
+    assert L.word_score_map(docs.where("id > 99"), "id", tokens, words).collect() == []
+
+
+def test_feature_rows_in_the_row_equal_the_join(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", "zz"]), (2, []), (3, None), (4, ["c"])], "id int, tokens array<string>")
+    terms = spark.createDataFrame([("a", 1, 2), ("b", 2, 0), ("c", 4, 1)], "term string, df long, index long")
+    near, far = (W.sparse_features(docs, "id", F.col("tokens"), terms, 4, max_bytes=size) for size in (1000, 0))
+    assert near.orderBy("id").collect() == far.orderBy("id").collect()
+    assert near.orderBy("id").first()["indices"] == [0, 2]
+
+
 PREDICTORS = (
     "text string, hashtags string, followers_count bigint, friends_count bigint, "
     "favourites_count bigint, favorite_count bigint, retweet_count bigint, verified boolean, "

@@ -6,16 +6,18 @@ from compare import physical
 from pyspark.sql import functions as F
 
 from opinion_spark import plans
+from opinion_spark.operators import lexicon as L
 from opinion_spark.operators import vocabulary as V
-from opinion_spark.plans.relations import texts, tokenised
+from opinion_spark.operators import weights as W
+from opinion_spark.plans.relations import lexicon_small, texts, tokenised
 
 QUERIES = plans.all_queries()
 
 
 def test_flagship_plan(spark, sf_dir):
     plan = physical(QUERIES["lexicon_classify"](spark, sf_dir))
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1  # by class, after partial counts
+    assert "ReadSchema: struct<text:string,lang:string>" in plan
 
 
 def test_cleaning_is_evaluated_once(spark, sf_dir):
@@ -41,3 +43,17 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "EqualTo(doc_id,7)" in plan
     plan = physical(QUERIES["scan_projected"](spark, sf_dir))
     assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in plan
+
+
+def test_dictionaries_are_read_inside_the_row(spark, sf_dir):
+    docs, lexicon = tokenised(spark, sf_dir, "doc_id"), lexicon_small(spark)
+    terms = spark.createDataFrame([("the", 5, 0), ("of", 3, 1)], "term string, df long, index long")
+    tokens = F.col("tokens")
+    for frame in (
+        L.sentence_scores(docs, "doc_id", tokens, lexicon),
+        L.word_score_map(docs, "doc_id", tokens, lexicon),
+        L.classify_frame(docs, "doc_id", tokens, lexicon),
+        W.sparse_features(docs, "doc_id", tokens, terms, 10),
+    ):
+        plan = physical(frame)
+        assert "Exchange" not in plan and "Join" not in plan and plan.count("regexp_extract_all") == 1

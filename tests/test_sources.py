@@ -78,6 +78,8 @@ def test_results_of_several_runs(spark, tmp_path):
     scores = spark.createDataFrame([(1, 0.5), (2, 0.6)], "split int, accuracy double")
     for run in ("nb", "svm"):
         files.append_results(scores, str(tmp_path / "results"), run)
+    files.append_results(scores, str(tmp_path / "results"), "nb")
+    files.append_results(scores.where("split > 9"), str(tmp_path / "results"), "svm")
     table = spark.read.parquet(str(tmp_path / "results"))
     assert table.count() == 4 and {r["run_id"] for r in table.collect()} == {"nb", "svm"}
 
