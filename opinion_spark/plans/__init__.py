@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from opinion_spark.plans import corpus, evaluation, models, tables, text
+    from opinion_spark.plans import corpus, evaluation, models, stores, tables, text
 
     found = {}
-    for module in (tables, text, corpus, models, evaluation):
+    for module in (tables, text, corpus, models, evaluation, stores):
         found.update(module.QUERIES)
     return found

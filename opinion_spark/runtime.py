@@ -23,6 +23,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Compute once, keep in reliable storage, cut the lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import corpus, evaluation, models, tables, text
+    from oracles import corpus, evaluation, models, stores, tables, text
 
     found = {}
-    for module in (tables, text, corpus, models, evaluation):
+    for module in (tables, text, corpus, models, evaluation, stores):
         found.update(module.SQL)
     return found
