@@ -2,7 +2,8 @@
 
 A sweep, a cross-validated grid or a repeated evaluation needs one machine per point, held-out part and pair of classes. They all
 read the same rows, so they are fitted together: in every pass each task computes the margins of its rows for all machines
-that still move as one matrix product per Arrow batch and feature map, and returns one summed gradient per machine. The weights are moved on
+that still move as one matrix product per Arrow batch, feature map and class, and returns one summed gradient per machine; tasks add these up, so that the driver
+gets one per machine and pass. The weights are moved on
 the driver by L-BFGS with backtracking, for all machines at once; only weights live there, so its memory is that of the models, never
 that of the data. Machines that have converged leave the passes.
 
@@ -19,11 +20,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.functions.vector import doubles
 from opinion_spark.operators import metrics, split
+from opinion_spark.operators.sums import PART_SUMS, total_per_part
 from opinion_spark.operators.svm import fourier_weights
 from opinion_spark.runtime import materialized
 
@@ -31,8 +34,6 @@ from opinion_spark.runtime import materialized
 SMOOTH = 0.5
 #: Corrections that L-BFGS keeps.
 MEMORY = 5
-#: Gradients of more partial sums than this are added up by tasks before they reach the driver.
-DIRECT_SUMS = 16
 
 
 class Point(NamedTuple):
@@ -73,21 +74,23 @@ class Group(NamedTuple):
     penalty: np.ndarray
 
 
+def _features(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+    return np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dims)
+
+
 def _rows(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray, list]:
     """Features, labels and the parts that hold the row out."""
-    x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dims)
-    return x, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+    return _features(batch, dims), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
 
 
-def _sides(group: Group, active: np.ndarray, label: np.ndarray, held: list) -> np.ndarray:
-    """Per row and machine 1 (upper class), -1 (lower class) or 0 (not a training row of that machine)."""
-    y = label[:, None]
-    side = (y == group.high[active]).astype(float) - (y == group.low[active])
-    part = group.part[active]
-    for row, parts in enumerate(held):
-        if parts:
-            side[row, np.isin(part, parts)] = 0.0
-    return side
+def _held_out(parts: pa.ListArray, most: int) -> np.ndarray:
+    """Per row and part up to ``most`` whether the row is held out of that part."""
+    out = np.zeros((len(parts), most + 1), bool)
+    row = np.repeat(np.arange(len(parts)), pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+    part = pc.fill_null(parts.flatten(), -1).to_numpy(zero_copy_only=False)
+    known = (part >= 0) & (part <= most)
+    out[row[known], part[known]] = True
+    return out
 
 
 class _State:
@@ -238,35 +241,33 @@ def _evaluated(rows: DataFrame, groups: list[Group], dims: int, active: list[np.
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, active, weights = shared.value
+        most = max((int(g.part.max()) for g in groups if len(g.part)), default=0)
         sums = [np.zeros((w.shape[0], w.shape[1] + 1)) for w in weights]
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                x, y, held = _rows(batch.slice(at, 2048), dims)
+                block = batch.slice(at, 2048)
+                x, y = _features(block, dims), block.column(1).to_numpy(zero_copy_only=False)
+                held = _held_out(block.column(2), most)
                 for group, on, w, total in zip(groups, active, weights, sums, strict=True):
-                    if len(w):
-                        z, side = group.features(x), _sides(group, on, y, held)
-                        over = 1.0 - side * (z @ w.T)
-                        slope = np.clip(over / SMOOTH, 0.0, 1.0) * (side != 0)
-                        total[:, -1] += (slope * (over - slope * SMOOTH / 2)).sum(0)
-                        total[:, :-1] -= (slope * side).T @ z
+                    if not len(w):
+                        continue
+                    z = group.features(x)
+                    for label in np.unique(y):  # only the machines that tell this class from another
+                        own, upper = y == label, group.high[on] == label
+                        there = np.flatnonzero(upper | (group.low[on] == label))
+                        if not len(there):
+                            continue
+                        side, rows_of = np.where(upper[there], 1.0, -1.0), z[own]
+                        over = 1.0 - side * (rows_of @ w[there].T)
+                        slope = np.clip(over / SMOOTH, 0.0, 1.0) * ~held[own][:, group.part[on[there]]]
+                        total[there, -1] += (slope * (over - slope * SMOOTH / 2)).sum(0)
+                        total[there, :-1] -= (slope * side).T @ rows_of
         columns = [pa.array(range(len(sums)), pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["group", "sums"])
+        yield pa.RecordBatch.from_arrays(columns, ["part", "sums"])
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for group, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(value.as_buffer())
-                found[group] = found[group] + own if group in found else own
-        columns = [pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["group", "sums"])
-
-    sums = rows.mapInArrow(partial, "group int, sums binary")
-    if rows.rdd.getNumPartitions() > DIRECT_SUMS:
-        sums = sums.repartition(DIRECT_SUMS).mapInArrow(added, "group int, sums binary")
     total = [np.zeros((w.shape[0], w.shape[1] + 1)) for w in weights]
-    for row in sums.collect():  # DIRECT_SUMS rows per group at most
-        total[row["group"]] += np.frombuffer(row["sums"]).reshape(total[row["group"]].shape)
+    for row in total_per_part(rows.mapInArrow(partial, PART_SUMS)).collect():  # a part per group
+        total[row["part"]] += np.frombuffer(row["sums"]).reshape(total[row["part"]].shape)
     shared.destroy()
     return [(t[:, -1], t[:, :-1]) for t in total]
 
