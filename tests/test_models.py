@@ -151,6 +151,24 @@ def test_k_means_on_terms_ends_in_a_fixed_point(spark):
     assert all(value.get((k, t), 0.0) == pytest.approx(c[k, i]) for k in range(3) for i, t in enumerate(terms))
 
 
+def test_k_means_on_sparse_rows_equals_the_one_on_terms(spark):
+    rng = np.random.default_rng(6)
+    cells = [(d, int(t), float(rng.integers(1, 4))) for d in range(90) for t in rng.choice(14, 5, replace=False) + 6 * (d % 3)]
+    cells += [(4, 2, 1.5), (4, 9, 2.0), (None, 3, 1.0)]  # id 4 has two rows, and a row without an id
+    weights = spark.createDataFrame([(d, f"t{t}", w) for d, t, w in cells], "doc_id long, term string, weight double")
+    rows = [(d, [t for e, t, _ in cells[:450] if e == d], [w for e, _, w in cells[:450] if e == d]) for d in range(90)]
+    rows += [(4, [2, 9], [1.5, 2.0]), (None, [3], [1.0]), (95, [], [])]
+    rows = spark.createDataFrame(rows, "doc_id long, indices array<bigint>, values array<double>").repartition(5)
+    ids = spark.createDataFrame([(d,) for d in [*range(92), 4, 7, 7, 95, None, None]], "doc_id long")
+    for k, most in ((3, 100), (5, 100), (3, 0), (4, 1)):
+        want = centres.fit_terms(weights, ids, "doc_id", k=k, max_iter=most)
+        labels, iterations = centres.fit_sparse(rows, ids, "doc_id", 26, k=k, max_iter=most)
+        assert sorted(map(str, labels.collect())) == sorted(map(str, want.labels.collect()))
+        assert iterations == want.iterations
+    nothing, _ = centres.fit_sparse(rows.where("doc_id = 95"), ids, "doc_id", 26)
+    assert {r["kmean_label"] for r in nothing.collect()} == {None} and nothing.count() == 98
+
+
 def test_pairwise_machine_separates_and_reloads(blobs, tmp_path):
     vectors = K.as_vectors(blobs, "x", "features").withColumn("label", F.col("label").cast("double"))
     model = svm.PairwiseSVC(C=1.0, maxIter=30).fit(vectors)
