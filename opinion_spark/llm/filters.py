@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the bitmap: 1 MB at any input size. False hits cost work only.
 FILTER_BITS = 1 << 23
+#: The largest bitmap sized by its keys (32 MB).
+MOST_BITS = 1 << 28
 
 
 def key_filter(keys: DataFrame, key: str = "key", size: int = FILTER_BITS) -> np.ndarray:
@@ -27,6 +29,11 @@ def key_filter(keys: DataFrame, key: str = "key", size: int = FILTER_BITS) -> np
     return out
 
 
+def sized_filter(keys: DataFrame, key: str = "key") -> np.ndarray:
+    """A bitmap of the keys, of about 16 bits per key up to MOST_BITS."""
+    return key_filter(keys, key, min(max(FILTER_BITS, 1 << (16 * keys.count()).bit_length()), MOST_BITS))
+
+
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may be in the filter."""
     place = keys.astype(np.int64) % (8 * len(bits))

@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinion_spark.llm import words as W
 from opinion_spark.llm.components import components
-from opinion_spark.llm.filters import key_filter, passes
+from opinion_spark.llm.filters import passes, sized_filter
 from opinion_spark.llm.store import landed, renamed_apart, row_key
 
 #: Similarity in hundredths.
@@ -43,8 +44,10 @@ RUN_SHINGLES = 1_000_000
 FREQUENT = 3
 #: So many of the most frequent shingles are sent to all tasks (16 bytes each). It bounds memory, not results.
 ORDERED = 65_536
-#: Bits of a row's signature, by which most pairs are found too different before whole sets are moved.
-SIGNATURE_BITS = 1024
+#: Least bits per shingle of a row's signature, by which most pairs are found too different before whole sets are moved.
+SIGNATURE_BITS = 4
+#: So many classes a task remembers as already given.
+REMEMBERED = 500_000
 #: A shingle reported so often in all is a long column from the start; its rows need not meet in one task.
 LONG = 1_000
 
@@ -122,7 +125,7 @@ def _postings(hot_shared, rank_shared):
                     shingle.append(W.signed(first))
                     owner.append(np.full(len(first), name, np.int64))
                     place.append(np.where(frequent, -at, at))
-                if len(seen) > 500_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 if shingle:
                     columns = [pa.array(np.concatenate(x)) for x in (shingle, owner, place)]
@@ -196,9 +199,11 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signature(found: np.ndarray) -> bytes:
-    """A bit per shingle, at a place given by its hash."""
-    bits = np.zeros(SIGNATURE_BITS, bool)
-    bits[(found % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = True
+    """A bit per shingle, at a place given by its hash. The number of bits is a power of two that follows the set's size, so
+    long sets do not fill theirs."""
+    size = max(64, 1 << (SIGNATURE_BITS * len(found) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(found % np.uint64(size)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -206,38 +211,65 @@ def _sets(filter_shared):
     """(key, text) to (class, n, signature, shingles) where the filter has the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = filter_shared.value
+        bits, seen = filter_shared.value, set()
         for batch in batches:
             batch = batch.filter(pa.array(passes(bits, batch.column(0).to_numpy(zero_copy_only=False))))
             for part in W.slices(batch, 1):
-                found = [x for x in W.shingle_sets(part.column(1)) if len(x)]
+                found = {}
+                for x in W.shingle_sets(part.column(1)):
+                    if len(x) and (name := W.set_hash(x)) not in seen:
+                        seen.add(name)
+                        found[name] = x
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 columns = [
-                    pa.array([W.set_hash(x) for x in found], pa.int64()),
-                    pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([_signature(x) for x in found], pa.binary()),
-                    pa.array([x.tobytes() for x in found], pa.binary()),
+                    pa.array(found, pa.int64()),
+                    pa.array([len(x) for x in found.values()], pa.int64()),
+                    pa.array([_signature(x) for x in found.values()], pa.binary()),
+                    pa.array([x.tobytes() for x in found.values()], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["class", "n", "signature", "shingles"])
 
     return run
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sizes, signatures) to the pairs that can be linked: a shingle of a whose bit b lacks is not in b."""
+def _folded(signatures: pa.Array, width: int) -> np.ndarray:
+    """Signatures of one length, a row each, as they would be in ``width`` bytes."""
+    table = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(len(signatures), -1)
+    while table.shape[1] > width:
+        half = table.shape[1] // 2
+        table = table[:, :half] | table[:, half:]
+    return table
 
-    def table(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sizes, signatures) to the pairs that can be linked: a shingle of a whose bit b lacks is not in b."""
     for batch in batches:
         na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-        left, right = table(batch.column(4)), table(batch.column(5))
-        only_left = np.bitwise_count(left & ~right).sum(1, dtype=np.int64)
-        only_right = np.bitwise_count(right & ~left).sum(1, dtype=np.int64)
-        most = np.minimum(na - only_left, nb - only_right)
-        keep = 100 * most >= PERCENT * (na + nb - most)
+        widths = np.stack([pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False) for k in (4, 5)], 1)
+        kinds, kind = np.unique(widths, axis=0, return_inverse=True)
+        keep = np.zeros(batch.num_rows, bool)
+        for k, both in enumerate(kinds):
+            rows = np.flatnonzero(kind.ravel() == k)
+            left, right = (_folded(batch.column(c).take(pa.array(rows)), int(both.min())) for c in (4, 5))
+            only_left = np.bitwise_count(left & ~right).sum(1, dtype=np.int64)
+            only_right = np.bitwise_count(right & ~left).sum(1, dtype=np.int64)
+            most = np.minimum(na[rows] - only_left, nb[rows] - only_right)
+            keep[rows] = 100 * most >= PERCENT * (na[rows] + nb[rows] - most)
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _of_classes(filter_shared):
+    """(class, shingles) where the filter has the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = filter_shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    return run
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -249,14 +281,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity: signatures first, then the sets of what they leave."""
-
-    def of(side: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-
-    marks = pairs.select("a", "b").join(of("a", "n", "signature"), "a").join(of("b", "n", "signature"), "b")
-    left = landed(marks.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(_possible, "a long, b long"))
-    whole = left.join(of("a", "shingles"), "a").join(of("b", "shingles"), "b")
+    """The pairs (a, b) whose whole sets reach the similarity: signatures first, then the sets of the classes that these leave. Only
+    those sets are shuffled."""
+
+    def of(table: DataFrame, side: str) -> DataFrame:
+        one = table.dropDuplicates(["class"])
+        return one.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in table.columns[1:]])
+
+    marks = sets.select("class", "n", "signature")
+    marked = pairs.select("a", "b").join(of(marks, "a"), "a").join(of(marks, "b"), "b")
+    left = landed(marked.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(_possible, "a long, b long"))
+    classes = left.select(F.col("a").alias("class")).unionByName(left.select(F.col("b").alias("class"))).distinct()
+    shared = sets.sparkSession.sparkContext.broadcast(sized_filter(classes, "class"))
+    wanted = landed(sets.select("class", "shingles").mapInArrow(_of_classes(shared), "class long, shingles binary"))
+    whole = left.join(of(wanted, "a"), "a").join(of(wanted, "b"), "b")
     return whole.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verified, "a long, b long")
 
 
@@ -378,7 +416,7 @@ def _analysed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(rows.select("class"))
     # One row stands for its class; equal rows may come twice, which repeats pairs and changes nothing.
     keys = members.join(wanted.distinct(), "class", "left_semi").groupBy("class").agg(F.min("key").alias("key"))
-    filter_shared = sc.broadcast(key_filter(keys))
+    filter_shared = sc.broadcast(sized_filter(keys))
     keyed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text))
     sets = landed(keyed.mapInArrow(_sets(filter_shared), "class long, n long, signature binary, shingles binary"))
     edges = _joined_long(rows, landed(_linked(pairs, sets)), sets)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.llm import trie
 from opinion_spark.llm import words as W
-from opinion_spark.llm.filters import FILTER_BITS, key_filter, passes
+from opinion_spark.llm.filters import passes, sized_filter
 from opinion_spark.llm.store import landed
 
 MAX_WORDS = 5
@@ -42,8 +42,6 @@ SHARD = 200_000
 HELD_WORDS, HELD_POSITIONS = 500_000, 200_000
 #: Words of a row of hashes (a longer text is one row), and of the arrays that are worked on together.
 ROW_WORDS, TOGETHER = 8192, 64_000
-#: The largest bitmap of frequent phrases (32 MB); beyond 16 million of them it passes more proposals than needed.
-MOST_BITS = 1 << 28
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -246,11 +244,6 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], ["key", "lang", "phrase", "words"])
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the keys, of about 16 bits per key up to MOST_BITS."""
-    return key_filter(keys, size=min(max(FILTER_BITS, 1 << (16 * keys.count()).bit_length()), MOST_BITS))
-
-
 def _candidates(streams: DataFrame, frequent: DataFrame, spark) -> list[DataFrame]:
     """Per number of words, from two on: (key, lang, phrase, words) of the proposals that reach the least count."""
     words = landed(frequent.select("key", "lang", "word").mapInArrow(_single, "key long, lang string, phrase string, words binary"))
@@ -258,10 +251,10 @@ def _candidates(streams: DataFrame, frequent: DataFrame, spark) -> list[DataFram
     for level in range(2, MAX_WORDS + 1):
         if known.isEmpty():
             break
-        shared = spark.sparkContext.broadcast(_bitmap(known))
+        shared = spark.sparkContext.broadcast(sized_filter(known))
         proposed = streams.mapInArrow(_proposals(level, shared), "key long, count int")
         sums = landed(proposed.groupBy("key").agg(F.sum("count").alias("seen")).where(F.col("seen") >= MIN_COUNT).select("key"))
-        wanted = spark.sparkContext.broadcast(_bitmap(sums))
+        wanted = spark.sparkContext.broadcast(sized_filter(sums))
         found = streams.mapInArrow(_parts(level, shared, wanted), "key long, prefix long, last long")
         safe = landed(found.join(sums, "key", "left_semi").groupBy("key").agg(F.min("prefix").alias("prefix"), F.min("last").alias("last")))
         for used in (shared, wanted):
@@ -303,7 +296,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     counted = encoded.where(F.col("key").isNotNull())
     totals = landed(counted.groupBy("lang").agg(F.sum("count").alias("n")))
     sums = landed(counted.groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_COUNT))
-    shared = spark.sparkContext.broadcast(_bitmap(sums))
+    shared = spark.sparkContext.broadcast(sized_filter(sums))
     named = counted.select("key", "lang", "word").mapInArrow(_passing(shared), "key long, lang string, word string")
     spelled = named.groupBy("key").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
     frequent = landed(spelled.join(sums, "key"))

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -46,6 +47,25 @@ def test_near_copies_link_as_in_brute_force(spark, monkeypatch, short):
     assert got == want
 
 
+def test_long_sets_are_told_apart_before_they_are_moved():
+    values = np.unique(np.random.default_rng(3).integers(1, 1 << 63, 9000).astype(np.uint64))
+    # Halves that overlap, a set of other length that is linked, equal sets, sets just below and at the limit.
+    cases = [(values[:4000], values[1000:5000]), (values[:4000], values[:3200]), (values[:50], values[:50]), (values[:100], values[:74]), (values[:100], values[:75])]
+    columns = [list(range(5)), list(range(5)), *[[len(c[k]) for c in cases] for k in (0, 1)], *[[jaccard._signature(c[k]) for c in cases] for k in (0, 1)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "n_a", "n_b", "signature_a", "signature_b"])
+    (out,) = jaccard._possible(iter([batch]))
+    left = out.column(0).to_pylist()
+    assert 0 not in left and 3 not in left and {1, 2, 4} <= set(left)
+
+
+def test_a_task_gives_a_set_once():
+    class Shared:
+        value = np.full(1, 255, np.uint8)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["same words here"] * 2 + ["other words"])], ["key", "text"])
+    assert sum(b.num_rows for b in jaccard._sets(Shared)(iter([batch, batch]))) == 2
+
+
 def test_one_document_per_component_stays(spark):
     rows = brute.AWKWARD + near_copies(6, 40)
     docs = brute.frame(spark, rows)
