@@ -12,6 +12,7 @@ by the library whole.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -54,8 +55,9 @@ class Shortcut:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bytes_of = self._byte_letters()
         self.whole = self._whole_tokens()
-        self.pre_ids: dict[str, bytes] = {}
-        self.chunk_ids: dict[str, bytes] = {}
+        self.whole_ids = {s: array("I", [n]).tobytes() for s, n in self.whole.items()}
+        #: Ids of pre-tokens, and of chunks where ids are asked for: a pre-token alone is a chunk with the same ids.
+        self.string_ids: dict[str, bytes] = {}
         self.chunk_counts: dict[str, int] = {}
         self.held: dict[int, int] = {}
 
@@ -63,7 +65,7 @@ class Shortcut:
         """Remember a value within the bound."""
         if len(key) <= REMEMBERED:
             size = self.held.get(id(memory), 0) + _ENTRY + 4 * len(key)
-            if size <= MEMORY:
+            if size <= (2 * MEMORY if memory is self.string_ids else MEMORY):
                 self.held[id(memory)] = size
                 memory[key] = value
 
@@ -89,13 +91,26 @@ class Shortcut:
         encoded = self.library.encode_batch_fast(listed, add_special_tokens=False)
         return {s: e.ids[0] for s, e in zip(listed, encoded, strict=True) if len(e.ids) == 1}
 
+    @staticmethod
+    def cut(chunk: str) -> list[str]:
+        """The pre-tokens of a chunk without blanks. Letters alone, and letters before one ASCII mark, need no pattern."""
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        last = low[-1]
+        if low[:-1].isalpha() and last.isascii() and not last.isdigit():
+            return [low[:-1], last]
+        return PRE_TOKEN.findall(low)
+
     def merged(self, pre_token: str) -> bytes:
         """Ids of a pre-token that is not one whole token, little-endian, four bytes each."""
-        found = self.pre_ids.get(pre_token)
+        found = self.string_ids.get(pre_token)
         if found is None:
-            letters = "".join(map(self.bytes_of.__getitem__, pre_token.encode()))
-            found = np.array([t.id for t in self.library.model.tokenize(letters)], "<u4").tobytes()
-            self.keep(self.pre_ids, pre_token, found)
+            # Letters, digits and marks of ASCII stand for themselves.
+            plain = pre_token.isascii() and pre_token.isprintable()
+            letters = pre_token if plain else "".join(map(self.bytes_of.__getitem__, pre_token.encode()))
+            found = array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+            self.keep(self.string_ids, pre_token, found)
         return found
 
     def shortcut_applies(self, text: str) -> bool:
@@ -110,7 +125,7 @@ class Shortcut:
         if None in counts:
             for i, n in enumerate(counts):
                 if n is None:
-                    pre = PRE_TOKEN.findall(chunks[i].lower())
+                    pre = self.cut(chunks[i])
                     rest = [p for p in pre if p not in self.whole]
                     counts[i] = len(pre) - len(rest) + sum(len(self.merged(p)) for p in rest) // 4
                     self.keep(memory, chunks[i], counts[i])
@@ -120,17 +135,16 @@ class Shortcut:
         """The text's ids, little-endian, four bytes each."""
         if not self.shortcut_applies(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        memory = self.chunk_ids
+        memory, whole = self.string_ids, self.whole_ids
         chunks = text.split()
         parts = list(map(memory.get, chunks))
         if None in parts:
             for i, part in enumerate(parts):
                 if part is None:
-                    parts[i] = b"".join(
-                        self.whole[p].to_bytes(4, "little") if p in self.whole else self.merged(p)
-                        for p in PRE_TOKEN.findall(chunks[i].lower())
-                    )
-                    self.keep(memory, chunks[i], parts[i])
+                    pre = self.cut(chunks[i])
+                    parts[i] = b"".join([whole[p] if p in whole else self.merged(p) for p in pre])
+                    if pre[0] != chunks[i] or pre[0] in whole:
+                        self.keep(memory, chunks[i], parts[i])
         return b"".join(parts)
 
 

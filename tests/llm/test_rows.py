@@ -36,6 +36,26 @@ def test_token_counts_equal_the_library(spark, library):
     assert got == want
 
 
+def test_chunks_of_letters_need_no_pattern(library, monkeypatch):
+    own = tokens.Shortcut(tokens.tokenizer_path())
+    rng = random.Random(8)
+    marks = ["", ".", ",", "'", "!", "\x00", "7", "é", "'s", "##", "-x"]
+    chunks = ["".join(rng.choice("abcQRzéßİºЖ") for _ in range(rng.randint(1, 9))) + rng.choice(marks) for _ in range(600)]
+    assert all(own.cut(c) == tokens.PRE_TOKEN.findall(c.lower()) for c in chunks)
+
+    class NoPattern:
+        @staticmethod
+        def findall(text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(tokens, "PRE_TOKEN", NoPattern)
+    for text in ("Ouquele tianly beonbleingnt. thwhlyha! Éçan, beonbleingnt", "tianly OUQUELE."):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == ids and own.count(text) == len(ids)
+    # Chunks and pre-tokens share one memory.
+    assert {"tianly", "ouquele", "Ouquele", "OUQUELE."} <= own.string_ids.keys()
+
+
 def test_packing_places_every_piece_once(spark, library):
     rng = random.Random(3)
     rows = brute.AWKWARD + [(100 + i, " ".join(rng.choice(["alpha", "beta", "zzkq"]) for _ in range(rng.choice([1, 50, 900, 3000, 9000])))) for i in range(60)]
