@@ -179,29 +179,40 @@ class SpanModel:
         return self
 
     def _states(self, x: np.ndarray, side: str) -> np.ndarray:
-        """The hidden states of ``_lstm`` without what training keeps."""
+        """The hidden states of ``_lstm`` without what training keeps. In memory rows are gates and columns are windows, so each gate
+        is one stretch; all gates of a step take one exponential, tanh(v) being 2 / (1 + exp(-2 v)) - 1."""
         n, length = x.shape
-        wx, wh = self.p[f"{side}x"] + self.p[f"{side}c"], self.p[f"{side}h"]
-        h, c = np.zeros((n, HIDDEN), wx.dtype), np.zeros((n, HIDDEN), wx.dtype)
-        out = np.empty((length, n, HIDDEN), wx.dtype)
-        real = x > 0
-        whole = real.all(0)
-        for t in range(length) if side == "f" else range(length - 1, -1, -1):
-            z = h @ wh
-            z += wx[x[:, t]]
-            gates = z[:, : 3 * HIDDEN]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            c = gates[:, HIDDEN : 2 * HIDDEN] * c
-            c += gates[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
-            h = gates[:, 2 * HIDDEN :] * np.tanh(c)
-            if not whole[t]:
-                c *= real[:, t, None]
-                h *= real[:, t, None]
-            out[t] = h
-        return out
+        by = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, -1, -2).astype(self.p["out"].dtype)
+        wx, wh = (self.p[f"{side}x"] + self.p[f"{side}c"]) * by, np.ascontiguousarray((self.p[f"{side}h"] * by).T)
+        z, c, th = (np.zeros((k, n), wx.dtype) for k in (4 * HIDDEN, HIDDEN, HIDDEN))
+        h, out = np.zeros((HIDDEN, n), wx.dtype), np.empty((length, HIDDEN, n), wx.dtype)
+        codes = np.ascontiguousarray(x.T)
+        real = codes > 0
+        whole = real.all(1)
+        i, f, o, g = (z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        with np.errstate(over="ignore"):  # a gate of exp(-v) = inf is shut
+            for t in range(length) if side == "f" else range(length - 1, -1, -1):
+                np.matmul(wh, h, out=z)
+                z += wx[codes[t]].T
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                g *= 2
+                g -= 1
+                c *= f
+                np.multiply(i, g, out=th)
+                c += th
+                np.multiply(c, -2, out=th)
+                np.exp(th, out=th)
+                th += 1
+                np.divide(2, th, out=th)
+                th -= 1
+                h = out[t]
+                np.multiply(o, th, out=h)
+                if not whole[t]:
+                    c *= real[t]
+                    h *= real[t]
+        return out.transpose(0, 2, 1)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tag sequences (n, length) by the transitions, and the marginal chance of each tag in them.
@@ -211,23 +222,24 @@ class SpanModel:
         best whatever stands around, so a stretch is searched by itself, between two characters outside. Chances are those within the
         stretch; where the best tags are all "outside" they are not computed (1).
         """
-        e = self._states(x, "f") @ self.p["out"][:HIDDEN]
-        e += self._states(x, "b") @ self.p["out"][HIDDEN:]
-        e += self.p["bias"]
+        out = np.ascontiguousarray(self.p["out"].T)
+        scores = np.matmul(out[:, :HIDDEN], self._states(x, "f").transpose(0, 2, 1))
+        scores += np.matmul(out[:, HIDDEN:], self._states(x, "b").transpose(0, 2, 1))
+        scores += self.p["bias"][:, None]
         gain = np.where(ALLOWED, self.p["move"], -np.inf) - self.p["move"][0, 0]
         enter, within, leave = float(gain[0, 1:].max()), float(gain[1:, 1:].max()), float(gain[1:, 0].max())
-        worth = np.where(x.T > 0, within - e[:, :, 0] + e[:, :, 1:].max(2), -np.inf)
+        worth = np.where(x.T > 0, within - scores[:, 0] + scores[:, 1:].max(1), -np.inf).astype(scores.dtype)
         # A run at the edge of the window has no move into it, or none out of it.
         worth[0] -= min(enter, 0)
         worth[np.maximum((x > 0).sum(1), 1) - 1, np.arange(len(x))] -= min(leave, 0)
-        upto, run = np.empty_like(worth), np.zeros(len(x))
+        upto, run = np.empty_like(worth), np.zeros(len(x), worth.dtype)
         for t, step in enumerate(worth):
             upto[t] = run = np.maximum(run, 0) + step
-        run = np.zeros(len(x))
+        run = np.zeros(len(x), worth.dtype)
         for t in range(len(worth) - 1, -1, -1):
             upto[t] += np.maximum(run, 0)
             run = np.maximum(run, 0) + worth[t]
-        tags, chance = np.zeros(x.shape, np.int64), np.ones(x.shape, e.dtype)
+        tags, chance = np.zeros(x.shape, np.int64), np.ones(x.shape, scores.dtype)
         doubtful = np.pad((upto > within - enter - leave).T, ((0, 0), (1, 1))).astype(np.int8)
         row, start = np.nonzero(np.diff(doubtful) == 1)
         end = np.nonzero(np.diff(doubtful) == -1)[1]
@@ -240,7 +252,7 @@ class SpanModel:
             at = np.minimum(start[some, None] + np.arange(size.max()), x.shape[1] - 1)
             here = np.arange(size.max()) < size[:, None]
             rows = np.broadcast_to(row[some, None], at.shape)
-            part = e[at.T, rows.T]
+            part = scores[at.T, :, rows.T]
             border = np.arange(len(some))
             part[0, border[opened[some]], 1:] = -1e4
             part[size[closed[some]] - 1, border[closed[some]], 1:] = -1e4

@@ -245,6 +245,19 @@ def test_only_doubtful_stretches_need_a_search(span_model):
     assert (tags == whole)[x > 0].mean() > 0.999  # rounding may break ties
 
 
+def test_states_are_those_of_training_and_lie_gate_by_gate(span_model):
+    texts = [t for _, t in labelled(30, 9)] + ["", "x", "é" * 70, "+1 234 567 8901 " * 4]
+    x = pii._padded([classes_of(t[:90]) for t in texts], 90)
+    for side in "fb":
+        states, _ = span_model._lstm(x, side)
+        own = span_model._states(x, side)
+        assert np.abs(own - states)[x.T > 0].max() < 1e-5
+        assert own[0].T.flags["C_CONTIGUOUS"]
+    steep = SpanModel()
+    steep.p = {k: v * 400 for k, v in steep.p.items()}
+    assert np.isfinite(steep._states(x, "f")).all()
+
+
 def test_redaction_of_overlapping_spans():
     assert pii.redact("ab 12 cd", [("ip", 3, 5), ("card", 4, 6)]) == "ab [IP]cd"
 
