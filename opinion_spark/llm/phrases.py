@@ -1,6 +1,7 @@
 """Phrase collocation mining: phrases of two to five words that stand together more often than their parts would by chance.
 
-Texts become arrays of word hashes (the language is part of a hash, a break that no phrase crosses is 0), written once. Level by
+Words are hashed (the language is part of a hash) and counted. Then texts become arrays of four-byte numbers of the frequent words, written
+once; breaks that no phrase crosses, and words that are not frequent, are 0. The numbers' table has one entry per frequent word. Level by
 level, phrases whose first and last words but one are frequent phrases themselves (Apriori) are proposed: each task adds up what it sees,
 and proposals whose sum stays below ``MIN_COUNT`` are no candidates. Proposals are taken from the texts, since all joins of
 frequent parts would grow with the square of a common word's neighbours.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ BEST = 2000
 #: Candidates of one trie, and the memory of a task for words and for proposals not yet passed on.
 SHARD = 200_000
 HELD_WORDS, HELD_POSITIONS = 500_000, 200_000
-#: Words of a row of hashes (a longer text is one row), and of the arrays that are worked on together.
+#: Words of a row of numbers, about, and of the arrays that are worked on together.
 ROW_WORDS, TOGETHER = 8192, 64_000
 
 _BREAKS = np.zeros(256, bool)
@@ -71,9 +73,24 @@ def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[place])))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to rows of word hashes, for runs of texts, and rows of words with their counts within the task."""
-    names = ["words", "lang", "word", "key", "count"]
+def _hashed(part: pa.RecordBatch) -> tuple[W.WordTable, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (lang, text): the words, their hashes with the language's part, the text of each, and where a break stands before one."""
+    table = W.word_table(part.column(1), fold=True, table=_NUMBERS)
+    if not len(table.hashes):
+        return table, table.hashes, np.empty(0, np.int64), np.empty(0, np.int64)
+    langs = part.column(0).to_pylist()
+    per_text = np.diff(table.first)
+    salt = {lang: _salt(lang) for lang in set(langs)}
+    hashes = W.mixed(table.hashes ^ np.repeat(np.array([salt[x] for x in langs], np.uint64), per_text))
+    hashes[hashes == 0] = 1
+    breaks = np.cumsum(_BREAKS[table.data])[table.starts]
+    text = np.repeat(np.arange(len(langs)), per_text)
+    apart = np.flatnonzero((breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])) + 1
+    return table, hashes, text, apart
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to words with their counts within the task."""
     held: list[tuple] = []
     size = 0
 
@@ -82,32 +99,13 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, at, inverse = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
         total = np.bincount(inverse, np.concatenate(count)).astype(np.int64)
         picked = [pa.concat_arrays(x).take(pa.array(at)) for x in (lang, word)]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), *picked, pa.array(W.signed(value)), pa.array(total)], names)
+        return pa.RecordBatch.from_arrays([*picked, pa.array(W.signed(value)), pa.array(total)], ["lang", "word", "key", "count"])
 
     for batch in batches:
         for part in W.slices(batch, 1):
-            table = W.word_table(part.column(1), fold=True, table=_NUMBERS)
-            if not len(table.hashes):
+            table, hashes, text, _ = _hashed(part)
+            if not len(hashes):
                 continue
-            langs = part.column(0).to_pylist()
-            per_text = np.diff(table.first)
-            salt = {lang: _salt(lang) for lang in set(langs)}
-            hashes = W.mixed(table.hashes ^ np.repeat(np.array([salt[x] for x in langs], np.uint64), per_text))
-            hashes[hashes == 0] = 1
-            breaks = np.cumsum(_BREAKS[table.data])[table.starts]
-            text = np.repeat(np.arange(len(langs)), per_text)
-            other = text[1:] != text[:-1]
-            apart = np.flatnonzero((breaks[1:] != breaks[:-1]) | other) + 1
-            stream = np.insert(hashes, apart, np.uint64(0))
-            # A row per run of whole texts.
-            edges = np.flatnonzero(other) + 1
-            edges = edges + np.searchsorted(apart, edges)  # the break that was put before the text
-            runs = np.unique(edges // ROW_WORDS, return_index=True)[1]
-            rows = np.split(stream, edges[runs])
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in rows], pa.binary()), *[pa.nulls(n, k) for k in (pa.string(), pa.string(), pa.int64(), pa.int64())]], names
-            )
             value, at, count = np.unique(hashes, return_index=True, return_counts=True)
             owner = part.column(0).take(pa.array(text[at]))
             held.append((value, count, owner.cast(pa.string()), _strings(_LOWER[table.data], table.starts[at], table.ends[at])))
@@ -119,12 +117,64 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The rows of word hashes, joined to arrays of about ``TOGETHER`` words."""
-    run, size = [], 0
+class _Numbers(NamedTuple):
+    """Frequent words: their sorted hashes, and the number of each, from one on."""
+
+    hashes: np.ndarray
+    numbers: np.ndarray
+
+    def back(self) -> np.ndarray:
+        """Hashes by number; 0 is a break."""
+        out = np.zeros(len(self.hashes) + 1, np.uint64)
+        out[self.numbers] = self.hashes
+        return out
+
+
+def _numbers(frequent: DataFrame) -> _Numbers:
+    """Small numbers for frequent words, whose bytes are alike in the streams."""
+    rows = frequent.select("key", "count").toArrow()
+    hashes = W.unsigned(rows["key"].to_numpy().astype(np.int64))
+    order = np.lexsort((hashes, -rows["count"].to_numpy()))
+    numbers = np.empty(len(hashes), np.uint32)
+    numbers[order] = np.arange(1, len(hashes) + 1, dtype=np.uint32)
+    by_value = np.argsort(hashes)
+    return _Numbers(hashes[by_value], numbers[by_value])
+
+
+def _stretches(numbers: np.ndarray) -> np.ndarray:
+    """The stream without words that stand alone between breaks, and with single breaks: only phrases matter."""
+    word = np.concatenate([[False], numbers != 0, [False]])
+    at = np.flatnonzero(word[1:-1] & (word[:-2] | word[2:]))
+    return np.insert(numbers[at], np.flatnonzero(np.diff(at) > 1) + 1, np.uint32(0))
+
+
+def _numbered(shared):
+    """(lang, text) to rows of word numbers, where other words than frequent ones are breaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, numbers = shared.value
+        for batch in batches:
+            for part in W.slices(batch, 1):
+                _, own, _, apart = _hashed(part)
+                if not len(own):
+                    continue
+                at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                stream = _stretches(np.insert(np.where(hashes[at] == own, numbers[at], np.uint32(0)), apart, np.uint32(0)))
+                if not len(stream):
+                    continue
+                cuts = np.flatnonzero(stream == 0)
+                rows = np.split(stream, cuts[np.unique(cuts // ROW_WORDS, return_index=True)[1]])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["words"])
+
+    return run
+
+
+def _streams(batches: Iterator[pa.RecordBatch], known: _Numbers) -> Iterator[np.ndarray]:
+    """The rows of word numbers as hashes, joined to arrays of about ``TOGETHER`` words."""
+    run, size, back = [], 0, known.back()
     for batch in batches:
         for value in batch.column(0):
-            words = np.frombuffer(value.as_buffer(), np.uint64)
+            words = back[np.frombuffer(value.as_buffer(), np.uint32)]
             run += [words, np.zeros(1, np.uint64)]
             size += len(words)
             if size > TOGETHER:
@@ -147,8 +197,8 @@ def _grams(words: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray,
     return longer_keys(prefix, last), prefix, last
 
 
-def _proposals(level: int, shared):
-    """Word hashes to (key, count) of proposed phrases."""
+def _proposals(level: int, known_shared, shared):
+    """Word numbers to (key, count) of proposed phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, size = shared.value, [], 0
@@ -157,7 +207,7 @@ def _proposals(level: int, shared):
             value, count = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(W.signed(value)), pa.array(count.astype(np.int32))], ["key", "count"])
 
-        for words in _streams(batches):
+        for words in _streams(batches, known_shared.value):
             if len(words) < level:
                 continue
             held.append(_grams(words, level, bits)[0])
@@ -171,12 +221,12 @@ def _proposals(level: int, shared):
     return run
 
 
-def _parts(level: int, shared, wanted_shared):
-    """Word hashes to (key, prefix, last), once per task, of the proposals that the second bitmap lets pass."""
+def _parts(level: int, known_shared, shared, wanted_shared):
+    """Word numbers to (key, prefix, last), once per task, of the proposals that the second bitmap lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, wanted, seen = shared.value, wanted_shared.value, np.empty(0, np.uint64)
-        for words in _streams(batches):
+        for words in _streams(batches, known_shared.value):
             if len(words) < level:
                 continue
             key, prefix, last = _grams(words, level, bits)
@@ -191,12 +241,12 @@ def _parts(level: int, shared, wanted_shared):
     return run
 
 
-def _counts(shared):
-    """Word hashes to (key, count) of one trie's phrases."""
+def _counts(known_shared, shared):
+    """Word numbers to (key, count) of one trie's phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value, None
-        for words in _streams(batches):
+        for words in _streams(batches, known_shared.value):
             found = own.visits(words, MAX_WORDS)
             total = found if total is None else total + found
         if total is not None:
@@ -244,7 +294,7 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], ["key", "lang", "phrase", "words"])
 
 
-def _candidates(streams: DataFrame, frequent: DataFrame, spark) -> list[DataFrame]:
+def _candidates(streams: DataFrame, frequent: DataFrame, known_shared, spark) -> list[DataFrame]:
     """Per number of words, from two on: (key, lang, phrase, words) of the proposals that reach the least count."""
     words = landed(frequent.select("key", "lang", "word").mapInArrow(_single, "key long, lang string, phrase string, words binary"))
     levels, known = [], words
@@ -252,10 +302,10 @@ def _candidates(streams: DataFrame, frequent: DataFrame, spark) -> list[DataFram
         if known.isEmpty():
             break
         shared = spark.sparkContext.broadcast(sized_filter(known))
-        proposed = streams.mapInArrow(_proposals(level, shared), "key long, count int")
+        proposed = streams.mapInArrow(_proposals(level, known_shared, shared), "key long, count int")
         sums = landed(proposed.groupBy("key").agg(F.sum("count").alias("seen")).where(F.col("seen") >= MIN_COUNT).select("key"))
         wanted = spark.sparkContext.broadcast(sized_filter(sums))
-        found = streams.mapInArrow(_parts(level, shared, wanted), "key long, prefix long, last long")
+        found = streams.mapInArrow(_parts(level, known_shared, shared, wanted), "key long, prefix long, last long")
         safe = landed(found.join(sums, "key", "left_semi").groupBy("key").agg(F.min("prefix").alias("prefix"), F.min("last").alias("last")))
         for used in (shared, wanted):
             used.destroy()
@@ -270,7 +320,7 @@ def _candidates(streams: DataFrame, frequent: DataFrame, spark) -> list[DataFram
     return levels
 
 
-def _frequencies(streams: DataFrame, phrases: DataFrame, spark) -> DataFrame:
+def _frequencies(streams: DataFrame, phrases: DataFrame, known_shared, spark) -> DataFrame:
     """(key, count) of all phrases, trie by trie."""
     shards = -(-phrases.count() // SHARD)
     parts = []
@@ -280,7 +330,7 @@ def _frequencies(streams: DataFrame, phrases: DataFrame, spark) -> DataFrame:
         for row, value in zip(rows, own["words"].to_pylist(), strict=True):
             row[: len(value) // 8] = np.frombuffer(value, np.uint64)
         shared = spark.sparkContext.broadcast(trie.build(rows, own["key"].to_numpy()))
-        sums = streams.mapInArrow(_counts(shared), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+        sums = streams.mapInArrow(_counts(known_shared, shared), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
         parts.append(landed(sums.where(F.col("count") >= MIN_COUNT)))
         shared.destroy()
     return reduce(DataFrame.unionByName, parts)
@@ -291,9 +341,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     that counts), ``n`` (words of the language), ``score``, ``cut``."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text).cast("string"))
-    encoded = landed(source.mapInArrow(_encoded, "words binary, lang string, word string, key long, count long"))
-    streams = encoded.where(F.col("words").isNotNull()).select("words")
-    counted = encoded.where(F.col("key").isNotNull())
+    counted = landed(source.mapInArrow(_word_counts, "lang string, word string, key long, count long"))
     totals = landed(counted.groupBy("lang").agg(F.sum("count").alias("n")))
     sums = landed(counted.groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_COUNT))
     shared = spark.sparkContext.broadcast(sized_filter(sums))
@@ -302,11 +350,16 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     frequent = landed(spelled.join(sums, "key"))
     shared.destroy()
     schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long, cut int"
-    levels = _candidates(streams, frequent, spark)
+    if frequent.isEmpty():
+        return spark.createDataFrame([], schema)
+    known_shared = spark.sparkContext.broadcast(_numbers(frequent))
+    streams = landed(source.mapInArrow(_numbered(known_shared), "words binary"))
+    levels = _candidates(streams, frequent, known_shared, spark)
     if not levels or levels[0].isEmpty():
         return spark.createDataFrame([], schema)
     phrases = landed(reduce(DataFrame.unionByName, levels))
-    counts = _frequencies(streams, phrases, spark)
+    counts = _frequencies(streams, phrases, known_shared, spark)
+    known_shared.destroy()
     all_counts = landed(counts.unionByName(frequent.select("key", "count")))
     named = landed(phrases.join(counts.withColumnRenamed("count", "a"), "key").join(totals, "lang").select("key", "lang", "phrase", "a", "n", "words"))
     cuts = landed(named.select("key", "words").mapInArrow(_cuts, "key long, size int, cut int, left long, right long"))

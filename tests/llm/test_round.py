@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_pairs import near_copies
 
@@ -137,6 +138,27 @@ def test_phrases_equal_brute_force(spark, monkeypatch):
     assert phrases.collocations(docs.where("lang = 'none'")).collect() == []
 
 
+def test_streams_hold_numbers_of_frequent_words(monkeypatch):
+    numbers = np.array([0, 3, 0, 4, 5, 0, 0, 6, 1, 2, 0, 7], np.uint32)
+    assert phrases._stretches(numbers).tolist() == [4, 5, 0, 6, 1, 2]
+    assert phrases._stretches(numbers[:3]).tolist() == [] and phrases._stretches(numbers[3:5]).tolist() == [4, 5]
+
+    class Shared:
+        pass
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 3), pa.array(["Of the rare of the. of", None, "the of the, the of, rare"])], ["lang", "text"])
+    counted = [row for b in phrases._word_counts(iter([batch])) for row in b.to_pylist()]
+    some = sorted((r for r in counted if r["word"] != "rare"), key=lambda r: r["key"] % (1 << 64))
+    hashes = np.array([r["key"] for r in some], np.int64).view(np.uint64)
+    Shared.value = phrases._Numbers(hashes, np.array([1, 2], np.uint32))
+    monkeypatch.setattr(phrases, "ROW_WORDS", 4)
+    rows = [v.as_py() for b in phrases._numbered(Shared)(iter([batch])) for v in b.column(0)]
+    name = {k: r["word"] for k, r in enumerate(some, 1)} | {0: "."}
+    assert " ".join(name[n] for n in np.frombuffer(b"".join(rows), np.uint32)) == "of the . of the . the of the . the of"
+    back = np.concatenate(list(phrases._streams(iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["words"])]), Shared.value)))
+    assert set(back.tolist()) == {0, *hashes.tolist()}
+
+
 def test_trie_counts_every_phrase():
     rng = np.random.default_rng(4)
     words = rng.integers(1, 1 << 62, 30).astype(np.uint64)
