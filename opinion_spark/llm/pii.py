@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from opinion_spark.llm import words as W
 from opinion_spark.llm.span_model import KINDS, SpanModel, classes_of, tags_of
+from opinion_spark.llm.store import landed
 
 WINDOW, OVERLAP = 512, 64
 #: Characters of a window to learn from.
@@ -36,14 +37,14 @@ LEARNT = 64
 SAMPLE = (1500, 1500)
 #: Least chance of every character's tag in an added span.
 MIN_CHANCE = 0.9
-DECODED_TOGETHER = 512
+DECODED_TOGETHER = 1024
 
 Span = tuple[str, int, int]
 
 # Fixed patterns of the base kinds. Each is anchored so that it never starts twice within one run of characters.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Formats of personal data beyond the patterns: 0 stands for a digit, w for a word, u for one with a letter outside ASCII.
@@ -144,7 +145,9 @@ def _tagged(coded: list[np.ndarray], model: SpanModel) -> _Tagged:
         text, start = np.array(some).T
         last = start + WINDOW - OVERLAP >= np.array([max(len(coded[i]) - OVERLAP, 1) for i, _ in some])
         own = (column >= np.where(start > 0, OVERLAP // 2, 0)[:, None]) & (column < np.where(last, WINDOW, WINDOW - OVERLAP // 2)[:, None])
-        row, col = np.nonzero(own & (tags > 0) & (x > 0))
+        row, col = np.nonzero(tags)
+        kept = own[row, col] & (x[row, col] > 0)
+        row, col = row[kept], col[kept]
         parts.append((text[row], start[row] + col, tags[row, col], chance[row, col]))
     if not parts:
         return _Tagged(*(np.zeros(0, np.int64) for _ in range(4)))
@@ -176,6 +179,7 @@ def training_windows(docs: DataFrame, text: str = "text", sample: tuple[int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: tuple[dict, dict] = ({}, {})
+        most = [1 << 63, 1 << 63]  # windows of a greater hash are not wanted any more
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 if not value:
@@ -184,10 +188,15 @@ def training_windows(docs: DataFrame, text: str = "text", sample: tuple[int, int
                 marked = {p for _, a, b in spans for p in range(a // LEARNT, (b - 1) // LEARNT + 1)}
                 for k in range(-(-len(value) // LEARNT)):
                     window = value[k * LEARNT : (k + 1) * LEARNT]
-                    kept = least[k in marked]
-                    kept[xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) >> 1] = (window, k * LEARNT, spans if k in marked else [])
-                    if len(kept) > 4 * sample[k not in marked] + 1000:
-                        for order in sorted(kept)[sample[k not in marked] :]:
+                    order, has = xxhash.xxh3_64_intdigest(window.encode("utf-8", "surrogatepass")) >> 1, k in marked
+                    if order > most[has]:
+                        continue
+                    kept = least[has]
+                    kept[order] = (window, k * LEARNT, spans if has else [])
+                    if len(kept) > 4 * sample[not has] + 1000:
+                        orders = sorted(kept)
+                        most[has] = orders[sample[not has]]
+                        for order in orders[sample[not has] :]:
                             del kept[order]
         for has, kept in enumerate(least):
             orders = sorted(kept)[: sample[not has]]
@@ -196,7 +205,7 @@ def training_windows(docs: DataFrame, text: str = "text", sample: tuple[int, int
                 columns = [pa.array(orders, pa.int64()), pa.array([bool(has)] * len(orders)), pa.array([kept[o][0] for o in orders]), pa.array(tags, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["order", "has", "window", "tags"])
 
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(run, "order long, has boolean, window string, tags array<long>")
+    rows = landed(docs.select(F.col(text).cast("string")).mapInArrow(run, "order long, has boolean, window string, tags array<long>"))
     picked = [rows.where(F.col("has") == has).dropDuplicates(["order"]).orderBy("order").limit(n) for has, n in zip((True, False), sample, strict=True)]
     return [(r["window"], r["tags"]) for r in picked[0].unionByName(picked[1]).orderBy("order").collect()]
 

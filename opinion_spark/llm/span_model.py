@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
@@ -17,9 +19,9 @@ CLASSES = 1 + 128 + 3
 
 def classes_of(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = code.astype(np.int64) + 1
-    wide = np.flatnonzero(code >= 128)
-    if len(wide):
+    out = np.add(code, 1, dtype=np.int64)
+    if not text.isascii():
+        wide = np.flatnonzero(code >= 128)
         values, place = np.unique(code[wide], return_inverse=True)
         out[wide] = np.array([129 if chr(v).isalpha() else 130 if chr(v).isdigit() else 131 for v in values.tolist()])[place]
     return out
@@ -178,54 +180,105 @@ class SpanModel:
                 self.p[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def _states(self, x: np.ndarray, side: str) -> np.ndarray:
-        """The hidden states of ``_lstm`` without what training keeps. In memory rows are gates and columns are windows, so each gate
-        is one stretch; all gates of a step take one exponential, tanh(v) being 2 / (1 + exp(-2 v)) - 1."""
+    def _steps(self, x: np.ndarray, side: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Twice the hidden states of ``_lstm``, as (step, array of windows by units) without what training keeps; an array is used
+        again by the next step. A gate is one stretch of memory, so a character's part of it is one copy of a row. All gates of a step take
+        one hyperbolic tangent, a sigmoid of v being (1 + tanh(v / 2)) / 2; the halves are left to the weights."""
         n, length = x.shape
-        by = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, -1, -2).astype(self.p["out"].dtype)
-        wx, wh = (self.p[f"{side}x"] + self.p[f"{side}c"]) * by, np.ascontiguousarray((self.p[f"{side}h"] * by).T)
-        z, c, th = (np.zeros((k, n), wx.dtype) for k in (4 * HIDDEN, HIDDEN, HIDDEN))
-        h, out = np.zeros((HIDDEN, n), wx.dtype), np.empty((length, HIDDEN, n), wx.dtype)
+        kind = self.p["out"].dtype
+        by = np.where(np.arange(4 * HIDDEN) < 3 * HIDDEN, 0.5, 1).astype(kind)
+
+        def by_gate(weights: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray((weights * by).reshape(-1, 4, HIDDEN).transpose(1, 0, 2))
+
+        wx = by_gate(self.p[f"{side}x"] + self.p[f"{side}c"]).reshape(4 * CLASSES, HIDDEN)
+        wh = by_gate(self.p[f"{side}h"]) / 2  # the states are twice as large
+        z, part = np.zeros((4, n, HIDDEN), kind), np.zeros((4, n, HIDDEN), kind)
+        h, c, th = (np.zeros((n, HIDDEN), kind) for _ in range(3))
         codes = np.ascontiguousarray(x.T)
-        real = codes > 0
-        whole = real.all(1)
-        i, f, o, g = (z[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-        with np.errstate(over="ignore"):  # a gate of exp(-v) = inf is shut
-            for t in range(length) if side == "f" else range(length - 1, -1, -1):
-                np.matmul(wh, h, out=z)
-                z += wx[codes[t]].T
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                g *= 2
-                g -= 1
-                c *= f
-                np.multiply(i, g, out=th)
-                c += th
-                np.multiply(c, -2, out=th)
-                np.exp(th, out=th)
-                th += 1
-                np.divide(2, th, out=th)
-                th -= 1
-                h = out[t]
-                np.multiply(o, th, out=h)
-                if not whole[t]:
-                    c *= real[t]
-                    h *= real[t]
+        whole = (codes > 0).all(1)
+        row, place = CLASSES * np.arange(4)[:, None], np.empty((4, n), np.int64)
+        for t in range(length) if side == "f" else range(length - 1, -1, -1):
+            np.add(row, codes[t], out=place)
+            np.take(wx, place, axis=0, out=z, mode="clip")
+            np.matmul(h, wh, out=part)
+            z += part
+            np.tanh(z, out=z)
+            i, f, o, g = z
+            z[:3] += 1
+            c *= f
+            i *= g
+            c += i
+            c *= 0.5
+            np.tanh(c, out=th)
+            np.multiply(o, th, out=h)
+            if not whole[t]:
+                real = (codes[t] > 0)[:, None]
+                c *= real
+                h *= real
+            yield t, h
+
+    def _states(self, x: np.ndarray, side: str) -> np.ndarray:
+        """The hidden states of ``_lstm``. In memory rows are units and columns are windows."""
+        out = np.empty((x.shape[1], HIDDEN, len(x)), self.p["out"].dtype)
+        for t, h in self._steps(x, side):
+            np.multiply(h.T, 0.5, out=out[t])
         return out.transpose(0, 2, 1)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tag sequences (n, length) by the transitions, and the marginal chance of each tag in them.
 
-        Only stretches where a run of other tags could beat "outside" are searched: those covered by a run whose moves, each at its
-        largest gain (into the run, within it, out of it), outweigh the leads of "outside" at its characters. Everywhere else "outside" is
-        best whatever stands around, so a stretch is searched by itself, between two characters outside. Chances are those within the
-        stretch; where the best tags are all "outside" they are not computed (1).
+        Only windows where a run of other tags could beat "outside" are searched, see ``_may_win``; and of those only the stretches
+        covered by a run whose moves, each at its largest gain (into the run, within it, out of it), outweigh the leads of "outside" at its
+        characters. Everywhere else "outside" is best whatever stands around, so a stretch is searched by itself, between two characters
+        outside. Chances are those within the stretch; where the best tags are all "outside" they are not computed (1).
         """
-        out = np.ascontiguousarray(self.p["out"].T)
-        scores = np.matmul(out[:, :HIDDEN], self._states(x, "f").transpose(0, 2, 1))
-        scores += np.matmul(out[:, HIDDEN:], self._states(x, "b").transpose(0, 2, 1))
-        scores += self.p["bias"][:, None]
+        out = np.ascontiguousarray(self.p["out"].T) / 2
+        scores = np.empty((x.shape[1], TAGS, len(x)), out.dtype)
+        for t, h in self._steps(x, "f"):
+            np.matmul(out[:, :HIDDEN], h.T, out=scores[t])
+        more, bias = np.empty(scores.shape[1:], out.dtype), self.p["bias"][:, None]
+        begin, inside = (np.empty((x.shape[1], len(x)), out.dtype) for _ in range(2))
+        for t, h in self._steps(x, "b"):
+            np.matmul(out[:, HIDDEN:], h.T, out=more)
+            more += bias
+            scores[t] += more
+            for lead, first in ((begin, 1), (inside, 2)):
+                np.max(scores[t, first::2], axis=0, out=lead[t])
+                lead[t] -= scores[t, 0]
+        tags, chance = np.zeros(x.shape, np.int64), np.ones(x.shape, scores.dtype)
+        some = np.flatnonzero(self._may_win(begin, inside, x))
+        if len(some):
+            tags[some], chance[some] = self._search_stretches(scores[:, :, some], x[some])
+        return tags, chance
+
+    def _may_win(self, begin: np.ndarray, inside: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """In which windows a run of other tags could be worth more than "outside", at the largest gain of each kind of move and the largest
+        lead (over "outside") that any beginning and any inside tag has at each character."""
+        gain = np.where(ALLOWED, self.p["move"], -np.inf) - self.p["move"][0, 0]
+        b, i = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        enter, again, goes_in, stays = (float(v.max()) for v in (gain[0, b], gain[1:][:, b], gain[b, i], gain[i, i]))
+        first, last = (np.empty_like(begin) for _ in range(2))  # most that a run is worth up to a character with such a tag
+        first[0], last[0] = begin[0] + max(enter, 0), inside[0]  # a window may begin within a run
+        one, two = (np.empty_like(begin[0]) for _ in range(2))
+        for t in range(1, len(begin)):
+            np.maximum(first[t - 1], last[t - 1], out=one)
+            one += again
+            np.maximum(one, enter, out=one)
+            np.add(one, begin[t], out=first[t])
+            np.add(first[t - 1], goes_in, out=one)
+            np.add(last[t - 1], stays, out=two)
+            np.maximum(one, two, out=one)
+            np.add(one, inside[t], out=last[t])
+        length = (x > 0).sum(1)
+        end = np.maximum(length - 1, 0), np.arange(len(x))  # and end within one
+        most = np.maximum(first[end], last[end])
+        first += float(gain[b, 0].max())
+        last += float(gain[i, 0].max())
+        np.maximum(first, last, out=first)
+        return (length > 0) & (np.maximum(most, np.where(x.T > 0, first, -np.inf).max(0)) > -1e-3)  # sums are rounded
+
+    def _search_stretches(self, scores: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gain = np.where(ALLOWED, self.p["move"], -np.inf) - self.p["move"][0, 0]
         enter, within, leave = float(gain[0, 1:].max()), float(gain[1:, 1:].max()), float(gain[1:, 0].max())
         worth = np.where(x.T > 0, within - scores[:, 0] + scores[:, 1:].max(1), -np.inf).astype(scores.dtype)
@@ -256,11 +309,33 @@ class SpanModel:
             border = np.arange(len(some))
             part[0, border[opened[some]], 1:] = -1e4
             part[size[closed[some]] - 1, border[closed[some]], 1:] = -1e4
+            won = np.flatnonzero(self._beats_outside(part, size))
+            if not len(won):
+                continue
+            part, here, rows, at = np.ascontiguousarray(part[:, won]), here[won], rows[won], at[won]
             found, sure = self._search(part, np.where(here, x[rows, at], 0))
             inside = here & (found > 0)
             tags[rows[inside], at[inside]], chance[rows[inside], at[inside]] = found[inside], sure[inside]
         return tags, chance
 
+    def _beats_outside(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether some tags of a stretch are worth more than "outside" throughout: the search's sums without the ways to them.
+        ``size``: the stretches' lengths, ascending."""
+        into = np.ascontiguousarray(np.where(ALLOWED, self.p["move"], -1e4).astype(e.dtype).T)[:, :, None]
+        best = np.ascontiguousarray(e[0].T)
+        outside, out, first = best[0].copy(), np.zeros(len(size), bool), 0
+        for t in range(1, len(e) + 1):
+            ended = int(np.searchsorted(size, t, "right")) - first
+            if ended:
+                out[first : first + ended] = best[:, :ended].max(0) > outside[:ended]
+                first, best, outside = first + ended, best[:, ended:], outside[ended:]
+            if first == len(size):
+                break
+            step = e[t, first:].T
+            best = (best + into).max(1) + step
+            outside = (outside + into[0, 0]) + step[0]
+        return out
+
     def _search(self, e: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         move = np.where(ALLOWED, self.p["move"], -1e4).astype(e.dtype)
         length, n, _ = e.shape

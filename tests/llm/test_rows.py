@@ -9,6 +9,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+import xxhash
 
 from opinion_spark.llm import chat, classifier, licenses, packing, pii, quality_rules, tokens
 from opinion_spark.llm import sql as llm_sql
@@ -258,6 +259,48 @@ def test_states_are_those_of_training_and_lie_gate_by_gate(span_model):
     assert np.isfinite(steep._states(x, "f")).all()
 
 
+def test_only_stretches_that_hold_a_span_are_searched_in_full(span_model):
+    rng = random.Random(4)
+    plain = [" ".join(rng.choice(["the", "of", "Thing", "and,", "word.", "1234", "é"]) for _ in range(60)) for _ in range(200)]
+    texts = plain + ["".join(rng.choice("ab 12.@-(") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    x = pii._padded([classes_of(t[:200]) for t in texts], 200)
+    searched, search = [], span_model._search
+    span_model._search = lambda e, some: searched.append(some) or search(e, some)
+    try:
+        tags, _ = span_model.decode(x)
+    finally:
+        del span_model._search
+    tagged = (np.diff(np.pad(tags > 0, ((0, 0), (1, 0))).astype(np.int8)) == 1).sum()
+    assert 0 < sum(map(len, searched)) <= tagged  # only stretches that hold a span
+    sides = [span_model._states(x, side) for side in "fb"]
+    whole, _ = span_model._search(np.concatenate(sides, 2) @ span_model.p["out"] + span_model.p["bias"], x)
+    assert (tags == whole)[x > 0].mean() > 0.999  # rounding may break ties
+
+
+def test_a_window_sample_reads_the_texts_once(spark):
+    rows = labelled(400, 6)
+    reads = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    docs = brute.frame(spark, rows)
+    seen = docs.mapInArrow(passed, docs.schema)
+    found = pii.training_windows(seen, sample=(20, 30))
+    assert reads.value == len(rows)
+    hashed = {}
+    for _, text in rows:
+        spans = pii.base_spans(text)
+        for s in range(0, len(text), pii.LEARNT):
+            has = any(a < s + pii.LEARNT and b > s for _, a, b in spans)
+            window = text[s : s + pii.LEARNT]
+            hashed[xxhash.xxh3_64_intdigest(window.encode()) >> 1] = (has, window)
+    least = [sorted(o for o, (has, _) in hashed.items() if has == kind)[:n] for kind, n in ((True, 20), (False, 30))]
+    assert [w for w, _ in found] == [hashed[o][1] for o in sorted(sum(least, []))]
+
+
 def test_redaction_of_overlapping_spans():
     assert pii.redact("ab 12 cd", [("ip", 3, 5), ("card", 4, 6)]) == "ab [IP]cd"
 
