@@ -2,9 +2,10 @@
 
 Words are hashed (the language is part of a hash) and counted. Then texts become arrays of four-byte numbers of the frequent words, written
 once; breaks that no phrase crosses, and words that are not frequent, are 0. The numbers' table has one entry per frequent word. Level by
-level, phrases whose first and last words but one are frequent phrases themselves (Apriori) are proposed: each task adds up what it sees,
-and proposals whose sum stays below ``MIN_COUNT`` are no candidates. Proposals are taken from the texts, since all joins of
-frequent parts would grow with the square of a common word's neighbours.
+level, phrases whose first and last words but one are frequent phrases themselves (Apriori) are proposed. Proposals are taken from the texts,
+since all joins of frequent parts would grow with the square of a common word's neighbours. Most are rare, so they are counted twice: first in
+buckets, whose number follows that of the words (about ``LOAD`` proposals each) and of which a task passes on no more than sorted gaps of two bytes;
+then by their keys, but only those in buckets that reach ``MIN_COUNT``. Those whose sum stays below it are no candidates.
 
 All candidates are counted by double-array tries. A trie holds at most about ``SHARD`` candidates, so its size does not grow with the
 input; there are as many tries as the candidates need. Each is broadcast, every task advances the states of all its text positions
@@ -39,9 +40,11 @@ MAX_WORDS = 5
 MIN_COUNT = 100
 #: Phrases returned per language.
 BEST = 2000
-#: Candidates of one trie, and the memory of a task for words and for proposals not yet passed on.
-SHARD = 200_000
+#: Candidates of one trie, those whose sums are passed on together, and the memory of a task for words and for proposals not yet passed on.
+SHARD, SUMMED_TOGETHER = 200_000, 4096
 HELD_WORDS, HELD_POSITIONS = 500_000, 200_000
+#: Proposals per bucket, about; bits of the buckets that are counted together; proposals of a task sorted together.
+LOAD, RANGE_BITS, SORTED_TOGETHER = 4, 20, 400_000
 #: Words of a row of numbers, about, and of the arrays that are worked on together.
 ROW_WORDS, TOGETHER = 8192, 64_000
 
@@ -197,52 +200,108 @@ def _grams(words: np.ndarray, level: int, bits: np.ndarray) -> tuple[np.ndarray,
     return longer_keys(prefix, last), prefix, last
 
 
-def _proposals(level: int, known_shared, shared):
-    """Word numbers to (key, count) of proposed phrases."""
+def _gaps(places: np.ndarray) -> bytes:
+    """Sorted places as two-byte gaps; 65535 stands for as much and no end of a gap."""
+    gap = np.diff(places, prepend=0)
+    ends = np.cumsum(gap // 0xFFFF + 1) - 1
+    out = np.full(ends[-1] + 1, 0xFFFF, np.uint16)
+    out[ends] = gap % 0xFFFF
+    return out.tobytes()
+
+
+def _places(gaps: np.ndarray) -> np.ndarray:
+    """What ``_gaps`` was given."""
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 0xFFFF]
+
+
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return W.signed(keys >> np.uint64(64 - bits))
+
+
+def _in_buckets(level: int, bucket_bits: int, known_shared, shared):
+    """Word numbers to (range, gaps): the buckets of proposed phrases by ranges of ``RANGE_BITS``. A bucket is named at most
+    ``MIN_COUNT`` times at once, which is all it needs."""
+    least = MIN_COUNT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, size = shared.value, [], 0
 
-        def summed() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(W.signed(value)), pa.array(count.astype(np.int32))], ["key", "count"])
+        def sorted_runs() -> pa.RecordBatch:
+            bucket = np.sort(np.concatenate(held))
+            bucket = bucket[np.concatenate([np.ones(min(least, len(bucket)), bool), bucket[least:] != bucket[:-least]])]
+            of = bucket >> RANGE_BITS
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            parts = np.split(bucket & ((1 << RANGE_BITS) - 1), first[1:])
+            return pa.RecordBatch.from_arrays([pa.array(of[first]), pa.array([_gaps(p) for p in parts], pa.binary())], ["range", "gaps"])
 
         for words in _streams(batches, known_shared.value):
             if len(words) < level:
                 continue
-            held.append(_grams(words, level, bits)[0])
+            held.append(_buckets(_grams(words, level, bits)[0], bucket_bits))
             size += len(held[-1])
-            if size > HELD_POSITIONS:
-                yield summed()
+            if size > SORTED_TOGETHER:
+                yield sorted_runs()
                 held, size = [], 0
         if size:
-            yield summed()
+            yield sorted_runs()
+
+    return run
+
+
+def _full_buckets():
+    """(range, gaps), by range, to the buckets that reach ``MIN_COUNT``."""
+    least = MIN_COUNT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(1 << RANGE_BITS, np.int64)
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((now << RANGE_BITS) + np.flatnonzero(total >= least))], ["key"])
+
+        for batch in batches:
+            for of, gaps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if of != now:
+                    if now is not None:
+                        yield full()
+                    now = of
+                    total[:] = 0
+                total += np.bincount(_places(np.frombuffer(gaps.as_buffer(), np.uint16)), minlength=len(total))
+        if now is not None:
+            yield full()
 
     return run
 
 
-def _parts(level: int, known_shared, shared, wanted_shared):
-    """Word numbers to (key, prefix, last), once per task, of the proposals that the second bitmap lets pass."""
+def _proposals(level: int, bucket_bits: int, known_shared, shared, full_shared):
+    """Word numbers to (key, prefix, last, count) of proposed phrases in full buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, wanted, seen = shared.value, wanted_shared.value, np.empty(0, np.uint64)
+        bits, full, held, size = shared.value, full_shared.value, [], 0
+
+        def summed() -> pa.RecordBatch:
+            key, prefix, last = (np.concatenate(x) for x in zip(*held, strict=True))
+            value, at, count = np.unique(key, return_index=True, return_counts=True)
+            columns = [pa.array(W.signed(x)) for x in (value, prefix[at], last[at])]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(count.astype(np.int32))], ["key", "prefix", "last", "count"])
+
         for words in _streams(batches, known_shared.value):
             if len(words) < level:
                 continue
             key, prefix, last = _grams(words, level, bits)
-            some = np.flatnonzero(passes(wanted, W.signed(key)))
-            value, at = np.unique(key[some], return_index=True)
-            new = ~np.isin(value, seen, assume_unique=True)
-            if new.any():
-                seen = np.union1d(seen, value[new]) if len(seen) < HELD_POSITIONS else value[new]
-                at = some[at[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(W.signed(x[at])) for x in (key, prefix, last)], ["key", "prefix", "last"])
+            some = passes(full, _buckets(key, bucket_bits))
+            held.append((key[some], prefix[some], last[some]))
+            size += len(held[-1][0])
+            if size > HELD_POSITIONS:
+                yield summed()
+                held, size = [], 0
+        if size:
+            yield summed()
 
     return run
 
 
 def _counts(known_shared, shared):
-    """Word numbers to (key, count) of one trie's phrases."""
+    """Word numbers to (range, counts) of one trie's phrases: the task's sums of ``SUMMED_TOGETHER`` phrases in a row, if any was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value, None
@@ -250,9 +309,36 @@ def _counts(known_shared, shared):
             found = own.visits(words, MAX_WORDS)
             total = found if total is None else total + found
         if total is not None:
-            count = total[own.accepted]
-            seen = count > 0
-            yield pa.RecordBatch.from_arrays([pa.array(own.keys[seen]), pa.array(count[seen])], ["key", "count"])
+            count = total[own.accepted].astype(np.int32)
+            parts = [(k // SUMMED_TOGETHER, count[k : k + SUMMED_TOGETHER]) for k in range(0, len(count), SUMMED_TOGETHER)]
+            some = [(of, part.tobytes()) for of, part in parts if part.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], kind) for k, kind in enumerate((pa.int64(), pa.binary()))], ["range", "counts"])
+
+    return run
+
+
+def _summed_counts(shared):
+    """(range, counts), by range, to (key, count) of the phrases that reach ``MIN_COUNT``."""
+    least = MIN_COUNT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, now, total = shared.value.keys, None, np.empty(0, np.int64)
+
+        def reached() -> pa.RecordBatch:
+            at = np.flatnonzero(total >= least)
+            return pa.RecordBatch.from_arrays([pa.array(keys[now * SUMMED_TOGETHER + at]), pa.array(total[at])], ["key", "count"])
+
+        for batch in batches:
+            for of, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
+                if of == now:
+                    total = total + found
+                else:
+                    if now is not None:
+                        yield reached()
+                    now, total = of, found
+        if now is not None:
+            yield reached()
 
     return run
 
@@ -298,16 +384,21 @@ def _candidates(streams: DataFrame, frequent: DataFrame, known_shared, spark) ->
     """Per number of words, from two on: (key, lang, phrase, words) of the proposals that reach the least count."""
     words = landed(frequent.select("key", "lang", "word").mapInArrow(_single, "key long, lang string, phrase string, words binary"))
     levels, known = [], words
+    stream_bytes = streams.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    bucket_bits = max(RANGE_BITS, int(stream_bytes // (4 * LOAD)).bit_length())
     for level in range(2, MAX_WORDS + 1):
         if known.isEmpty():
             break
         shared = spark.sparkContext.broadcast(sized_filter(known))
-        proposed = streams.mapInArrow(_proposals(level, known_shared, shared), "key long, count int")
-        sums = landed(proposed.groupBy("key").agg(F.sum("count").alias("seen")).where(F.col("seen") >= MIN_COUNT).select("key"))
-        wanted = spark.sparkContext.broadcast(sized_filter(sums))
-        found = streams.mapInArrow(_parts(level, known_shared, shared, wanted), "key long, prefix long, last long")
-        safe = landed(found.join(sums, "key", "left_semi").groupBy("key").agg(F.min("prefix").alias("prefix"), F.min("last").alias("last")))
-        for used in (shared, wanted):
+        named = streams.mapInArrow(_in_buckets(level, bucket_bits, known_shared, shared), "range long, gaps binary")
+        full = landed(named.repartition("range").sortWithinPartitions("range").mapInArrow(_full_buckets(), "key long"))
+        full_shared = spark.sparkContext.broadcast(sized_filter(full))
+        proposed = streams.mapInArrow(
+            _proposals(level, bucket_bits, known_shared, shared, full_shared), "key long, prefix long, last long, count int"
+        )
+        sums = proposed.groupBy("key").agg(F.sum("count").alias("seen"), F.min("prefix").alias("prefix"), F.min("last").alias("last"))
+        safe = landed(sums.where(F.col("seen") >= MIN_COUNT).select("key", "prefix", "last"))
+        for used in (shared, full_shared):
             used.destroy()
         before = known.select(F.col("key").alias("prefix"), "lang", F.col("phrase").alias("start"), F.col("words").alias("start_words"))
         after = words.select(F.col("key").alias("last"), F.col("phrase").alias("end"), F.col("words").alias("end_words"))
@@ -330,8 +421,8 @@ def _frequencies(streams: DataFrame, phrases: DataFrame, known_shared, spark) ->
         for row, value in zip(rows, own["words"].to_pylist(), strict=True):
             row[: len(value) // 8] = np.frombuffer(value, np.uint64)
         shared = spark.sparkContext.broadcast(trie.build(rows, own["key"].to_numpy()))
-        sums = streams.mapInArrow(_counts(known_shared, shared), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
-        parts.append(landed(sums.where(F.col("count") >= MIN_COUNT)))
+        sums = streams.mapInArrow(_counts(known_shared, shared), "range long, counts binary").repartition("range").sortWithinPartitions("range")
+        parts.append(landed(sums.mapInArrow(_summed_counts(shared), "key long, count long")))
         shared.destroy()
     return reduce(DataFrame.unionByName, parts)
 

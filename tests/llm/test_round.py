@@ -180,3 +180,69 @@ def test_classifier_without_labels_or_documents(spark):
     for rows, n in ((docs, 3), (docs.where("doc_id < 0"), 0)):
         model = classifier.trained(classifier.labelled_sample(rows, labels), label="label")
         assert [(r["score"], r["predicted"]) for r in classifier.scored(rows, model).collect()] == [(0.5, 1)] * n
+
+
+def test_rare_proposals_leave_a_task_as_two_bytes(monkeypatch):
+    """Buckets of any gap come back, a bucket in every run counts in full, and only proposals of full buckets are given by key."""
+    places = np.array([0, 0, 3, 65534, 131069, 131069, 1_000_000], np.int64)
+    assert phrases._places(np.frombuffer(phrases._gaps(places), np.uint16)).tolist() == places.tolist()
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(1, 1 << 63, 3000, dtype=np.uint64))
+    numbers = rng.integers(1, len(hashes) + 1, 120_000).astype(np.uint32)
+    numbers[np.arange(0, 120_000, 1000)[:, None] + np.arange(2)] = [7, 8]  # one pair 120 times, the others hardly twice
+
+    class Known:
+        value = phrases._Numbers(hashes, np.arange(1, len(hashes) + 1, dtype=np.uint32))
+
+    class All:
+        value = np.full(1 << 17, 255, np.uint8)
+
+    rows = [numbers[k : k + 6000].tobytes() for k in range(0, 120_000, 6000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["words"])]
+    monkeypatch.setattr(phrases, "SORTED_TOGETHER", 50_000)
+    bits = phrases.RANGE_BITS
+    named = list(phrases._in_buckets(2, bits, Known, All)(iter(batches)))
+    assert len(named) > 1
+    assert sum(len(v.as_py()) for b in named for v in b.column(1)) < 2.2 * 120_000
+    full = np.concatenate([b.column(0).to_numpy() for b in phrases._full_buckets()(iter(named))])
+    word = [hashes[6], hashes[7]]
+    key = phrases.longer_keys(np.array(word[:1]), np.array(word[1:]))
+    assert full.tolist() == phrases._buckets(key, bits).tolist()
+
+    class Full:
+        value = np.zeros(1 << 17, np.uint8)
+
+    Full.value[full >> 3] |= (1 << (full & 7)).astype(np.uint8)
+    found = [r for b in phrases._proposals(2, bits, Known, All, Full)(iter(batches)) for r in b.to_pylist()]
+    assert sum(r["count"] for r in found if r["key"] == key.view(np.int64)[0]) == 120
+    assert {(r["prefix"], r["last"]) for r in found if r["key"] == key.view(np.int64)[0]} == {tuple(np.array(word).view(np.int64).tolist())}
+    assert sum(r["count"] for r in found) < 200
+
+
+def test_tasks_pass_on_the_counts_of_a_trie_in_few_rows():
+    rng = np.random.default_rng(5)
+    hashes = np.unique(rng.integers(1, 1 << 63, 200, dtype=np.uint64))
+
+    class Known:
+        value = phrases._Numbers(hashes, np.arange(1, len(hashes) + 1, dtype=np.uint32))
+
+    pairs = np.array([[a, b, 0, 0, 0] for a in hashes[:100] for b in hashes[:100]], np.uint64)
+    keys = phrases.longer_keys(pairs[:, 0], pairs[:, 1]).view(np.int64)
+
+    class Tries:
+        value = trie.build(pairs, keys)
+
+    tasks = [rng.integers(1, 101, 150_000).astype(np.uint32) for _ in range(8)]
+    expected = Counter()
+    rows = []
+    for numbers in tasks:
+        words = hashes[numbers - 1]
+        expected.update(phrases.longer_keys(words[:-1], words[1:]).view(np.int64).tolist())
+        batch = pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary())], ["words"])
+        own = [r for b in phrases._counts(Known, Tries)(iter([batch])) for r in b.to_pylist()]
+        assert 0 < len(own) <= -(-len(keys) // phrases.SUMMED_TOGETHER)
+        rows += own
+    rows.sort(key=lambda r: r["range"])
+    batch = pa.RecordBatch.from_arrays([pa.array([r["range"] for r in rows]), pa.array([r["counts"] for r in rows])], ["range", "counts"])
+    found = {r["key"]: r["count"] for b in phrases._summed_counts(Tries)(iter([batch])) for r in b.to_pylist()}
+    assert found == {k: n for k, n in expected.items() if n >= phrases.MIN_COUNT}
