@@ -47,8 +47,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows hold whole texts, sets or ids, so a batch of Spark's 10,000 is a large buffer in every task and in its worker.
+ROWS_PER_BATCH = 1024
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, writing each one's rows before the next."""
+    _small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = store.landed(stage(spark, docs, sf_dir))

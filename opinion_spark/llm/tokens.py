@@ -29,6 +29,8 @@ MAX_TOKENS = 2048
 #: Bytes, about, that a worker keeps of chunks and of pre-tokens it has seen, the first ones, which are the frequent ones. Longer
 #: ones than REMEMBERED characters are not kept.
 MEMORY, REMEMBERED = 48 << 20, 64
+#: Vocabulary strings encoded at once: memory that they take together is not given back.
+ENCODED_TOGETHER = 512
 #: What an entry takes besides its characters.
 _ENTRY = 220
 
@@ -88,8 +90,12 @@ class Shortcut:
                 if string.lower() == string and PRE_TOKEN.fullmatch(string) and PLAIN.fullmatch(string):
                     strings.add(string)
         listed = sorted(strings)
-        encoded = self.library.encode_batch_fast(listed, add_special_tokens=False)
-        return {s: e.ids[0] for s, e in zip(listed, encoded, strict=True) if len(e.ids) == 1}
+        out = {}
+        for start in range(0, len(listed), ENCODED_TOGETHER):
+            some = listed[start : start + ENCODED_TOGETHER]
+            encoded = self.library.encode_batch_fast(some, add_special_tokens=False)
+            out |= {s: e.ids[0] for s, e in zip(some, encoded, strict=True) if len(e.ids) == 1}
+        return out
 
     @staticmethod
     def cut(chunk: str) -> list[str]:

@@ -246,3 +246,17 @@ def test_tasks_pass_on_the_counts_of_a_trie_in_few_rows():
     batch = pa.RecordBatch.from_arrays([pa.array([r["range"] for r in rows]), pa.array([r["counts"] for r in rows])], ["range", "counts"])
     found = {r["key"]: r["count"] for b in phrases._summed_counts(Tries)(iter([batch])) for r in b.to_pylist()}
     assert found == {k: n for k, n in expected.items() if n >= phrases.MIN_COUNT}
+
+
+def test_the_pipeline_asks_for_batches_that_suit_whole_texts(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for asked, got in (("10000", 1024), ("0", 1024), ("300", 300)):
+            spark.conf.set(name, asked)
+            corpus_pipeline._small_batches(spark)
+            assert int(spark.conf.get(name)) == got
+    finally:
+        spark.conf.set(name, before)
