@@ -24,10 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def landed(df: DataFrame) -> DataFrame:
     """Write as Parquet to the shared folder and read back: computed once, short lineage,
-    nothing held by an executor."""
+    nothing held by an executor. The files are kept until the job ends, so they are compressed well."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -260,3 +260,11 @@ def test_the_pipeline_asks_for_batches_that_suit_whole_texts(spark):
             assert int(spark.conf.get(name)) == got
     finally:
         spark.conf.set(name, before)
+
+
+def test_landed_tables_are_compressed_well(spark):
+    from opinion_spark.llm.store import landed
+
+    found = landed(spark.createDataFrame([(i, "text " * i) for i in range(50)], "id long, text string"))
+    assert found.count() == 50
+    assert found.inputFiles() and all(f.endswith(".zstd.parquet") for f in found.inputFiles())
