@@ -1,6 +1,7 @@
 """Phrase collocation mining: phrases of two to five words that stand together more often than their parts would by chance.
 
-Words are hashed (the language is part of a hash) and counted. Then texts become arrays of four-byte numbers of the frequent words, written
+Words are hashed (the language is part of a hash) and counted in runs, each of which has a word once. One run of those that have a
+frequent word, and no other, spells it. Then texts become arrays of four-byte numbers of the frequent words, written
 once; breaks that no phrase crosses, and words that are not frequent, are 0. The numbers' table has one entry per frequent word. Level by
 level, phrases whose first and last words but one are frequent phrases themselves (Apriori) are proposed. Proposals are taken from the texts,
 since all joins of frequent parts would grow with the square of a common word's neighbours. Most are rare, so they are counted twice: first in
@@ -93,16 +94,17 @@ def _hashed(part: pa.RecordBatch) -> tuple[W.WordTable, np.ndarray, np.ndarray,
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to words with their counts within the task."""
+    """(lang, text) to words with their counts within runs; ``run`` is the run's number in the task."""
     held: list[tuple] = []
-    size = 0
+    size = run = 0
 
     def counted() -> pa.RecordBatch:
         key, count, lang, word = zip(*held, strict=True)
         value, at, inverse = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
         total = np.bincount(inverse, np.concatenate(count)).astype(np.int64)
         picked = [pa.concat_arrays(x).take(pa.array(at)) for x in (lang, word)]
-        return pa.RecordBatch.from_arrays([*picked, pa.array(W.signed(value)), pa.array(total)], ["lang", "word", "key", "count"])
+        columns = [*picked, pa.array(W.signed(value)), pa.array(total), pa.array(np.full(len(value), run))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "word", "key", "count", "run"])
 
     for batch in batches:
         for part in W.slices(batch, 1):
@@ -116,6 +118,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > HELD_WORDS:
                 yield counted()
                 held, size = [], 0
+                run += 1
     if held:
         yield counted()
 
@@ -133,15 +136,15 @@ class _Numbers(NamedTuple):
         return out
 
 
-def _numbers(frequent: DataFrame) -> _Numbers:
-    """Small numbers for frequent words, whose bytes are alike in the streams."""
-    rows = frequent.select("key", "count").toArrow()
+def _numbers(frequent: DataFrame) -> tuple[_Numbers, np.ndarray]:
+    """Small numbers for frequent words, whose bytes are alike in the streams, and the run that spells each."""
+    rows = frequent.select("key", "count", "run").toArrow()
     hashes = W.unsigned(rows["key"].to_numpy().astype(np.int64))
     order = np.lexsort((hashes, -rows["count"].to_numpy()))
     numbers = np.empty(len(hashes), np.uint32)
     numbers[order] = np.arange(1, len(hashes) + 1, dtype=np.uint32)
     by_value = np.argsort(hashes)
-    return _Numbers(hashes[by_value], numbers[by_value])
+    return _Numbers(hashes[by_value], numbers[by_value]), rows["run"].to_numpy()[by_value]
 
 
 def _stretches(numbers: np.ndarray) -> np.ndarray:
@@ -362,13 +365,16 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[own]), *fixed, *parts], ["key", "size", "cut", "left", "right"])
 
 
-def _passing(shared):
-    """(key, ...) where the bitmap has the key."""
+def _spelled(shared):
+    """(key, lang, word, run) to (key, lang, word) of every frequent word once, from the run that spells it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        hashes, runs = shared.value
         for batch in batches:
-            yield batch.filter(pa.array(passes(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+            own = W.unsigned(batch.column(0).to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            some = (hashes[at] == own) & (runs[at] == batch.column(3).to_numpy(zero_copy_only=False))
+            yield batch.select([0, 1, 2]).filter(pa.array(some))
 
     return run
 
@@ -380,9 +386,9 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.binary())], ["key", "lang", "phrase", "words"])
 
 
-def _candidates(streams: DataFrame, frequent: DataFrame, known_shared, spark) -> list[DataFrame]:
+def _candidates(streams: DataFrame, spelled: DataFrame, known_shared, spark) -> list[DataFrame]:
     """Per number of words, from two on: (key, lang, phrase, words) of the proposals that reach the least count."""
-    words = landed(frequent.select("key", "lang", "word").mapInArrow(_single, "key long, lang string, phrase string, words binary"))
+    words = landed(spelled.mapInArrow(_single, "key long, lang string, phrase string, words binary"))
     levels, known = [], words
     stream_bytes = streams.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     bucket_bits = max(RANGE_BITS, int(stream_bytes // (4 * LOAD)).bit_length())
@@ -432,20 +438,22 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     that counts), ``n`` (words of the language), ``score``, ``cut``."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text).cast("string"))
-    counted = landed(source.mapInArrow(_word_counts, "lang string, word string, key long, count long"))
+    counted = source.mapInArrow(_word_counts, "lang string, word string, key long, count long, run long")
+    # A run's number in all: its task's, and its own within the task.
+    counted = landed(counted.withColumn("run", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("run")))
     totals = landed(counted.groupBy("lang").agg(F.sum("count").alias("n")))
-    sums = landed(counted.groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= MIN_COUNT))
-    shared = spark.sparkContext.broadcast(sized_filter(sums))
-    named = counted.select("key", "lang", "word").mapInArrow(_passing(shared), "key long, lang string, word string")
-    spelled = named.groupBy("key").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
-    frequent = landed(spelled.join(sums, "key"))
-    shared.destroy()
+    sums = counted.groupBy("key").agg(F.sum("count").alias("count"), F.min("run").alias("run"))
+    frequent = landed(sums.where(F.col("count") >= MIN_COUNT))
     schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long, cut int"
     if frequent.isEmpty():
         return spark.createDataFrame([], schema)
-    known_shared = spark.sparkContext.broadcast(_numbers(frequent))
+    known, runs = _numbers(frequent)
+    shared = spark.sparkContext.broadcast((known.hashes, runs))
+    spelled = landed(counted.select("key", "lang", "word", "run").mapInArrow(_spelled(shared), "key long, lang string, word string"))
+    shared.destroy()
+    known_shared = spark.sparkContext.broadcast(known)
     streams = landed(source.mapInArrow(_numbered(known_shared), "words binary"))
-    levels = _candidates(streams, frequent, known_shared, spark)
+    levels = _candidates(streams, spelled, known_shared, spark)
     if not levels or levels[0].isEmpty():
         return spark.createDataFrame([], schema)
     phrases = landed(reduce(DataFrame.unionByName, levels))

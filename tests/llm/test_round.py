@@ -219,6 +219,47 @@ def test_rare_proposals_leave_a_task_as_two_bytes(monkeypatch):
     assert sum(r["count"] for r in found) < 200
 
 
+def test_frequent_words_are_spelled_once(spark, monkeypatch):
+    """The step that gives frequent words their letters makes a row per word, not one per word and task."""
+    monkeypatch.setattr(phrases, "MIN_COUNT", 6)
+    rows = [(lang, f"Some words stand in every text, as these do in number {i}") for i in range(90) for lang in ("en", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    expected = best_phrases(rows, 6, phrases.BEST)
+    made, plain = spark.sparkContext.accumulator(0), type(docs).mapInArrow
+
+    def watched(frame, func, schema, *more):
+        def run(batches):
+            for batch in func(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(frame, run if schema == "key long, lang string, word string" else func, schema, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    assert Counter(map(tuple, phrases.collocations(docs).collect())) == Counter(expected)
+    assert made.value == 2 * len(set("some words stand in every text as these do in number".split()))
+
+
+def test_one_run_of_a_task_spells_a_word(monkeypatch):
+    monkeypatch.setattr(phrases, "HELD_WORDS", 3)
+    texts = ["a b c d", "a b e", "rare a", None, "E b f"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text], pa.string())], ["lang", "text"]) for text in texts]
+    counted = list(phrases._word_counts(iter(batches)))
+    rows = [row for batch in counted for row in batch.to_pylist()]
+    assert sorted({row["run"] for row in rows}) == list(range(len(counted))) and len(counted) > 2
+    assert len({(row["key"], row["run"]) for row in rows}) == len(rows)
+    first = {}
+    for row in rows:
+        if row["word"] in "abe":
+            first.setdefault(row["key"] % (1 << 64), (row["run"], row["word"]))
+
+    class Shared:
+        value = np.array(sorted(first), np.uint64), np.array([first[key][0] for key in sorted(first)])
+
+    found = [row for batch in phrases._spelled(Shared)(b.select(["key", "lang", "word", "run"]) for b in counted) for row in batch.to_pylist()]
+    assert Counter((row["key"] % (1 << 64), row["word"]) for row in found) == Counter((key, word) for key, (_, word) in first.items())
+
+
 def test_tasks_pass_on_the_counts_of_a_trie_in_few_rows():
     rng = np.random.default_rng(5)
     hashes = np.unique(rng.integers(1, 1 << 63, 200, dtype=np.uint64))
