@@ -41,9 +41,10 @@ MAX_WORDS = 5
 MIN_COUNT = 100
 #: Phrases returned per language.
 BEST = 2000
-#: Candidates of one trie, those whose sums are passed on together, and the memory of a task for words and for proposals not yet passed on.
+#: Candidates of one trie, those whose sums are passed on together, and the memory of a task for words, for proposals
+#: not yet summed and for sums of proposals not yet passed on.
 SHARD, SUMMED_TOGETHER = 200_000, 4096
-HELD_WORDS, HELD_POSITIONS = 500_000, 200_000
+HELD_WORDS, HELD_POSITIONS, HELD_KEYS = 500_000, 200_000, 400_000
 #: Proposals per bucket, about; bits of the buckets that are counted together; proposals of a task sorted together.
 LOAD, RANGE_BITS, SORTED_TOGETHER = 4, 20, 400_000
 #: Words of a row of numbers, about, and of the arrays that are worked on together.
@@ -276,29 +277,35 @@ def _full_buckets():
 
 
 def _proposals(level: int, bucket_bits: int, known_shared, shared, full_shared):
-    """Word numbers to (key, prefix, last, count) of proposed phrases in full buckets."""
+    """Word numbers to (key, prefix, last, count) of proposed phrases in full buckets: a task's sums, passed on before its end only when
+    they are of ``HELD_KEYS`` phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, full, held, size = shared.value, full_shared.value, [], 0
 
-        def summed() -> pa.RecordBatch:
-            key, prefix, last = (np.concatenate(x) for x in zip(*held, strict=True))
-            value, at, count = np.unique(key, return_index=True, return_counts=True)
-            columns = [pa.array(W.signed(x)) for x in (value, prefix[at], last[at])]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(count.astype(np.int32))], ["key", "prefix", "last", "count"])
+        def summed() -> tuple[np.ndarray, ...]:
+            key, prefix, last, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            value, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+            return value, prefix[at], last[at], np.bincount(inverse, count).astype(np.int32)
+
+        def passed_on(key: np.ndarray, prefix: np.ndarray, last: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(W.signed(x)) for x in (key, prefix, last)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(count)], ["key", "prefix", "last", "count"])
 
         for words in _streams(batches, known_shared.value):
             if len(words) < level:
                 continue
             key, prefix, last = _grams(words, level, bits)
             some = passes(full, _buckets(key, bucket_bits))
-            held.append((key[some], prefix[some], last[some]))
+            held.append((key[some], prefix[some], last[some], np.ones(np.count_nonzero(some), np.int32)))
             size += len(held[-1][0])
             if size > HELD_POSITIONS:
-                yield summed()
-                held, size = [], 0
-        if size:
-            yield summed()
+                held, size = [summed()], 0
+                if len(held[0][0]) > HELD_KEYS:
+                    yield passed_on(*held[0])
+                    held = []
+        if held:
+            yield passed_on(*summed())
 
     return run
 

@@ -15,6 +15,7 @@ import pytest
 from test_pairs import near_copies
 
 from opinion_spark.llm import chosen_path, classifier, manifest, phrases, trie
+from opinion_spark.llm import words as W
 
 
 def h(*parts: str) -> str:
@@ -219,6 +220,36 @@ def test_rare_proposals_leave_a_task_as_two_bytes(monkeypatch):
     assert sum(r["count"] for r in found) < 200
 
 
+@pytest.mark.parametrize("held", [10_000, 20])
+def test_a_task_sums_its_proposals_up(monkeypatch, held):
+    """A phrase that comes again and again leaves a task in one row, and in more only where sums get too large to hold."""
+    monkeypatch.setattr(phrases, "HELD_POSITIONS", 1000)
+    monkeypatch.setattr(phrases, "HELD_KEYS", held)
+    monkeypatch.setattr(phrases, "TOGETHER", 300)
+    rng = np.random.default_rng(6)
+    hashes = np.unique(rng.integers(1, 1 << 63, 12, dtype=np.uint64))
+    numbers = rng.integers(0, len(hashes) + 1, (60, 200)).astype(np.uint32)
+
+    class Known:
+        value = phrases._Numbers(hashes, np.arange(1, len(hashes) + 1, dtype=np.uint32))
+
+    class All:
+        value = np.full(1 << 17, 255, np.uint8)
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in part], pa.binary())], ["words"]) for part in np.split(numbers, 6)]
+    found = [r for b in phrases._proposals(2, phrases.RANGE_BITS, Known, All, All)(iter(batches)) for r in b.to_pylist()]
+    expected, back = Counter(), Known.value.back()
+    for row in numbers:
+        some = (row[:-1] != 0) & (row[1:] != 0)
+        expected.update(zip(*(W.signed(back[x[some]]).tolist() for x in (row[:-1], row[1:])), strict=True))
+    sums = Counter()
+    for r in found:
+        sums[r["prefix"], r["last"]] += r["count"]
+        assert r["key"] == int(W.signed(phrases.longer_keys(*(np.array([r[x]], np.int64).view(np.uint64) for x in ("prefix", "last"))))[0])
+    assert sums == expected
+    assert (len(found) == len(expected)) == (held > len(expected))
+
+
 def test_frequent_words_are_spelled_once(spark, monkeypatch):
     """The step that gives frequent words their letters makes a row per word, not one per word and task."""
     monkeypatch.setattr(phrases, "MIN_COUNT", 6)
