@@ -24,6 +24,6 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, ["part", "sums"])
 
 
-def total_per_part(sums: DataFrame) -> DataFrame:
+def total_per_part(sums: DataFrame, adders: int = ADDERS) -> DataFrame:
     """One row per part, so that what is collected does not grow with the number of tasks."""
-    return sums.repartition(ADDERS, "part").mapInArrow(_added, PART_SUMS)
+    return sums.repartition(adders, "part").mapInArrow(_added, PART_SUMS)

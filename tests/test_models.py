@@ -261,3 +261,40 @@ def test_machines_without_rows_or_with_one_class(spark):
 def test_presets_and_grids():
     assert svm.PRESET_RBF == {"kernel": "rbf", "C": 1000.0, "gamma": 0.001}
     assert len(svm.GRID_C) + len(svm.GRID_C) * len(svm.GRID_GAMMA) == 56
+
+
+def test_all_models_assign_in_one_pass(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(700)] + [(700, None), (701, [1.0, None, 2.0]), (702, [1.0])]
+    rows = spark.createDataFrame(rows, "id int, x array<double>").repartition(3)
+    given = [(k, c, [0.5] * 3 if c > 1 else rng.normal(size=3).tolist()) for k in (2, 4) for c in range(k)]  # 2 and 3 are equal
+    given = spark.createDataFrame(given, "k int, cluster int, centre array<double>")
+    found = {(r["id"], r["k"]): r for r in K.assign(rows, given, "x", by="k").collect()}
+    assert len(found) == 2 * 703
+    for k in (2, 4):
+        for want in K.assign(rows, given.where(F.col("k") == k).select("cluster", "centre"), "x").collect():
+            r = found[want["id"], k]
+            assert r["kmean_label"] == want["kmean_label"] and r["x"] == want["x"]
+            assert r["dist2"] == (None if want["dist2"] is None else pytest.approx(want["dist2"], rel=1e-12))
+    assert K.assign(rows, given.limit(0), "x", by="k").count() == 0
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(2000, 4)).tolist()
+    tasks, kept = [], centres.materialized
+    monkeypatch.setattr(centres, "materialized", lambda df: tasks.append(kept(df).rdd.getNumPartitions()) or kept(df))
+    (run,) = centres.fit_all(spark.createDataFrame([(v,) for v in x], "x array<double>").coalesce(1), "x", [4], starts=1, max_iter=3)
+    assert tasks == [spark.sparkContext.defaultParallelism] and run.sizes.sum() == 2000
+
+
+def test_nearest_centres_of_a_block_are_marked():
+    rng = np.random.default_rng(9)
+    x, given = rng.normal(size=(50, 3)), rng.normal(size=(7, 3))
+    given[[2, 5]] = given[[1, 4]]  # equal centres: the lower one counts
+    x[0] = given[1]
+    runs, d = [(0, 3), (3, 7)], ((x[:, None] - given[None]) ** 2).sum(2)
+    every = np.hstack([-2 * given, (given * given).sum(1)[:, None], np.ones((7, 1))])
+    member, squares = centres._nearest(np.hstack([x, np.ones((50, 1)), (x * x).sum(1)[:, None]]), every, runs, np.empty((7, 64)))
+    for run, (low, high) in enumerate(runs):
+        assert (member[low:high].argmax(0) == d[:, low:high].argmin(1)).all() and (member[low:high].sum(0) == 1).all()
+        assert squares[run] == pytest.approx(d[:, low:high].min(1).sum())
