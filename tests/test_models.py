@@ -10,6 +10,7 @@ from opinion_spark.operators import cluster as K
 from opinion_spark.operators import metrics as E
 from opinion_spark.operators import machines, svm
 from opinion_spark.operators import split as S
+from opinion_spark.operators import weights as W
 from opinion_spark.sources import models as saved
 
 
@@ -298,3 +299,52 @@ def test_nearest_centres_of_a_block_are_marked():
     for run, (low, high) in enumerate(runs):
         assert (member[low:high].argmax(0) == d[:, low:high].argmin(1)).all() and (member[low:high].sum(0) == 1).all()
         assert squares[run] == pytest.approx(d[:, low:high].min(1).sum())
+
+
+def test_settled_documents_are_left_out_of_passes(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.uniform(0, 1, (500, 2)), rng.uniform(0, 1, (500, 2)) + [40, 0]])
+    cells = [(d, f"t{t}", float(x[d, t])) for d in range(1000) for t in (0, 1)]
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id")
+    rows = spark.createDataFrame([(d, [0, 1], x[d].tolist()) for d in range(1000)], "doc_id long, indices array<bigint>, values array<double>")
+    want = centres.fit_terms(spark.createDataFrame(cells, "doc_id long, term string, weight double"), ids, "doc_id", k=6, max_iter=25)
+    counts, kept = [], centres.materialized
+
+    def counted(df):
+        df = kept(df)
+        counts.append(df.count())
+        return df
+
+    monkeypatch.setattr(centres, "materialized", counted)
+    labels, iterations = centres.fit_sparse(rows, ids, "doc_id", 2, k=6, max_iter=25)
+    assert sorted(labels.collect()) == sorted(want.labels.collect()) and iterations == want.iterations
+    assert counts[0] == counts[-1] == 1000 and min(counts) < 700
+
+
+def test_labels_last_while_centres_move_within_their_limits():
+    rng = np.random.default_rng(11)
+    x, given = rng.normal(size=(300, 6)), rng.normal(size=(4, 6))
+    shift, reach = rng.uniform(0.001, 0.02, 4), np.sqrt((x * x).sum(1))
+    gain = 2 * shift * np.sqrt((given * given).sum(1)) + shift**2
+
+    def likeness(c):
+        return 2 * x @ c.T - (c * c).sum(1)
+
+    label = likeness(given).argmax(1)
+    times = centres._lasting(likeness(given), label, reach, shift, gain, 6)
+    assert (times > 1).sum() > 100
+    for _ in range(200):
+        way = rng.normal(size=(4, 6))
+        moved = given + way / np.sqrt((way * way).sum(1))[:, None] * shift[:, None]
+        assert (likeness(moved).argmax(1) == label)[times > 1].all()
+
+
+def test_words_are_counted_in_the_order_of_their_numbers(spark):
+    terms = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "term string, df long")
+    numbered = W.numbered_terms(terms, F.desc("df"))
+    assert {r["term"]: r["index"] for r in numbered.collect()} == {"b": 0, "c": 1, "a": 2}
+    docs = spark.createDataFrame([(1, ["a", "b", "z", "b"]), (2, []), (3, None), (4, ["z"]), (5, ["c", "b", "c"])], "id int, tokens array<string>")
+    found = {r["id"]: (r["indices"], r["values"]) for r in W.sparse_features(docs.coalesce(1), "id", F.col("tokens"), numbered, 6).collect()}
+    value = {w: np.log(6 / n) for w, n in (("a", 1), ("b", 3), ("c", 2))}
+    assert {i: indices for i, (indices, _) in found.items()} == {1: [0, 2], 2: [], 3: [], 4: [], 5: [0, 1]}
+    assert found[1][1] == pytest.approx([2 * value["b"], value["a"]]) and found[5][1] == pytest.approx([value["b"], 2 * value["c"]])
