@@ -308,17 +308,17 @@ def test_settled_documents_are_left_out_of_passes(spark, monkeypatch):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     rows = spark.createDataFrame([(d, [0, 1], x[d].tolist()) for d in range(1000)], "doc_id long, indices array<bigint>, values array<double>")
     want = centres.fit_terms(spark.createDataFrame(cells, "doc_id long, term string, weight double"), ids, "doc_id", k=6, max_iter=25)
-    counts, kept = [], centres.materialized
+    counts, kept = [], type(rows).persist
 
-    def counted(df):
-        df = kept(df)
+    def counted(df, *level):
+        df = kept(df, *level)
         counts.append(df.count())
         return df
 
-    monkeypatch.setattr(centres, "materialized", counted)
+    monkeypatch.setattr(type(rows), "persist", counted)
     labels, iterations = centres.fit_sparse(rows, ids, "doc_id", 2, k=6, max_iter=25)
     assert sorted(labels.collect()) == sorted(want.labels.collect()) and iterations == want.iterations
-    assert counts[0] == counts[-1] == 1000 and min(counts) < 700
+    assert counts and max(counts) < 700
 
 
 def test_labels_last_while_centres_move_within_their_limits():
